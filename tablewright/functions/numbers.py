@@ -9,29 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The number grammar.
-WHITESPACE = " \t\n\r\f\x0b"
-INT_PATTERN = r"^[+-]?\d+(_\d+)*$"
-FLOAT_PATTERN = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-SPECIAL_PATTERN = r"(?i)^[+-]?(nan|inf|infinity)$"
+# The number grammar. A float is digits with optional point and exponent, or a named value.
+INT_PATTERN = r"^\s*[+-]?\d+(_\d+)*\s*$"
+FLOAT_PATTERN = (
+    r"^\s*([+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?"
+    r"|(?i:nan|inf|infinity)))\s*$"
+)
+DECIMAL_COMMA_PATTERN = r"^(?![^,]{3},)([^,.]*),(?![^,]{3}$)([^,.]*)$"
+SEVERAL_DOTS_PATTERN = r"^[^,.]*\.[^,.]*\.[^,]*$"
 BOOLEAN_WORDS = ["true", "false", "1", "0", "nan", "none"]
 
 
-def _stripped(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
-
-
 def is_int_text(text: Column) -> Column:
     """True where ``int(text)`` would succeed."""
-    return _stripped(text).rlike(INT_PATTERN)
+    return text.rlike(INT_PATTERN)
 
 
 def to_float(text: Column) -> Column:
     """``float(text)``, or NULL where that fails (missing text included)."""
-    stripped = _stripped(text)
-    return F.when(stripped.rlike(FLOAT_PATTERN), F.replace(stripped, F.lit("_"), F.lit("")).try_cast("double")).when(
-        stripped.rlike(SPECIAL_PATTERN), F.regexp_replace(stripped, "(?i)[+-](?=nan)", "").try_cast("double")
-    )
+    number = F.replace(F.regexp_extract(text, FLOAT_PATTERN, 1), F.lit("_"), F.lit(""))
+    return number.try_cast("double")
 
 
 def float_or_null(text: Column) -> Column:
@@ -52,51 +49,33 @@ def loose_float(text: Column) -> Column:
     thousands); a comma-separated piece of three characters (thousands); a single comma
     (decimal point); several dots; several commas; otherwise a plain number.
     """
-    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    dots = F.length(text) - F.length(F.replace(text, F.lit("."), F.lit("")))
-    without_commas = F.replace(text, F.lit(","), F.lit(""))
-    has_thousands_piece = text.rlike(r"(?s)(^|,)[^,]{3}(,|\z)")
-    cleaned = (
-        F.when((commas > 0) & ((dots > 0) | has_thousands_piece), without_commas)
-        .when(commas == 1, F.replace(text, F.lit(","), F.lit(".")))
-        .when(dots > 1, F.replace(text, F.lit("."), F.lit("")))
-        .when(commas > 1, without_commas)
-        .otherwise(text)
+    decimal_comma = F.regexp_replace(text, DECIMAL_COMMA_PATTERN, "$1.$2")
+    cleaned = F.when(text.rlike(SEVERAL_DOTS_PATTERN), F.replace(text, F.lit("."), F.lit(""))).otherwise(
+        F.replace(decimal_comma, F.lit(","), F.lit(""))
     )
     return to_float(cleaned)
 
 
 def float_text(number: Column) -> Column:
-    """Print a double as Python's ``str(float)`` does: ``5.0``, ``12345678.25``, ``1e+16``."""
-    size = F.abs(number)
+    """Print a double as Python's ``str(float)`` does: ``5.0``, ``12345678.25``, ``1e+16``.
+
+    ``number`` appears several times in the result, so pass a column rather than a long expression.
+    """
     shortest = number.cast("string")
     # Spark switches to scientific notation at 1e7 and below 1e-3, Python at 1e16 and below 1e-4.
     positional = F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
-    mantissa = F.regexp_replace(F.substring_index(shortest, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(shortest, "E", -1).try_cast("int")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    wide_exponent = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.abs(exponent).cast("string"),
-    )
+    signed = F.regexp_replace(shortest, r"(\.0)?E(?=\d)", "e+")
+    scientific = F.regexp_replace(F.regexp_replace(signed, r"(\.0)?E-", "e-"), r"e([+-])(\d)$", "e$10$2")
     return (
-        F.when(F.isnan(number), F.lit("nan"))
-        .when(((size >= 1e-3) & (size < 1e7)) | (size == 0), shortest)
-        .when(size == float("inf"), F.when(number > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size >= 1e-4) & (size < 1e16), positional)
-        .when(F.abs(exponent) >= 100, wide_exponent)
+        F.when(~F.contains(shortest, F.lit("E")), F.lower(F.replace(shortest, F.lit("Infinity"), F.lit("inf"))))
+        .when(F.abs(number).between(1e-4, 9.999999999999998e15), positional)
         .otherwise(scientific)
     )
 
 
 def int_text(text: Column) -> Column:
     """The canonical print of an integer text: no plus sign, padding, underscore or leading zero."""
-    digits = F.replace(_stripped(text), F.lit("_"), F.lit(""))
+    digits = F.regexp_replace(text, r"[\s_]", "")
     unsigned = F.regexp_replace(digits, r"^[+-]?0*(?=\d)", "")
     return F.when(digits.startswith("-") & (unsigned != "0"), F.concat(F.lit("-"), unsigned)).otherwise(unsigned)
 

@@ -73,11 +73,17 @@ def condition_holds(cell: Column, cond: Column) -> Column:
     return F.when(cond["is_real"], numeric).otherwise(textual)
 
 
-def _example_row_pairs(bound: DataFrame, corpus: Corpus, block_rows: int, block_examples: int) -> DataFrame:
-    """Every example with every row of its table; examples of an empty table are kept once."""
-    crowded = largest_group(bound, ["table_id"]) > block_examples
-    if corpus.largest <= block_rows and not crowded:
-        return bound.join(corpus.rows, "table_id", "left").withColumn("block", F.lit(0).cast("long"))
+def _example_row_pairs(
+    bound: DataFrame, corpus: Corpus, most_examples: int, block_rows: int, block_examples: int
+) -> DataFrame:
+    """Every example with every row of its table; examples of an empty table are kept once.
+
+    The rows are the large side and never broadcast. In the plain case the aggregation that follows
+    works on the partitioning of this join.
+    """
+    if corpus.largest <= block_rows and most_examples <= block_examples:
+        rows = corpus.rows.hint("merge")
+        return bound.join(rows, "table_id", "left").withColumn("block", F.lit(0).cast("long"))
     row_counts = corpus.rows.groupBy("table_id").agg(F.max("row_pos").alias("n_rows"))
     example_counts = bound.groupBy("table_id").agg(F.count("*").alias("n_examples"))
     sizes = row_counts.join(example_counts, "table_id").select(
@@ -100,14 +106,12 @@ def _example_row_pairs(bound: DataFrame, corpus: Corpus, block_rows: int, block_
             "example_block"
         ),
     )
-    return asked.join(held, ["table_id", "block", "example_block"], "left").drop("example_block")
+    return asked.join(held.hint("merge"), ["table_id", "block", "example_block"], "left").drop("example_block")
 
 
 def _partial_answers(pairs: DataFrame) -> DataFrame:
     """Per example and block: counts, sums, extremes and, where needed, the listed cells."""
     held = F.transform("bound", lambda c: condition_holds(F.get("cells", c["col"]), c))
-    all_hold = F.aggregate(held, F.lit(True), lambda a, b: a & b)
-    target = F.get("cells", "sel")
     judged = pairs.select(
         "table_id",
         "example_id",
@@ -115,13 +119,16 @@ def _partial_answers(pairs: DataFrame) -> DataFrame:
         "is_text",
         "wants_list",
         "block",
-        F.col("row_pos").isNotNull().alias("has_row"),
-        # Any comparison that has no result spoils the example, unless an earlier condition already failed.
-        (F.col("row_pos").isNotNull() & all_hold.isNull()).alias("clash"),
-        F.coalesce(F.col("row_pos").isNotNull() & all_hold, F.lit(False)).alias("hit"),
         "row_pos",
-        target["raw"].alias("raw"),
-        F.when(~F.col("is_text"), target["num"]).alias("num"),
+        # A comparison without a result spoils the example, unless another condition fails for the row.
+        F.when(F.col("row_pos").isNotNull(), F.aggregate(held, F.lit(True), lambda a, b: a & b)).alias("holds"),
+        F.get("cells", "sel").alias("target"),
+    ).select(
+        "*",
+        (F.col("row_pos").isNotNull() & F.col("holds").isNull()).alias("clash"),
+        F.coalesce("holds", F.lit(False)).alias("hit"),
+        F.col("target.raw").alias("raw"),
+        F.when(~F.col("is_text"), F.col("target.num")).alias("num"),
     )
     hit = F.col("hit")
     ranked = F.struct("num", F.when(F.col("is_text"), F.col("raw")).alias("word"), "row_pos", "raw")
@@ -136,29 +143,6 @@ def _partial_answers(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _answer(n: Column, listed_text: Column) -> Column:
-    """The answer text from the totals of one example."""
-    agg, is_text = F.col("agg"), F.col("is_text")
-    single = F.when(agg == MAX, F.col("most")).otherwise(F.col("least"))
-    as_number = F.when(is_text, loose_float(single["raw"])).otherwise(single["num"])
-    single_text = F.coalesce(float_text(as_number), single["raw"])
-    return (
-        F.when(agg == COUNT, float_text(n.cast("double")))
-        .when(n == 0, F.lit(EMPTY_ANSWER))
-        .when((n == 1) | agg.isin(MAX, MIN), single_text)
-        .when(F.col("wants_list"), listed_text)
-        .when(agg == SUM, float_text(F.col("total")))
-        .otherwise(float_text(F.col("total") / n))
-    )
-
-
-def _status(n: Column) -> Column:
-    """``type_error`` where the types of an example do not fit its table, else ``ok``."""
-    single_is_word = (n == 1) & F.col("agg").isin(SUM, AVG) & F.col("is_text") & loose_float(F.col("least.raw")).isNull()
-    failed = F.col("clash") | (F.col("unread") > 0) | single_is_word
-    return F.when(failed, F.lit("type_error")).otherwise(F.lit("ok"))
-
-
 def answer_sketches(
     examples: DataFrame,
     corpus: Corpus,
@@ -172,7 +156,8 @@ def answer_sketches(
     ``status = 'type_error'`` and no answer.
     """
     bound = bind_sketches(examples, corpus.meta)
-    partial = _partial_answers(_example_row_pairs(bound, corpus, block_rows, block_examples))
+    most_examples = largest_group(examples, ["table_id"])
+    partial = _partial_answers(_example_row_pairs(bound, corpus, most_examples, block_rows, block_examples))
     listed_text = F.array_join(in_order(F.col("listed"), "raw"), SPAN_DELIMITER, EMPTY_ANSWER)
     if corpus.largest <= block_rows:
         return _finish(partial.withColumn("segment", F.lit(0).cast("long")), listed_text)
@@ -195,7 +180,25 @@ def answer_sketches(
 
 
 def _finish(df: DataFrame, listed_text: Column) -> DataFrame:
-    n = F.col("n")
-    return df.select("example_id", "segment", _answer(n, listed_text).alias("answer"), _status(n).alias("status")).select(
-        "example_id", "segment", F.when(F.col("status") == "ok", F.col("answer")).alias("answer"), "status"
+    """Answers from the totals of each example."""
+    n, agg, is_text = F.col("n"), F.col("agg"), F.col("is_text")
+    is_single = (n == 1) | agg.isin(MAX, MIN)
+    totals = df.withColumn("single", F.when(agg == MAX, F.col("most")).otherwise(F.col("least")))
+    totals = totals.withColumn("word_number", F.when((n > 0) & is_text & is_single, loose_float(F.col("single.raw"))))
+    number = (
+        F.when(agg == COUNT, n.cast("double"))
+        .when((n > 0) & is_single, F.coalesce("word_number", "single.num"))
+        .when((n > 0) & ~F.col("wants_list"), F.when(agg == SUM, F.col("total")).otherwise(F.col("total") / n))
+    )
+    word_in_sum = (n == 1) & agg.isin(SUM, AVG) & is_text & F.col("word_number").isNull()
+    failed = F.col("clash") | (F.col("unread") > 0) | word_in_sum
+    judged = totals.withColumn("number", number).withColumn("failed", failed)
+    answer = (
+        F.when(F.col("failed"), F.lit(None))
+        .when(F.col("number").isNotNull(), float_text(F.col("number")))
+        .when(n == 0, F.lit(EMPTY_ANSWER))
+        .when(is_single, F.col("single.raw"))
+        .otherwise(listed_text)
     )
+    status = F.when(F.col("failed"), F.lit("type_error")).otherwise(F.lit("ok"))
+    return judged.select("example_id", "segment", answer.alias("answer"), status.alias("status"))

@@ -41,3 +41,13 @@ sketch_answers AS (
          WHEN agg = 4 THEN total::VARCHAR ELSE (total / n)::VARCHAR END AS answer
   FROM sketches s LEFT JOIN totals t ON t.ex = s.ex)
 """
+
+# Raw text cells of the order tables.
+ORDER_TEXT_CELLS = f"""
+{ORDER_LINES},
+text_cells AS (
+  SELECT l_orderkey AS table_id, row_pos, unnest([0, 1, 2, 3, 4]) AS col_pos,
+    unnest([l_partkey::VARCHAR, l_quantity::VARCHAR, format('{{:,.2f}}', l_extendedprice),
+      strftime(l_shipdate, '%Y-%m-%d'), l_returnflag]) AS raw
+  FROM order_lines)
+"""

@@ -87,3 +87,27 @@ def order_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sel == 4, text_agg).otherwise((turn % 6).cast("int")).alias("agg"),
         conds.alias("conds"),
     )
+
+
+def order_text_rows(lines: DataFrame) -> DataFrame:
+    """Order lines as raw text cells: numbers, numbers with thousands marks, dates and words."""
+    cells = F.array(
+        F.col("l_partkey").cast("string"),
+        float_text(F.col("l_quantity")),
+        F.format_number("l_extendedprice", 2),
+        F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.col("l_returnflag"),
+    )
+    return lines.select(F.col("l_orderkey").alias("table_id"), "row_pos", cells.alias("cells"))
+
+
+def order_text_meta(tables: DataFrame) -> DataFrame:
+    names = ["part key", "quantity", "extended price", "ship date", "return flag"]
+    types = ["real", "real", "real", "text", "text"]
+    return tables.select(
+        "table_id", F.array(*map(F.lit, names)).alias("header"), F.array(*map(F.lit, types)).alias("types")
+    )
+
+
+def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"))
