@@ -120,7 +120,7 @@ def first_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NUMBER_FORMS = """
-forms AS (SELECT o_orderkey, o_custkey, o_orderkey % 8 AS form, CASE o_orderkey % 8 WHEN 0 THEN format('{:,.2f}', o_totalprice)
+forms AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 8 AS form, CASE o_orderkey % 8 WHEN 0 THEN format('{:,.2f}', o_totalprice)
     WHEN 1 THEN o_custkey || ',5' WHEN 2 THEN '1.' || o_custkey || '.3' WHEN 3 THEN '' || o_custkey WHEN 4 THEN 'n/a ' || o_custkey
     WHEN 5 THEN '0' || o_custkey WHEN 6 THEN '-' || o_custkey || '.25' ELSE '1,2,' || o_custkey END AS t FROM orders)
 """
