@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.binding import let
 from tablewright.skew import BLOCK_ROWS, block_of, in_order
 
 # The marks of the linear form.
@@ -46,50 +47,56 @@ def linearize(rows: DataFrame, meta: DataFrame, block_rows: int = BLOCK_ROWS) ->
     return head.join(body, ["table_id", "segment"], "full").select("table_id", "segment", text.alias("linear_text"))
 
 
-def parse_linear(tables: DataFrame, text: str = "linear_text") -> DataFrame:
-    """Read linear text (or segments of it): adds ``header``, ``first_row``, ``parsed`` and ``problem``.
+def parse_linear(line: Column) -> Column:
+    """Read linear text, or a segment of it: ``STRUCT<header, first_row, parsed, problem>``.
 
     ``parsed`` is the list of rows, each a list of trimmed cells. ``problem`` is ``no header``,
     ``no rows``, ``ragged`` (rows of unequal width) or NULL.
     """
-    line = F.col(text)
-    head = F.regexp_extract(line, r"(?s)^ col :(.*?)(?= row 1 : |\z)", 1)
-    parts = F.split(line, ROW_PATTERN, -1)
-    cells = F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda r: F.transform(F.split(r, r" \| ", -1), lambda c: F.trim(c)),
-    )
+
+    def trimmed(cells: Column) -> Column:
+        return F.transform(F.split(cells, r" \| ", -1), lambda c: F.trim(c))
+
     has_header = line.startswith(" col :")
-    parsed = tables.select(
-        "*",
-        F.when(has_header, F.transform(F.split(head, r" \| ", -1), lambda h: F.trim(h))).alias("header"),
-        F.when(has_header, F.lit(1)).otherwise(F.regexp_extract(line, r"^ row (\d+) : ", 1).try_cast("long")).cast(
-            "long"
-        ).alias("first_row"),
-        cells.alias("parsed"),
-    )
-    width = F.coalesce(F.size("header"), F.size(F.get("parsed", F.lit(0))))
-    problem = (
-        F.when(F.col("first_row").isNull(), F.lit("no header"))
-        .when(F.size("parsed") == 0, F.lit("no rows"))
-        .when(F.exists("parsed", lambda r: F.size(r) != width), F.lit("ragged"))
+    header = F.when(has_header, trimmed(F.regexp_extract(line, r"(?s)^ col :(.*?)(?= row 1 : |\z)", 1)))
+    row_number = F.regexp_extract(line, r"^ row (\d+) : ", 1).try_cast("long")
+    first_row = F.when(has_header, F.lit(1).cast("long")).otherwise(row_number)
+    rows = let(
+        F.split(line, ROW_PATTERN, -1),
+        lambda parts: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), trimmed),
     )
-    return parsed.withColumn("problem", problem)
 
+    def judged(read: Column) -> Column:
+        width = F.coalesce(F.size(read["header"]), F.size(F.get(read["parsed"], F.lit(0))))
+        problem = (
+            F.when(read["first_row"].isNull(), F.lit("no header"))
+            .when(F.size(read["parsed"]) == 0, F.lit("no rows"))
+            .when(F.exists(read["parsed"], lambda r: F.size(r) != width), F.lit("ragged"))
+        )
+        return read.withField("problem", problem)
+
+    return let(F.struct(header.alias("header"), first_row.alias("first_row"), rows.alias("parsed")), judged)
 
-def delinearize(tables: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def delinearize(tables: DataFrame, text: str = "linear_text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split ``(table_id, linear_text)`` into raw rows, headers and unreadable tables.
 
     Returns ``rows(table_id, row_pos, cells ARRAY<STRING>)``, ``headers(table_id, header)`` and
     ``bad(table_id, problem)``. Nothing is raised and nothing is lost.
     """
-    parsed = parse_linear(tables)
-    good = parsed.where("problem IS NULL")
-    rows = good.select("table_id", "first_row", F.posexplode("parsed").alias("at", "cells")).select(
-        "table_id", (F.col("first_row") + F.col("at")).alias("row_pos"), "cells"
-    )
-    headers = good.where("header IS NOT NULL").select("table_id", "header")
-    return rows, headers, parsed.where("problem IS NOT NULL").select("table_id", "problem")
+
+    def numbered(read: Column) -> Column:
+        rows = F.transform(
+            read["parsed"], lambda cells, i: F.struct((read["first_row"] + i).alias("row_pos"), cells.alias("cells"))
+        )
+        return F.when(read["problem"].isNull(), rows)
+
+    line = F.col(text)
+    # The outer form and the filters on what it yields keep Spark from parsing a text more than once.
+    rows = tables.select("table_id", F.inline_outer(let(parse_linear(line), numbered))).where("row_pos IS NOT NULL")
+    judged = tables.select("table_id", F.explode_outer(F.array(parse_linear(line))).alias("read"))
+    headers = judged.where("read.problem IS NULL AND read.header IS NOT NULL").select("table_id", "read.header")
+    return rows, headers, judged.where("read.problem IS NOT NULL").select("table_id", "read.problem")
 
 
 def split_question(questions: DataFrame, question: str = "question") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.binding import let
 from tablewright.functions.normalize import normalize_texts
 from tablewright.functions.numbers import is_int_text, to_float
 from tablewright.functions.text import SPAN_DELIMITER
@@ -25,15 +26,16 @@ TOLERANCE = 1e-6
 # --- span matching ---
 
 
+def _number_or_word(text: Column) -> Column:
+    """A number where the text reads as one, else its trimmed text. Negative zero is zero."""
+    return let(
+        to_float(text), lambda n: F.struct((n + 0.0).alias("num"), F.when(n.isNull(), F.trim(text)).alias("word"))
+    )
+
+
 def spans(answer: Column) -> Column:
     """The spans of an answer as sorted (number, word) pairs; numbers compare as numbers."""
-    pairs = F.transform(
-        F.split(F.lower(answer), SPAN_DELIMITER, -1),
-        lambda s: F.transform(
-            F.array(to_float(s)), lambda n: F.struct((n + 0.0).alias("num"), F.when(n.isNull(), F.trim(s)).alias("word"))
-        )[0],
-    )
-    return F.sort_array(pairs)
+    return F.sort_array(F.transform(F.split(F.lower(answer), SPAN_DELIMITER, -1), lambda s: _number_or_word(s)))
 
 
 def denotation_match(predictions: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
@@ -54,47 +56,58 @@ def edit_distance(pred: Column, ref: Column) -> Column:
 def typed_values(texts: Column, normal: Column) -> Column:
     """Texts as values: numbers, dates (``xx`` for an unknown part; a lone year is a number) or words.
 
-    ``normal`` holds the normalised texts, as ``normalize_texts`` gives them. Equal values are kept once.
+    ``normal`` holds the normalised texts, as ``normalize_texts`` gives them.
     """
 
     def part(text: Column, unknown: list[str]) -> Column:
         return F.when(text.isin(*unknown), F.lit(-1)).when(is_int_text(text), F.trim(text).try_cast("int"))
 
-    def read(text: Column, norm: Column) -> Column:
-        number = to_float(text)
-        usable = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-        parts = F.split(F.lower(text), "-", -1)
-        year = part(F.get(parts, F.lit(0)), ["xx", "xxxx"])
-        month, day = part(F.get(parts, F.lit(1)), ["xx"]), part(F.get(parts, F.lit(2)), ["xx"])
-        in_range = (month == -1) | month.between(1, 12)
-        in_range &= (day == -1) | day.between(1, 31)
-        is_date = (F.size(parts) == 3) & year.isNotNull() & in_range & ~((year == -1) & (month == -1) & (day == -1))
-        return F.struct(
-            norm.alias("norm"),
-            usable.alias("number"),
-            F.when(is_date, F.struct(year.alias("y"), month.alias("m"), day.alias("d"))).alias("date"),
+    def date(parts: Column) -> Column:
+        read = F.struct(
+            part(F.get(parts, F.lit(0)), ["xx", "xxxx"]).alias("y"),
+            part(F.get(parts, F.lit(1)), ["xx"]).alias("m"),
+            part(F.get(parts, F.lit(2)), ["xx"]).alias("d"),
         )
 
-    def settle(v: Column) -> Column:
+        def checked(ymd: Column) -> Column:
+            known = ymd["y"].isNotNull() & ((ymd["y"] != -1) | (ymd["m"] != -1) | (ymd["d"] != -1))
+            month_fits = (ymd["m"] == -1) | ymd["m"].between(1, 12)
+            return F.when(known & month_fits & ((ymd["d"] == -1) | ymd["d"].between(1, 31)), ymd)
+
+        return F.when(F.size(parts) == 3, let(read, checked))
+
+    def read(text: Column, norm: Column) -> Column:
+        number = let(to_float(text), lambda n: F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n))
+        return F.struct(norm.alias("norm"), number.alias("number"), let(F.split(F.lower(text), "-", -1), date).alias("date"))
+
+    def near_whole(number: Column) -> Column:
+        """A number within the tolerance of a whole one loses its fraction."""
+
+        def settle(nearest: Column) -> Column:
+            cut = F.when(F.abs(number) < F.abs(nearest), nearest - F.signum(nearest)).otherwise(nearest)
+            return F.when(F.abs(number - nearest) < TOLERANCE, cut + 0.0).otherwise(number)
+
+        return let(F.rint(number), settle)
+
+    def keyed(v: Column) -> Column:
         lone_year = (v["date"]["m"] == -1) & (v["date"]["d"] == -1)
         number = F.coalesce(v["number"], F.when(lone_year, v["date"]["y"].cast("double")))
-        nearest = F.rint(number)
-        toward_zero = F.when(F.abs(number) < F.abs(nearest), nearest - F.signum(nearest)).otherwise(nearest)
-        num = F.when(F.abs(number - nearest) < TOLERANCE, toward_zero + 0.0).otherwise(number)
-        date = F.when(number.isNull(), v["date"])
-        return F.struct(
-            F.struct(
-                F.when(number.isNotNull(), F.lit("number")).when(date.isNotNull(), F.lit("date")).otherwise(F.lit("text")).alias("kind"),
-                F.when(number.isNull() & date.isNull(), v["norm"]).alias("word"),
-                num.alias("num"),
-                date.alias("date"),
-            ).alias("key"),
-            v["norm"].alias("norm"),
+        is_number, is_date = v["number"].isNotNull() | F.coalesce(lone_year, F.lit(False)), v["date"].isNotNull()
+        key = F.struct(
+            F.when(is_number, F.lit("number")).when(is_date, F.lit("date")).otherwise(F.lit("text")).alias("kind"),
+            F.when(~is_number & ~is_date, v["norm"]).alias("word"),
+            let(number, near_whole).alias("num"),
+            F.when(~is_number, v["date"]).alias("date"),
         )
+        return F.struct(key.alias("key"), v["norm"].alias("norm"))
+
+    return F.transform(F.zip_with(texts, normal, read), keyed)
+
 
-    values = F.transform(F.zip_with(texts, normal, read), settle)
-    # Keep the first of equal values.
-    return F.filter(values, lambda v, i: F.array_position(F.transform(F.slice(values, 1, i + 1), lambda x: x["key"]), v["key"]) == i + 1)
+def first_of_equal(values: Column) -> Column:
+    """Drop values whose key came earlier in the list."""
+    keys = F.transform(values, lambda v: v["key"])
+    return let(keys, lambda k: F.filter(values, lambda v, i: F.array_position(k, v["key"]) == i + 1))
 
 
 def values_match(a: Column, b: Column) -> Column:
@@ -110,12 +123,10 @@ def _all_targets_found(target: str, pred: str) -> Column:
 
 
 def with_values(answers: DataFrame, **lists: str) -> DataFrame:
-    """Typed values of list columns: ``with_values(df, tv="target")`` adds ``tv`` for ``target``."""
-    for name, column in lists.items():
-        normal = answers.withColumn("_normal", normalize_texts(F.col(column)))
-        # The lists are bound before their values are compared with each other.
-        answers = normal.withColumn(name, typed_values(F.col(column), F.col("_normal"))).drop("_normal")
-    return answers
+    """Distinct typed values of list columns: ``with_values(df, tv="target")`` adds ``tv`` for ``target``."""
+    normal = answers.withColumns({f"{name}_normal": normalize_texts(F.col(c)) for name, c in lists.items()})
+    typed = normal.withColumns({name: typed_values(F.col(c), F.col(f"{name}_normal")) for name, c in lists.items()})
+    return typed.withColumns({name: first_of_equal(F.col(name)) for name in lists}).drop(*[f"{n}_normal" for n in lists])
 
 
 def strict_match(answers: DataFrame, target: str = "target", pred: str = "pred") -> DataFrame:
@@ -127,16 +138,17 @@ def strict_match(answers: DataFrame, target: str = "target", pred: str = "pred")
 def _without_units(texts: Column) -> Column:
     def strip(text: Column) -> Column:
         bare = reduce(lambda t, unit: F.lower(F.trim(F.replace(t, F.lit(unit), F.lit("")))), UNITS, text)
-        return F.transform(F.array(bare), lambda b: F.struct(to_float(b).alias("num"), b.alias("word")))[0]
+        return let(bare, _number_or_word)
 
-    kept = F.transform(texts, strip)
-    return F.transform(kept, lambda s: F.struct(s["num"].alias("num"), F.when(s["num"].isNull(), s["word"]).alias("word")))
+    return F.transform(texts, strip)
 
 
 def _is_one_of(values: str, words: list[str], number: float | None = None) -> Column:
     key = F.get(F.col(values), F.lit(0))["key"]
-    hit = key["word"].isin(*words) if number is None else key["word"].isin(*words) | (key["num"] == number)
-    return (F.size(values) == 1) & F.coalesce(hit, F.lit(False)) | F.lit(False)
+    hit = F.coalesce(key["word"].isin(*words), F.lit(False))
+    if number is not None:
+        hit |= F.coalesce(key["num"] == number, F.lit(False))
+    return (F.size(values) == 1) & hit
 
 
 def flexible_match(answers: DataFrame, target: str = "target", pred: str = "pred") -> DataFrame:

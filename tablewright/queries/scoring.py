@@ -9,7 +9,7 @@ from tablewright.functions.normalize import fuzz_ratio, normalize_text
 from tablewright.functions.numbers import float_text
 from tablewright.operators import scoring
 from tablewright.queries import query
-from tablewright.sources.driver_tables import table
+from tablewright.sources.driver_tables import spread, table
 
 # The reference answer lists price, status and customer; the order key picks how the prediction departs from it.
 _PREDICTIONS_SQL = """
@@ -33,7 +33,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     forms = [joined(p, s, c), joined(c, s, p), F.concat(joined(p, s, c), F.lit(".0")), joined(p, s)]
     forms += [F.concat(F.lit(" "), joined(p, F.lower(s), c), F.lit(" ")), F.concat(joined(p, s, c), F.lit("1"))]
-    return table(spark, sf_dir, "orders").select(
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+    return spread(table(spark, sf_dir, "orders").select(*columns)).select(
         F.col("o_orderkey").alias("example_id"),
         (F.col("o_orderkey") % 3).cast("string").alias("checkpoint"),
         F.when(F.col("o_orderpriority") < "3", F.lit("test")).otherwise(F.lit("dev")).alias("split"),
@@ -97,7 +98,7 @@ def flexible_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.concat(F.lit("Customer "), c, F.lit(" (new)")), F.concat(F.lit('"customer  '), c, F.lit('"'))),
     ]
     way = (F.col("o_orderkey") % 7).cast("int")
-    listed = table(spark, sf_dir, "orders").select(
+    listed = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(
         F.col("o_orderkey").alias("example_id"),
         F.array(F.get(F.array(*[t for t, _ in pairs]), way)).alias("target"),
         F.array(F.get(F.array(*[p for _, p in pairs]), way)).alias("pred"),
@@ -113,7 +114,7 @@ def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", normalize_text("text").alias("normal"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", normalize_text("text").alias("normal"))
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import numbers, text
 from tablewright.operators import derived
 from tablewright.queries import query
-from tablewright.sources.driver_tables import table
+from tablewright.sources.driver_tables import spread, table
 
 # Lists of words and numbers, cut by a mark that the part key picks; brands are the tables.
 _LISTS_SQL = r"""
@@ -202,7 +202,7 @@ def md5_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The whole token text is compared through its MD5.
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         text.token_count(F.col("text")).alias("n_tokens"),
         F.md5(F.array_join(text.tokens(F.col("text")), " ")).alias("token_text"),

@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(scanned: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that came in fewer pieces than there are cores.
+
+    Only worth it before heavy work inside rows, and only for files of a few splits: a large scan has
+    more splits than cores and is left alone.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned if scanned.rdd.getNumPartitions() >= cores else scanned.repartition(cores)
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines numbered inside their order: the rows of one small table per order."""
     return row_positions(table(spark, sf_dir, "lineitem"), ["l_orderkey"], LINE_ORDER)
@@ -111,3 +121,52 @@ def order_text_meta(tables: DataFrame) -> DataFrame:
 
 def order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"))
+
+
+def order_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan document per order: a limit over a sort over one scan, or two for even keys. Open orders have none."""
+    price, customer = float_text(F.col("o_totalprice")), F.col("o_custkey").cast("string")
+    second_scan = F.when(
+        F.col("o_orderkey") % 2 == 0,
+        F.lit("<Plan><Node-Type>Index Scan</Node-Type><Index-Name><![CDATA[by <key>]]></Index-Name><Heap-Fetches>3</Heap-Fetches></Plan>"),
+    ).otherwise(F.lit(""))
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?>\n<explain xmlns="http://www.postgresql.org/2009/explain"><Query>\n<Plan>'),
+        F.lit("<Node-Type>Limit</Node-Type><Parallel-Aware>false</Parallel-Aware><Startup-Cost>1.5</Startup-Cost>\n"),
+        F.lit("<Plans><Plan><Node-Type>Sort</Node-Type><Parent-Relationship>Outer</Parent-Relationship>"),
+        F.lit("<Sort-Key><Item>o_custkey</Item><Item>"),
+        F.col("o_orderpriority"),
+        F.lit(" DESC</Item></Sort-Key><!-- sorted --><Plans><Plan><Node-Type> Seq Scan </Node-Type><Relation-Name>w</Relation-Name>"),
+        F.lit("<Filter>((p &lt; "),
+        price,
+        F.lit(") AND (c &gt; "),
+        customer,
+        F.lit("))</Filter><Alias/></Plan>"),
+        second_scan,
+        F.lit("</Plans></Plan></Plans></Plan><Planning-Time>0.1</Planning-Time><Triggers><Trigger/></Triggers></Query></explain>"),
+    )
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+    return spread(table(spark, sf_dir, "orders").select(*columns)).select(
+        F.col("o_orderkey").alias("plan_id"), F.when(F.col("o_orderstatus") != "O", xml).alias("xml_plan")
+    )
+
+
+def geo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region to nation to customer to order, and a shortcut from region to customer: one graph per region."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("graph_id"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey")
+    order = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+
+    def node(kind: str, key: str) -> Column:
+        return F.concat(F.lit(kind), F.col(key).cast("string"))
+
+    pairs = [
+        nation.select("graph_id", node("r", "graph_id").alias("src"), node("n", "n_nationkey").alias("dst")),
+        customer.select("graph_id", node("n", "n_nationkey").alias("src"), node("c", "c_custkey").alias("dst")),
+        customer.select("graph_id", node("r", "graph_id").alias("src"), node("c", "c_custkey").alias("dst")),
+        order.join(customer, "c_custkey").select("graph_id", node("c", "c_custkey").alias("src"), node("o", "o_orderkey").alias("dst")),
+    ]
+    edges = pairs[0]
+    for more in pairs[1:]:
+        edges = edges.unionByName(more)
+    return edges
