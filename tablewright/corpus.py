@@ -59,8 +59,13 @@ def lower_text_cells(rows: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.select("table_id", "row_pos", cells.alias("cells"))
 
 
+def raw_cells(rows: DataFrame) -> DataFrame:
+    """One row per cell of text rows: ``(table_id, row_pos, col_pos, raw)``, columns counting from 0."""
+    # The outer form keeps Spark from building every list twice, once to test it for emptiness.
+    cells = rows.select("table_id", "row_pos", F.posexplode_outer("cells").alias("col_pos", "raw"))
+    return cells.where("col_pos IS NOT NULL")
+
+
 def to_cells(rows: DataFrame) -> DataFrame:
     """One row per cell: ``(table_id, row_pos, col_pos, raw, num)``, columns counting from 0."""
-    return rows.select("table_id", "row_pos", F.posexplode("cells").alias("col_pos", "cell")).select(
-        "table_id", "row_pos", "col_pos", F.col("cell.raw").alias("raw"), F.col("cell.num").alias("num")
-    )
+    return raw_cells(rows).select("table_id", "row_pos", "col_pos", "raw.raw", "raw.num")

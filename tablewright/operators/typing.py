@@ -9,17 +9,27 @@ from tablewright.functions.numbers import float_or_null, float_text, is_strict_f
 from tablewright.functions.numbers import value_text as typed_text
 from tablewright.skew import in_order
 
-# Date forms tried in this order.
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
+# Date forms by the shape of the text: only a text of the right shape reaches a parser.
+DATE_FORMS = {
+    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
+    r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
+    r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd",
+    r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy",
+    r"^\d{1,2} [A-Za-z]+ \d{4}$": "d MMMM yyyy",
+    r"^[A-Za-z]+ \d{1,2}, \d{4}$": "MMMM d, yyyy",
+}
 RESULT_MARK = r"\| "
 LIST_MARK = ",, "
 
 
 def to_timestamp(text: Column) -> Column:
     """A timestamp in one of the known forms, else NULL."""
-    # A digit-led or month-led guard keeps the parsers away from plain words.
-    dated = F.when(text.rlike(r"\d{4}"), text)
-    return F.coalesce(*[F.try_to_timestamp(dated, F.lit(form)) for form in DATE_FORMATS])
+    stripped = F.trim(text)
+    parsed = F.lit(None).cast("timestamp")
+    for shape, form in reversed(DATE_FORMS.items()):
+        spaced = F.replace(stripped, F.lit("T"), F.lit(" ")) if "[ T]" in shape else stripped
+        parsed = F.when(stripped.rlike(shape), F.try_to_timestamp(spaced, F.lit(form))).otherwise(parsed)
+    return parsed
 
 
 def identify_cells(raw_cells: DataFrame) -> DataFrame:
@@ -33,10 +43,12 @@ def vote_column_types(cells: DataFrame) -> DataFrame:
 
     A column with any number is ``number``, else with any date ``timestamp``, else ``text``.
     """
-    counted = cells.groupBy("table_id", "col_pos").agg(
+    number = to_float(F.col("raw"))
+    tested = cells.select("table_id", "col_pos", number.alias("num"), to_timestamp(F.col("raw")).alias("at"))
+    counted = tested.groupBy("table_id", "col_pos").agg(
         F.count("*").alias("n_cells"),
-        F.count(float_or_null(F.col("raw"))).alias("n_numbers"),
-        F.count(to_timestamp(F.col("raw"))).alias("n_dates"),
+        F.count_if(F.col("num").isNotNull() & ~F.isnan("num")).alias("n_numbers"),
+        F.count("at").alias("n_dates"),
     )
     kind = F.when(F.col("n_numbers") > 0, F.lit("number")).when(F.col("n_dates") > 0, F.lit("timestamp"))
     return counted.withColumn("kind", kind.otherwise(F.lit("text")))

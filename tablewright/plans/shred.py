@@ -63,17 +63,14 @@ FACT, OPEN_PLAN, CLOSE_PLAN, OPEN_HOLDER, CLOSE_HOLDER = range(5)
 
 
 def _text(tag: Column) -> Column:
-    """Trimmed, unescaped text after a tag; CDATA is taken literally."""
-    raw = F.regexp_replace(tag, r"(?s)^<[^>]*>\s*|\s*(</[^<]*>\s*)?$", "")
-
-    def read(text: Column) -> Column:
-        plain = text
-        for entity, char in ENTITIES.items():
-            plain = F.replace(plain, F.lit(entity), F.lit(char))
-        literal = F.regexp_replace(text, r"<!\[CDATA\[|\]\]>", "")
-        return F.when(F.contains(text, F.lit("<![CDATA[")), literal).when(F.contains(text, F.lit("&")), plain).otherwise(text)
-
-    return let(raw, read)
+    """Trimmed, unescaped text behind a tag, up to its closing tag; CDATA is taken literally."""
+    body = F.substring(tag, F.instr(tag, ">") + 1, F.length(tag))
+    plain = F.btrim(F.substring_index(body, "</", 1), F.lit(" \t\r\n"))
+    unescaped = plain
+    for entity, char in ENTITIES.items():
+        unescaped = F.replace(unescaped, F.lit(entity), F.lit(char))
+    literal = F.regexp_replace(body, r"(?s)^\s*<!\[CDATA\[|\]\]>\s*(</[^<]*)?$|\]\]>[^<]*<!\[CDATA\[", "")
+    return F.when(F.contains(body, F.lit("<![CDATA[")), literal).when(F.contains(body, F.lit("&")), unescaped).otherwise(plain)
 
 
 def _tags(xml: Column, ignored: list[str]) -> Column:
@@ -81,21 +78,22 @@ def _tags(xml: Column, ignored: list[str]) -> Column:
     found = F.regexp_extract_all(F.regexp_replace(xml, COMMENT_PATTERN, ""), F.lit(TAG_PATTERN), F.lit(0))
 
     def read(tag: Column) -> Column:
-        name = F.regexp_extract(tag, r"^</?(?:[^\s>/:]+:)?([^\s>/]+)", 1)
-        is_whole = tag.rlike(r"(?s)^<[^>]*/>|^<[^/].*</[^<]*>$")
         closes = tag.startswith("</")
-        return let(
-            name,
-            lambda n: F.struct(
-                F.when(is_whole, F.lit(FACT))
-                .when(n == "Plan", F.when(closes, F.lit(CLOSE_PLAN)).otherwise(F.lit(OPEN_PLAN)))
-                .otherwise(F.when(closes, F.lit(CLOSE_HOLDER)).otherwise(F.lit(OPEN_HOLDER)))
-                .alias("does"),
-                n.alias("name"),
-                n.isin(*ignored).alias("is_ignored"),
-                _text(tag).alias("text"),
-            ),
-        )
+        # Only an element without elements inside was matched together with its closing tag.
+        is_whole = ~closes & (F.contains(tag, F.lit("</")) | tag.rlike("^<[^>]*/>"))
+
+        def described(name: Column) -> Column:
+            plan = F.when(closes, F.lit(CLOSE_PLAN)).otherwise(F.lit(OPEN_PLAN))
+            holder = F.when(closes, F.lit(CLOSE_HOLDER)).otherwise(F.lit(OPEN_HOLDER))
+            is_plan, is_ignored = name == "Plan", name.isin(*ignored)
+            return F.struct(
+                F.when(is_whole, F.lit(FACT)).when(is_plan, plan).otherwise(holder).alias("does"),
+                name.alias("name"),
+                is_ignored.alias("is_ignored"),
+                F.when(~closes & ~is_plan & ~is_ignored, _text(tag)).alias("text"),
+            )
+
+        return let(F.regexp_extract(tag, r"^</?(?:[^\s>/:]+:)?([^\s>/]+)", 1), described)
 
     # The lists of child plans carry nothing themselves: a plan always hangs under the last open one.
     return F.filter(F.transform(found, read), lambda t: (t["name"] != "Plans") & ~((t["does"] == FACT) & t["is_ignored"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.corpus import lower_text_cells, to_cells, type_rows
+from tablewright.corpus import lower_text_cells, raw_cells, to_cells, type_rows
 from tablewright.operators import answers, linear
 from tablewright.operators.relational import collapse_groups
 from tablewright.operators.typing import apply_column_types, identify_cells, type_results, vote_column_types
@@ -22,6 +22,7 @@ from tablewright.sources.driver_tables import (
     order_sketches,
     order_text_meta,
     order_text_rows,
+    spread,
     table,
 )
 
@@ -65,8 +66,7 @@ def swap_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def delinearize_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = linear.delinearize(linearize_tables(spark, sf_dir))
-    cells = rows.select("table_id", "row_pos", F.posexplode("cells").alias("col_pos", "raw"))
-    return identify_cells(cells)
+    return identify_cells(raw_cells(rows))
 
 
 @query(
@@ -77,6 +77,12 @@ def unreadable_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.delinearize(linearize_tables(spark, sf_dir))[2]
 
 
+def _order_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Votes do not depend on the row order, so the lines need no numbers here.
+    lines = spread(table(spark, sf_dir, "lineitem")).withColumn("row_pos", F.lit(None).cast("long"))
+    return vote_column_types(raw_cells(order_text_rows(lines)))
+
+
 @query(
     f"""WITH {ORDER_TEXT_CELLS} SELECT table_id, col_pos, count(*) AS n_cells, count(TRY_CAST(raw AS DOUBLE)) AS n_numbers,
       count(*) FILTER (col_pos = 3) AS n_dates,
@@ -84,8 +90,7 @@ def unreadable_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM text_cells GROUP BY table_id, col_pos"""
 )
 def column_type_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order_text_rows(order_lines(spark, sf_dir))
-    return vote_column_types(rows.select("table_id", F.posexplode("cells").alias("col_pos", "raw")))
+    return _order_votes(spark, sf_dir)
 
 
 @query(
@@ -98,9 +103,9 @@ def column_type_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def columns_by_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_text_rows(order_lines(spark, sf_dir))
-    votes = vote_column_types(rows.select("table_id", F.posexplode("cells").alias("col_pos", "raw")))
-    cells = apply_column_types(rows, votes).select("table_id", "row_pos", F.posexplode("cells").alias("col_pos", "c"))
-    return cells.select("table_id", "row_pos", "col_pos", "c.kind", "c.num", F.col("c.at").cast("string").alias("at"), "c.text")
+    cells = raw_cells(apply_column_types(rows, _order_votes(spark, sf_dir)))
+    at = F.col("raw.at").cast("string").alias("at")
+    return cells.select("table_id", "row_pos", "col_pos", "raw.kind", "raw.num", at, "raw.text")
 
 
 @query(
