@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import float_or_null
-from tablewright.skew import BLOCK_ROWS, block_of, in_order, row_positions
+from tablewright.skew import BLOCK_ROWS, HOT_ROWS, block_of, in_order, row_positions, sort_columns
 
 # --- projection and predicates ---
 
@@ -167,16 +168,16 @@ def ordered(
 
 def top_rows(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     """The first ``k`` rows in order with their ``rank``; only k rows per task are kept on the way."""
-    columns = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in order]
-    return row_positions(df.orderBy(*columns).limit(k).withColumn("_all", F.lit(1)), ["_all"], order, "rank").drop("_all")
+    top = df.orderBy(*sort_columns(order)).limit(k)
+    if k > HOT_ROWS:
+        return row_positions(top, [], order, "rank")
+    # At most k rows reach this window.
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*sort_columns(order))).cast("long"))
 
 
 def top_per_group(df: DataFrame, keys: list[str], k: int, order: list[str]) -> DataFrame:
     """The first ``k`` rows of every group with their ``rank``; Spark cuts groups to k rows before the shuffle."""
-    from pyspark.sql import Window as W
-
-    columns = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in order]
-    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*columns)))
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*sort_columns(order))))
     return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -48,8 +48,9 @@ IGNORED_TAGS = [
 # The shorter list of the older node tables, whose child positions count from 1.
 OLDER_IGNORED_TAGS = IGNORED_TAGS[:13]
 # A whole element without elements inside, or else a single tag with the text behind it. Text may hold CDATA.
-_CONTENT = r"[^<]*(?:<!\[CDATA\[.*?\]\]>[^<]*)*"
-TAG_PATTERN = rf"(?s)<([^\s>/!?]+)[^>]*(?<!/)>{_CONTENT}</\1\s*>|<(?![!?])[^>]+>{_CONTENT}"
+# Every repetition is possessive: a tag that is not whole is given up without trying shorter matches.
+_CONTENT = r"[^<]*+(?:<!\[CDATA\[.*?\]\]>[^<]*+)*+"
+TAG_PATTERN = rf"(?s)<([^\s>/!?]++)[^>]*+(?<!/)>{_CONTENT}</\1\s*+>|<(?![!?])[^>]++>{_CONTENT}"
 COMMENT_PATTERN = r"(?s)<!--.*?-->|<\?.*?\?>"
 # XML entities; the ampersand comes last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
@@ -75,7 +76,10 @@ def _text(tag: Column) -> Column:
 
 def _tags(xml: Column, ignored: list[str]) -> Column:
     """What the tags of a document do, in order, with name and text. Ignored facts are left out here."""
-    found = F.regexp_extract_all(F.regexp_replace(xml, COMMENT_PATTERN, ""), F.lit(TAG_PATTERN), F.lit(0))
+    # Most of a measured plan is ignored facts, so they go in one pass over the text, with comments and with the
+    # lists of child plans: a plan always hangs under the last open one.
+    passed_over = rf"{COMMENT_PATTERN}|<(?:{'|'.join(ignored)})(?:\s[^>]*+)?+(?:/>|>[^<]*+</[^>]*+>)|</?Plans/?>"
+    found = F.regexp_extract_all(F.regexp_replace(xml, passed_over, ""), F.lit(TAG_PATTERN), F.lit(0))
 
     def read(tag: Column) -> Column:
         closes = tag.startswith("</")
@@ -95,7 +99,6 @@ def _tags(xml: Column, ignored: list[str]) -> Column:
 
         return let(F.regexp_extract(tag, r"^</?(?:[^\s>/:]+:)?([^\s>/]+)", 1), described)
 
-    # The lists of child plans carry nothing themselves: a plan always hangs under the last open one.
     return F.filter(F.transform(found, read), lambda t: (t["name"] != "Plans") & ~((t["does"] == FACT) & t["is_ignored"]))
 
 

@@ -46,24 +46,25 @@ def row_positions(
     number of rows the group has in earlier ranges.
     """
     if keys and largest_group(df, keys) <= hot_rows:
-        window = W.partitionBy(*keys).orderBy(*_sort_columns(order))
+        window = W.partitionBy(*keys).orderBy(*sort_columns(order))
         return df.withColumn(name, F.row_number().over(window).cast("long"))
     return _range_positions(df, keys, order, name)
 
 
-def _sort_columns(order: list[str]) -> list[Column]:
+def sort_columns(order: list[str]) -> list[Column]:
+    """Sort columns from names, descending where a name starts with ``-``."""
     return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_first(c) for c in order]
 
 
 def _range_positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    sort_columns = [F.asc_nulls_first(k) for k in keys] + _sort_columns(order) + [F.asc("_copy")]
+    ranges = [F.asc_nulls_first(k) for k in keys] + sort_columns(order) + [F.asc("_copy")]
     # _copy separates equal rows, so that many copies of one row still spread over ranges.
     # The range of a row comes from sampling, so it is fixed by a checkpoint before it is used twice.
     ranged = (
         df.withColumn("_copy", F.monotonically_increasing_id())
-        .repartitionByRange(*sort_columns)
+        .repartitionByRange(*ranges)
         .withColumn("_range", F.spark_partition_id())
         .checkpoint()
     )
@@ -71,7 +72,7 @@ def _range_positions(df: DataFrame, keys: list[str], order: list[str], name: str
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     # A range continues at most one group, so at most one row per range has an offset: safe to broadcast.
     offsets = per_range.withColumn("_offset", F.sum("count").over(earlier)).where("_offset > 0").drop("count")
-    inside = W.partitionBy(*keys, "_range").orderBy(*_sort_columns(order), "_copy")
+    inside = W.partitionBy(*keys, "_range").orderBy(*sort_columns(order), "_copy")
     condition = F.col("r._range") == F.col("o._range")
     for key in keys:
         condition &= F.col(f"r.{key}").eqNullSafe(F.col(f"o.{key}"))
