@@ -129,6 +129,13 @@ def with_values(answers: DataFrame, **lists: str) -> DataFrame:
     return typed.withColumns({name: first_of_equal(F.col(name)) for name in lists}).drop(*[f"{n}_normal" for n in lists])
 
 
+def target_values(tagged: DataFrame, values: str = "values", canonical: str = "canonical") -> DataFrame:
+    """Adds ``target``: distinct typed values read from the canonical texts, with the normalised original texts."""
+    normal = tagged.withColumn("_normal", normalize_texts(F.col(values)))
+    typed = normal.withColumn("target", typed_values(F.col(canonical), F.col("_normal"))).drop("_normal")
+    return typed.withColumn("target", first_of_equal(F.col("target")))
+
+
 def strict_match(answers: DataFrame, target: str = "target", pred: str = "pred") -> DataFrame:
     """Adds ``strict``: as many distinct values on both sides, and every target has a match."""
     valued = with_values(answers, _t=target, _p=pred)

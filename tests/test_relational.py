@@ -60,3 +60,13 @@ def test_empty_sides_count_as_zero(spark):
     df = spark.createDataFrame([(5.0,)], "v double")
     gap = rel.one_value(df, F.max("v")) - rel.one_value(df.where("v > 9"), F.max("v"))
     assert spark.range(1).select(gap.alias("g")).first()["g"] == 5.0
+
+
+def test_text_arithmetic_and_totals(spark):
+    df = spark.createDataFrame([("5", "2"), ("x", "2"), ("6", "0"), (None, "1")], "a string, b string")
+    difference, quotient = (rel.text_arithmetic(F.col("a"), op, F.col("b")) for op in "-/")
+    got = df.select(difference.alias("d"), quotient.alias("q")).collect()
+    assert [tuple(r) for r in got] == [(3.0, 2.5), (None, None), (6.0, None), (None, None)]
+    assert df.agg(rel.text_total(F.col("a")).alias("t")).first()["t"] == 11.0
+    assert df.where("a = 'x'").agg(rel.text_total(F.col("a")).alias("t")).first()["t"] == 0.0
+    assert [r["b"] for r in rel.distinct_values(df, "b").orderBy("b").collect()] == ["0", "1", "2"]

@@ -92,3 +92,10 @@ def test_summary(spark):
     assert got["1"]["samples"] == 2 and got["1"]["denotation_accuracy"] == pytest.approx(1 / 3)
     assert got["1"]["distance_mode"] == 1 and got["1"]["distance_std"] == pytest.approx((2 / 9) ** 0.5)
     assert got["2"]["distance_std"] == 0.0
+
+
+def test_target_values_are_read_from_canonical_texts(spark):
+    row = (["Five", "May 2001", "Bob."], ["5.0", "2001-05-xx", "bob"])
+    df = spark.createDataFrame([row], "values array<string>, canonical array<string>")
+    got = [(v["key"]["kind"], v["key"]["num"], v["norm"]) for v in scoring.target_values(df).first()["target"]]
+    assert got == [("number", 5.0, "five"), ("date", None, "may 2001"), ("text", None, "bob")]
