@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def bucket_of_id(name: str, buckets: int) -> Column:
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """A record batch in slices whose texts hold about ``limit`` bytes, without copying."""
     texts = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+    sizes = pc.binary_length(texts).fill_null(0).to_pylist()
     start, held = 0, 0
     for row, size in enumerate(sizes):
         if held and held + size > limit:

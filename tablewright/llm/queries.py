@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import topk
+from tablewright.llm import bpe, topk
 from tablewright.llm.common import table
 from tablewright.queries import Query, Registered
 
@@ -44,3 +44,16 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(rows, rows.where(F.col("id") % 50 == 0), k=5)
+
+
+def rank_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query()
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_decode(table(spark, sf_dir, "documents"), rank_file())
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return encoded.select("doc_id", "n_tokens", *digests)

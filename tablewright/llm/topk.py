@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
 
 def _dense(lists: pa.ListArray, width: int) -> np.ndarray:
     """Weights as rows; a vector shorter than the others has no terms beyond its end."""
-    lengths = np.asarray(pa.compute.list_value_length(lists))
+    lengths = np.asarray(pc.list_value_length(lists))
     flat = np.asarray(lists.flatten(), dtype=np.int64)
     out = np.zeros((len(lengths), width), dtype=np.int64)
     out[np.arange(width)[None, :] < lengths[:, None]] = flat
@@ -96,7 +97,7 @@ def _cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         rows = rows.sort_by("id")
         lists = [t.column("weights").combine_chunks() for t in (queries, rows)]
-        width = max(pa.compute.max(pa.compute.list_value_length(x)).as_py() for x in lists)
+        width = max(pc.max(pc.list_value_length(x)).as_py() for x in lists)
         ids = [np.asarray(t.column("id"), dtype=np.int64) for t in (queries, rows)]
         best = best_in_cell(ids[0], _dense(lists[0], width), ids[1], _dense(lists[1], width), k)
         return pa.table(dict(zip(names, map(pa.array, best), strict=True)))
