@@ -23,11 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import text_slices, written
+from tablewright.llm.common import bounded_batches, text_slices, written
 from tablewright.llm.pretokens import distinct, pretokens, ragged
 
-BLOCK_BYTES = 8_000_000
-
 WORDS = pa.schema({"bucket": pa.int32(), "block": pa.int64(), "codes": pa.binary(), "words": pa.binary()})
 IDS = pa.schema({"block": pa.int64(), "codes": pa.binary(), "counts": pa.binary(), "ids": pa.binary()})
 BLOCKS = pa.schema({"block": pa.int64(), "docs": pa.binary(), "words": pa.int64(), "codes": pa.binary()})
@@ -82,7 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
     """block id, documents, pre-tokens in each, their word codes, distinct words. Numbered by partition and place in it."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in text_slices(batch, "text", BLOCK_BYTES):
+        for part in text_slices(batch, "text"):
             words, counts = pretokens(part.column("text"))
             codes, known = distinct(words)
             yield block, part, counts, codes, known
@@ -195,6 +193,7 @@ def encode_decode(docs: DataFrame, path: str, buckets: int | None = None) -> Dat
     bucket are bounded by a split's size.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(texts)
     buckets = buckets or 2 * max(1, texts.rdd.getNumPartitions())
     words = texts.mapInArrow(_words(buckets), sql_schema(WORDS))
     ids = written(words.groupBy("bucket").applyInArrow(_encode_words(path), sql_schema(IDS)), "bpe-words")

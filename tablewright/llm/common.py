@@ -38,6 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """The same rows; the session sends texts to Python in Arrow batches of this many rows at most.
+
+    Spark's own 10,000 rows are sized for numbers. The setting stays on the session, since Spark reads it when the job runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def bucket_of_id(name: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo the number of buckets; how rows are held out."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % buckets

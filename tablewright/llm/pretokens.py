@@ -45,7 +45,7 @@ def pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if not data:
         return pa.array([], pa.large_binary()), np.zeros(len(texts), dtype=np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)
-    at = np.flatnonzero((raw & 0xC0) != 0x80)  # where characters start
+    at = np.flatnonzero((raw & 0xC0) != 0x80).astype(np.uint32)  # where characters start
     points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     kind = character_classes()[points]
     n = len(points)
