@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, topk
+from tablewright.llm import bpe, token_files, topk
 from tablewright.llm.common import table
 from tablewright.queries import Query, Registered
 
@@ -57,3 +57,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_decode(table(spark, sf_dir, "documents"), rank_file())
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
     return encoded.select("doc_id", "n_tokens", *digests)
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.folder_for(docs)
+    manifest = token_files.write_files(docs, tokenizer_file(), folder, end_id=2)
+    rows = token_files.read_files(manifest, folder)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
