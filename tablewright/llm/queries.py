@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, token_files, topk
+from tablewright.llm import bpe, decontaminate, token_files, topk
 from tablewright.llm.common import table
 from tablewright.queries import Query, Registered
 
@@ -72,3 +72,48 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_files(docs, tokenizer_file(), folder, end_id=2)
     rows = token_files.read_files(manifest, folder)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+SPANS_SQL = r"""
+WITH w AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM w WHERE len(w) > 0)
+), d AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+    CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w
+  FROM documents
+), places AS (
+  SELECT row_no, w, n, unnest(range(1, len(w) - n + 2)) AS s
+  FROM d, (SELECT DISTINCT n FROM phrases) WHERE len(w) >= n
+), found AS (
+  SELECT row_no, s, p.n, item_id FROM (SELECT row_no, s, n, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM places) p
+  JOIN phrases USING (n, phrase)
+), hit AS (
+  SELECT row_no, count(DISTINCT word) AS n_hit FROM (SELECT row_no, unnest(range(s, s + n)) AS word FROM found) GROUP BY row_no
+), items AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row_no, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY row_no
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row_no) LEFT JOIN items USING (row_no)
+"""
+
+
+@query(SPANS_SQL)
+def op10_benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = decontaminate.windows(table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_spans(table(spark, sf_dir, "documents"), phrases)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
