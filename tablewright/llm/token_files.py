@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -133,13 +134,39 @@ def tokenizer(path: str):
     return loaded
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in a row, and the end of each text. The library encodes each distinct pre-token of the texts once."""
+class WordCache:
+    """The ids of the words met so far in a task, up to a bound; the library encodes every other distinct word once."""
+
+    def __init__(self, path: str, words: int = 500_000) -> None:
+        self.path, self.most = path, words
+        self.known = pa.array([], pa.large_binary())
+        self.lengths = np.empty(0, dtype=np.int64)
+        self.flat = np.empty(0, dtype=np.uint32)
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the distinct ``words`` in a row, and how many each has."""
+        at = np.array(pc.index_in(words, value_set=self.known).fill_null(-1), dtype=np.int64)
+        new = words.filter(pa.array(at < 0))
+        ids = [e.ids for e in tokenizer(self.path).encode_batch_fast(new.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+        fresh = np.fromiter(map(len, ids), np.int64, len(ids))
+        if len(self.known) + len(new) > self.most:  # starts anew from these words
+            kept = at >= 0
+            own = at[kept]
+            flat = ragged(self.flat, (np.cumsum(self.lengths) - self.lengths)[own], self.lengths[own])
+            self.known, self.lengths, self.flat = words.filter(pa.array(kept)), self.lengths[own], flat
+            at[kept] = np.arange(len(own))
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new])
+        self.lengths = np.concatenate([self.lengths, fresh])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(fresh.sum()))])
+        return ragged(self.flat, (np.cumsum(self.lengths) - self.lengths)[at], self.lengths[at]), self.lengths[at]
+
+
+def encode_texts(texts: pa.Array, cache: WordCache, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, and the end of each text."""
     words, counts = pretokens(texts)
     codes, known = distinct(words)
-    ids = [e.ids for e in tokenizer(path).encode_batch_fast(known.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+    flat, lengths = cache.ids_of(known)
     row = ragged(flat, (np.cumsum(lengths) - lengths)[codes], lengths[codes])
     ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.cumsum(counts)]
     if end_id is None:
@@ -149,9 +176,10 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.nda
 
 def _encode(path: str, end_id: int | None, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordCache(path)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids, ends = encode_texts(part.column("text"), path, end_id)
+                ids, ends = encode_texts(part.column("text"), cache, end_id)
                 docs = part.column("doc_id")
                 files = np.searchsorted(bounds, docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
                 starts = np.concatenate([[0], ends[:-1]])

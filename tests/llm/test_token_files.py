@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,15 @@ def test_edge_rows(spark, tmp_path):
         assert sorted(got, key=lambda r: (r[1], r[2], str(r[0]))) == sorted(brute(rows, end_id), key=lambda r: (r[1], r[2], str(r[0])))
 
 
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_word_cache_starts_anew(most):
+    cache, plain = tf.WordCache(tokenizer_file(), most), tf.tokenizer(tokenizer_file())
+    for texts in (["a bcd xyzzy", ""], ["bcd q", None], ["a q\n\nxyzzy", "é"]):
+        ids, ends = tf.encode_texts(pa.array(texts, pa.string()), cache, None)
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for x in want for i in x] and ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     manifest = tf.write_files(docs, tokenizer_file(), f"{tmp_path}/none")
