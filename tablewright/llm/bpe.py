@@ -30,7 +30,7 @@ WORDS = pa.schema({"bucket": pa.int32(), "block": pa.int64(), "codes": pa.binary
 IDS = pa.schema({"block": pa.int64(), "codes": pa.binary(), "counts": pa.binary(), "ids": pa.binary()})
 BLOCKS = pa.schema({"block": pa.int64(), "docs": pa.binary(), "words": pa.int64(), "codes": pa.binary()})
 ENCODED = pa.schema({"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary(), "decoded": pa.binary()})
-SQL_TYPES = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+SQL_TYPES = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary"}
 
 
 def sql_schema(schema: pa.Schema) -> str:

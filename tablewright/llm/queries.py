@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, jaccard, token_files, topk
-from tablewright.llm.common import table
+from tablewright.llm import bpe, decontaminate, jaccard, language, token_files, topk
+from tablewright.llm.common import bucket_of_id, table
 from tablewright.queries import Query, Registered
 
 REGISTRY: dict[str, Registered] = {}
@@ -122,3 +122,15 @@ def op10_benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language.Model:
+    """Learned from the documents that are not held out."""
+    return language.learn(table(spark, sf_dir, "documents").where(bucket_of_id("doc_id", 4) != 2))
+
+
+@query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.language_of(docs, language_model(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(bucket_of_id("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
