@@ -217,15 +217,16 @@ def _bloom_part(group: pa.Table) -> pa.Table:
     return pa.table([[group.column("part")[0].as_py()], [np.packbits(bits).tobytes()]], schema=LEVELS)
 
 
-def _bloom_at(key: bytes) -> int:
-    return int.from_bytes(key[:4], "big") >> (32 - BLOOM_BITS)
+def _bloom_at(key: bytes, doc_id: int | None) -> int:
+    return xxhash.xxh64_intdigest(key + (b"" if doc_id is None else str(doc_id).encode()), 42) >> (64 - BLOOM_BITS)
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for the first bits of every key: 8 MB at any number of keys. Other keys that share them only cost their transport."""
-    first = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
-    at = F.shiftright(first, 32 - BLOOM_BITS)
-    rows = keys.select(F.shiftright(at, BLOOM_BITS - 8).cast("int").alias("part"), (at % 2 ** (BLOOM_BITS - 8)).cast("int").alias("at")).distinct()
+def class_filter(classes: DataFrame) -> np.ndarray:
+    """A bit for the hash of every ``key`` and the ``doc`` that stands for it: 8 MB at any number of classes. Others that share a bit only
+    cost their transport."""
+    named = F.xxhash64(F.concat("key", F.encode(F.coalesce(F.col("doc").cast("string"), F.lit("")), "utf-8")))
+    at = F.shiftrightunsigned(named, 64 - BLOOM_BITS)
+    rows = classes.select(F.shiftright(at, BLOOM_BITS - 8).cast("int").alias("part"), (at % 2 ** (BLOOM_BITS - 8)).cast("int").alias("at")).distinct()
     out = np.zeros((256, 2 ** (BLOOM_BITS - 8) // 8), dtype=np.uint8)
     for row in rows.groupBy("part").applyInArrow(_bloom_part, sql_schema(LEVELS)).collect():
         out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
@@ -234,12 +235,12 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
 def _sets(bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _slices(batches):
+        for part, sets in _slices(batches):
             found = {}
-            for own in sets:
+            for doc_id, own in zip(part.column("doc_id").to_pylist(), sets, strict=True):
                 if len(own):
                     key = set_key(own)
-                    at = _bloom_at(key)
+                    at = _bloom_at(key, doc_id)
                     if bloom.value[at >> 3] >> (7 - (at & 7)) & 1:
                         found[key] = own.tobytes()
             yield _batch(SETS, list(found.items()))
@@ -304,9 +305,6 @@ def link_classes(docs: DataFrame) -> Classes:
     classes = members.join(postings.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("ranges").alias("ranges"))
     classes = written(classes, "classes")
     labels = classes.select("key", F.col("key").alias("label"))
-    bloom = spark.sparkContext.broadcast(key_filter(classes.select("key")))
-    sets = texts.mapInArrow(_sets(bloom), sql_schema(SETS)).groupBy("key").agg(F.first("grams").alias("grams"))
-    sets = written(sets, "sets")
     live = written(postings.join(classes.select("key", "doc"), "key"), "live")
     links, last = None, False
     while True:
@@ -325,9 +323,12 @@ def link_classes(docs: DataFrame) -> Classes:
         ranges = lambda side: classes.select(F.col("key").alias(side), F.col("ranges").alias(f"ranges_{side}"))
         able = pairs.join(ranges("a"), "a").join(ranges("b"), "b").mapInArrow(_suffix_filter, sql_schema(PAIR))
         able = written(able, "pairs")
+        asked = able.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        bloom = spark.sparkContext.broadcast(class_filter(classes.join(asked, "key", "left_semi")))
+        sets = written(texts.mapInArrow(_sets(bloom), sql_schema(SETS)), "sets")
         carried = able.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("theirs")), "b")
         found = sets.groupBy("key").cogroup(carried.groupBy("a")).applyInArrow(_verify, sql_schema(PAIR))
-        found = written(found, "links")
+        found = written(found.distinct(), "links")
         if found.isEmpty():
             if last:
                 return Classes(members, labels)
