@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, jaccard, language, token_files, topk
+from tablewright.llm import bpe, decontaminate, jaccard, language, token_files, topk, toxicity
 from tablewright.llm.common import bucket_of_id, table
 from tablewright.queries import Query, Registered
 
@@ -134,3 +134,16 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.language_of(docs, language_model(spark, sf_dir))
     return found.select("doc_id", F.coalesce(bucket_of_id("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(bucket_of_id("doc_id", 5) != 0)
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels)
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_of(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    held_out = F.coalesce(bucket_of_id("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
