@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, jaccard, language, token_files, topk, toxicity
+from tablewright.llm import bpe, decontaminate, jaccard, language, token_files, topk, toxicity, urls
 from tablewright.llm.common import bucket_of_id, table
 from tablewright.queries import Query, Registered
 
@@ -147,3 +147,40 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity_of(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     held_out = F.coalesce(bucket_of_id("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _url_sql() -> str:
+    """The rules, then both ranks round by round as one query each."""
+    name = lambda column: f"translate(regexp_extract({column}, '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
+    order = sorted(urls.RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for h, p, _ in order]
+    rule = " ".join(f + f"'{h}{p}'" for f, (h, p, _) in zip(fits, order, strict=True))
+    ruled = " ".join(f + f"'{v}'" for f, (_, _, v) in zip(fits, order, strict=True))
+    href = urls.HREF.replace("'", "''")
+    steps = [
+        f"u AS MATERIALIZED (SELECT page_id, html, coalesce({name('url')}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
+        f"j AS MATERIALIZED (SELECT page_id, html, host, path, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM u)",
+        f"t AS MATERIALIZED (SELECT host, unnest(regexp_extract_all(html, '{href}', 1)) AS link FROM j)",
+        f"l AS MATERIALIZED (SELECT host AS src, {name('link')} AS dst FROM (SELECT host, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link FROM t))",
+        "c AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst)",
+        "e_allow AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM c)",
+        "e_block AS MATERIALIZED (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS weight FROM e_allow)",
+    ]
+    for verdict in ("allow", "block"):
+        steps.append(f"s_{verdict} AS MATERIALIZED (SELECT host FROM j WHERE host <> '' GROUP BY host HAVING sum(CASE WHEN ruled = '{verdict}' THEN 1 ELSE 0 END) * 2 > count(*))")
+        steps.append(f"m_{verdict} AS MATERIALIZED (SELECT host, 1.0::DOUBLE / (SELECT count(*) FROM s_{verdict}) AS mass FROM s_{verdict})")
+        before = f"m_{verdict}"
+        for step in range(urls.ROUNDS):
+            now, rank = f"r_{verdict}_{step}", "mass" if step == 0 else "rank"
+            flows = f"SELECT e.dst AS host, r.{rank} * e.weight * {urls.DAMPING} AS rank FROM {before} r JOIN e_{verdict} e ON r.host = e.src"
+            steps.append(f"{now} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM ({flows} UNION ALL SELECT host, mass * {1 - urls.DAMPING} FROM m_{verdict}) GROUP BY host)")
+            before = now
+    last = urls.ROUNDS - 1
+    bad = f"SELECT b.host FROM r_block_{last} b LEFT JOIN r_allow_{last} a ON a.host = b.host WHERE b.rank > coalesce(a.rank, 0)"
+    verdict = f"coalesce(ruled, CASE WHEN host IN ({bad}) THEN 'block' ELSE 'allow' END) AS verdict"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT page_id, host, path, rule, {verdict} FROM j"
+
+
+@query(_url_sql())
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
