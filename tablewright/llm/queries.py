@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, jaccard, language, token_files, topk, toxicity, urls
+from tablewright.llm import bpe, decontaminate, html_text, jaccard, language, token_files, topk, toxicity, urls
 from tablewright.llm.common import bucket_of_id, table
 from tablewright.queries import Query, Registered
 
@@ -184,3 +184,8 @@ def _url_sql() -> str:
 @query(_url_sql())
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
