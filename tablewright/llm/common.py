@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +67,67 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_CHARS) ->
         held += size
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array], column: str = "text") -> DataFrame:
+    """The rows, with all their columns, for which ``keep`` (a boolean for each row of a batch of bounded texts) is true; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, column):
+                yield part.filter(keep(part))
+
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
+
+
+# Rows of a stable scan (a table, not a sample or a limit) have the same number in every scan.
+ROW = "_row"
+MARK_BITS = 26
+MARK_PARTS = 256
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def mark_of(hash64: Column) -> Column:
+    return F.shiftrightunsigned(hash64, 64 - MARK_BITS)
+
+
+def marks(places: DataFrame) -> np.ndarray:
+    """A row of 2^26 bits, 8 MB at any number of rows, from a column ``at`` of :func:`mark_of` places."""
+    width = 2**MARK_BITS // MARK_PARTS
+
+    def part(group: pa.Table) -> pa.Table:
+        bits = np.zeros(width, dtype=np.uint8)
+        bits[group.column("at").to_numpy() % width] = 1
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    parts = places.select("at", F.floor(F.col("at") / width).cast("int").alias("part")).distinct()
+    out = np.zeros((MARK_PARTS, width // 8), dtype=np.uint8)
+    for row in parts.groupBy("part").applyInArrow(part, "part int, bits binary").collect():
+        out[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def is_marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def split_rows(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with their row number, as those that may be among ``rows`` (a column ``_row``) and those that are not.
+
+    The first part has all of ``rows`` and few others, so that a join with it moves little text; the second is done. Both are a scan each.
+    """
+    found = rows.sparkSession.sparkContext.broadcast(marks(rows.select(mark_of(F.xxhash64(ROW)).alias("at"))))
+    numbered = with_row(docs).withColumn("_at", mark_of(F.xxhash64(ROW)))
+
+    def chosen(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(batch.schema.get_field_index("_at")).to_numpy()
+                yield batch.filter(pa.array(is_marked(found.value, at) == wanted))
+
+        return bounded_batches(numbered).mapInArrow(run, numbered.schema).drop("_at")
+
+    return chosen(True), chosen(False)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import bounded_batches, text_slices, written
+from tablewright.llm.common import MARK_BITS, ROW, bounded_batches, is_marked, mark_of, marks, split_rows, text_slices, with_row, written
 from tablewright.llm.components import components
 from tablewright.llm.pretokens import distinct, flat_texts
 
@@ -37,15 +37,14 @@ COUNTER_BITS = 24
 RANGES = 64
 # All pairs between unconnected classes are formed once there are at most so many for each posting.
 PAIRS_PER_POSTING = 4
-BLOOM_BITS = 26
 
 COUNTS = pa.schema({"part": pa.int32(), "at": pa.binary(), "n": pa.binary()})
 LEVELS = pa.schema({"part": pa.int32(), "levels": pa.binary()})
-MEMBERS = pa.schema({"doc_id": pa.int64(), "key": pa.binary(), "n": pa.int32(), "ranges": pa.binary()})
+MEMBERS = pa.schema({ROW: pa.int64(), "doc_id": pa.int64(), "key": pa.binary(), "n": pa.int32(), "ranges": pa.binary()})
 PREFIXES = pa.schema({"bucket": pa.int32(), "grams": pa.binary(), "keys": pa.binary(), "sizes": pa.binary(), "places": pa.binary()})
 POSTINGS = pa.schema({"gram": pa.int64(), "key": pa.binary(), "n": pa.int32(), "pos": pa.int32()})
 SETS = pa.schema({"key": pa.binary(), "grams": pa.binary()})
-PAIR = pa.schema({"a": pa.binary(), "b": pa.binary()})
+PAIR = pa.schema({"a": pa.int64(), "b": pa.int64()})
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -159,7 +158,7 @@ def prefix_length(n: int) -> int:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, sets in _slices(batches):
         ranges = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype("<u4") for s in sets]
-        columns = [part.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+        columns = [part.column(ROW), part.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([packed(r) for r in ranges], pa.binary())], schema=MEMBERS)
 
 
@@ -205,43 +204,64 @@ def _shared(group: pa.Table) -> pa.Table:
     order, new_gram = order[new], new_gram[new]
     starts = np.flatnonzero(new_gram)
     sizes = np.diff(np.append(starts, len(order)))
-    order = order[np.repeat(sizes > 1, sizes)]
-    n, pos = (np.concatenate([unpacked(r[c]) for r in rows])[order] for c in ("sizes", "places"))
+    order, sizes = order[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+    n, pos = (np.concatenate([unpacked(r[c]) for r in rows]).astype(np.int64)[order] for c in ("sizes", "places"))
+    able = _has_partner(sizes, n, pos)
+    order, n, pos = order[able], n[able], pos[able]
     columns = [pa.array(grams[order].view(np.int64)), pa.array([k.tobytes() for k in keys[order]], pa.binary()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())]
     return pa.table(columns, schema=POSTINGS)
 
 
-def _bloom_part(group: pa.Table) -> pa.Table:
-    bits = np.zeros(2 ** (BLOOM_BITS - 8), dtype=np.uint8)
-    bits[group.column("at").to_numpy()] = 1
-    return pa.table([[group.column("part")[0].as_py()], [np.packbits(bits).tobytes()]], schema=LEVELS)
+# A 3-gram of more classes than this keeps all its postings; pairs are tested one by one later in any case.
+MOST_TESTED = 4096
 
 
-def _bloom_at(key: bytes, doc_id: int | None) -> int:
-    return xxhash.xxh64_intdigest(key + (b"" if doc_id is None else str(doc_id).encode()), 42) >> (64 - BLOOM_BITS)
+def _passes(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which pairs of the last axis pass the length and positional filters."""
+    total = n[..., :, None] + n[..., None, :]
+    shared = -(-PERCENT * total // (100 + PERCENT))
+    left = np.minimum((n - pos)[..., :, None], (n - pos)[..., None, :])
+    even = np.minimum(n[..., :, None], n[..., None, :]) * 100 >= np.maximum(n[..., :, None], n[..., None, :]) * PERCENT
+    return even & (left >= shared)
 
 
-def class_filter(classes: DataFrame) -> np.ndarray:
-    """A bit for the hash of every ``key`` and the ``doc`` that stands for it: 8 MB at any number of classes. Others that share a bit only
-    cost their transport."""
+def _has_partner(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Postings that pass the filters with some other posting of their 3-gram; ``sizes`` are the postings of each, in order."""
+    starts = np.cumsum(sizes) - sizes
+    able = np.zeros(len(n), dtype=bool)
+    for size in np.unique(sizes).tolist():
+        firsts = starts[sizes == size]
+        if size > MOST_TESTED:
+            able[(firsts[:, None] + np.arange(size)).ravel()] = True
+            continue
+        step = max(1, 2_000_000 // size**2)
+        for lo in range(0, len(firsts), step):
+            at = firsts[lo : lo + step, None] + np.arange(size)
+            passes = _passes(n[at], pos[at])
+            passes[:, np.arange(size), np.arange(size)] = False
+            able[at] = passes.any(axis=2)
+    return able
+
+
+def _mark(key: bytes, doc_id: int | None) -> int:
+    """As :func:`class_marks` has it: Spark's xxhash64 starts from 42."""
+    return xxhash.xxh64_intdigest(key + (b"" if doc_id is None else str(doc_id).encode()), 42) >> (64 - MARK_BITS)
+
+
+def class_marks(classes: DataFrame) -> np.ndarray:
+    """Marks of every ``key`` with the ``doc`` that stands for it. Others that share a mark only cost their transport."""
     named = F.xxhash64(F.concat("key", F.encode(F.coalesce(F.col("doc").cast("string"), F.lit("")), "utf-8")))
-    at = F.shiftrightunsigned(named, 64 - BLOOM_BITS)
-    rows = classes.select(F.shiftright(at, BLOOM_BITS - 8).cast("int").alias("part"), (at % 2 ** (BLOOM_BITS - 8)).cast("int").alias("at")).distinct()
-    out = np.zeros((256, 2 ** (BLOOM_BITS - 8) // 8), dtype=np.uint8)
-    for row in rows.groupBy("part").applyInArrow(_bloom_part, sql_schema(LEVELS)).collect():
-        out[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
-    return out.reshape(-1)
+    return marks(classes.select(mark_of(named).alias("at")))
 
 
-def _sets(bloom):
+def _sets(asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _slices(batches):
             found = {}
             for doc_id, own in zip(part.column("doc_id").to_pylist(), sets, strict=True):
                 if len(own):
                     key = set_key(own)
-                    at = _bloom_at(key, doc_id)
-                    if bloom.value[at >> 3] >> (7 - (at & 7)) & 1:
+                    if is_marked(asked.value, np.array([_mark(key, doc_id)]))[0]:
                         found[key] = own.tobytes()
             yield _batch(SETS, list(found.items()))
 
@@ -266,17 +286,17 @@ def _verify(own: pa.Table, others: pa.Table) -> pa.Table:
         return PAIR.empty_table()
     mine = np.frombuffer(own.column("grams")[0].as_py(), dtype=np.uint64)
     rows = []
-    for a, b, grams in zip(*(others.column(c) for c in ("a", "b", "theirs")), strict=True):
+    for a, b, grams in zip(others.column("a").to_pylist(), others.column("b").to_pylist(), others.column("theirs"), strict=True):
         theirs = np.frombuffer(grams.as_py(), dtype=np.uint64)
         shared = len(np.intersect1d(mine, theirs, assume_unique=True))
         if 100 * shared >= PERCENT * (len(mine) + len(theirs) - shared):
-            rows.append((a.as_py(), b.as_py()))
-    return pa.table([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], schema=PAIR)
+            rows.append((a, b))
+    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], schema=PAIR)
 
 
 @dataclass
 class Classes:
-    """``members``: doc_id, key, n. ``labels``: key, label of the classes that were linked with others."""
+    """``members``: _row, doc_id, key, n. ``labels``: key and label of the classes that share rare 3-grams with others."""
 
     members: DataFrame
     labels: DataFrame
@@ -290,12 +310,12 @@ def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     long_enough = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
     in_place = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= shared
     kept = both.where((F.col("x.label") != F.col("y.label")) & long_enough & in_place)
-    return kept.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    return kept.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame) -> Classes:
     """The classes of equal sets, and which of them links connect."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = with_row(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(texts)
     spark, buckets = docs.sparkSession, 2 * max(1, texts.rdd.getNumPartitions())
     members = written(texts.mapInArrow(_members, sql_schema(MEMBERS)), "members")
@@ -303,43 +323,57 @@ def link_classes(docs: DataFrame) -> Classes:
     prefixes = texts.mapInArrow(_prefixes(levels, buckets), sql_schema(PREFIXES))
     postings = written(prefixes.groupBy("bucket").applyInArrow(_shared, sql_schema(POSTINGS)), "postings")
     classes = members.join(postings.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("ranges").alias("ranges"))
-    classes = written(classes, "classes")
-    labels = classes.select("key", F.col("key").alias("label"))
-    live = written(postings.join(classes.select("key", "doc"), "key"), "live")
+    # Numbers take less room than digests in all that follows.
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    labels = classes.select("id", F.col("id").alias("label"))
+    live = written(postings.join(classes.select("key", "id", "doc"), "key").drop("key"), "live")
     links, last = None, False
     while True:
-        labelled = written(live.join(labels, "key"), "labelled")
+        labelled = written(live.join(labels, "id"), "labelled")
         sizes = labelled.groupBy("gram", "label").count().groupBy("gram").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
         work = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
         if not work[1]:
-            return Classes(members, labels)
+            break
         last = last or work[1] <= PAIRS_PER_POSTING * work[0]
         if last:
             pairs = _pairs(labelled, labelled)
         else:
-            first = labelled.groupBy("gram").agg(F.min(F.struct("doc", "key", "n", "pos", "label")).alias("p")).select("gram", "p.*")
+            first = labelled.groupBy("gram").agg(F.min(F.struct("doc", "id", "n", "pos", "label")).alias("p")).select("gram", "p.*")
             pairs = _pairs(first, labelled)
-            live = written(labelled.join(first.select("gram", "key"), ["gram", "key"], "left_anti").drop("label"), "live")
-        ranges = lambda side: classes.select(F.col("key").alias(side), F.col("ranges").alias(f"ranges_{side}"))
-        able = pairs.join(ranges("a"), "a").join(ranges("b"), "b").mapInArrow(_suffix_filter, sql_schema(PAIR))
-        able = written(able, "pairs")
-        asked = able.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        bloom = spark.sparkContext.broadcast(class_filter(classes.join(asked, "key", "left_semi")))
-        sets = written(texts.mapInArrow(_sets(bloom), sql_schema(SETS)), "sets")
-        carried = able.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("theirs")), "b")
-        found = sets.groupBy("key").cogroup(carried.groupBy("a")).applyInArrow(_verify, sql_schema(PAIR))
-        found = written(found.distinct(), "links")
-        if found.isEmpty():
-            if last:
-                return Classes(members, labels)
-            last = True
-            continue
-        links = found if links is None else links.unionAll(found)
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        joined = classes.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-        labels = written(joined.select("key", F.coalesce("root", "key").alias("label")), "labels")
+            live = written(labelled.join(first.select("gram", "id"), ["gram", "id"], "left_anti").drop("label"), "live")
+        found = _linked(texts, classes, pairs)
+        if found is not None:
+            links = found if links is None else links.unionAll(found)
+            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            joined = classes.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+            labels = written(joined.select("id", F.coalesce("root", "id").alias("label")), "labels")
         if last:
-            return Classes(members, labels)
+            break
+        last = found is None
+    return Classes(members, classes.select("key", "id").join(labels, "id").select("key", "label"))
+
+
+def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """The pairs that link, by the suffix filter and then the whole sets, which are read again for the classes still asked for."""
+    ranges = lambda side: classes.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}"), F.col("ranges").alias(f"ranges_{side}"))
+    able = written(pairs.join(ranges("a"), "a").join(ranges("b"), "b").mapInArrow(_suffix_filter, sql_schema(PAIR)), "pairs")
+    if able.isEmpty():
+        return None
+    asked = classes.join(able.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    marked = texts.sparkSession.sparkContext.broadcast(class_marks(asked))
+    sets = written(texts.mapInArrow(_sets(marked), sql_schema(SETS)), "sets")
+    keys = lambda side: classes.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}"))
+    carried = able.join(keys("a"), "a").join(keys("b"), "b").join(sets.select(F.col("key").alias("key_b"), F.col("grams").alias("theirs")), "key_b")
+    found = sets.groupBy("key").cogroup(carried.select("key_a", "a", "b", "theirs").groupBy("key_a")).applyInArrow(_verify, sql_schema(PAIR))
+    found = written(found.distinct(), "links")
+    return None if found.isEmpty() else found
+
+
+def labelled_members(docs: DataFrame) -> DataFrame:
+    """``_row, doc_id, n, label``: rows with one label are connected; rows without words have none."""
+    classes = link_classes(docs)
+    labelled = classes.members.select(ROW, "doc_id", "key", "n").join(classes.labels, "key", "left")
+    return labelled.select(ROW, "doc_id", "n", F.coalesce(F.concat(F.lit("c"), F.col("label").cast("string")), F.hex("key")).alias("label"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -349,9 +383,20 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     linked with nothing and keep their own id. Rows that share an id are judged one by one; a missing id is never the smallest unless
     a group has no other. ``docs`` must be a stable scan, since texts are read again rather than stored.
     """
-    classes = link_classes(docs)
-    labelled = classes.members.select("doc_id", "key", "n").join(classes.labels, "key", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "key"))
+    labelled = labelled_members(docs)
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of connected rows, with all its columns: that of the smallest doc_id, or of the first row without any id.
+
+    Rows without words are no copies of each other and stay.
+    """
+    labelled = labelled_members(docs).where("label IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
+    kept = labelled.groupBy("label").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    dropped = written(labelled.select(ROW).join(kept, ROW, "left_anti"), "dropped")
+    doubtful, others = split_rows(docs, dropped)
+    return others.select(*docs.columns).unionAll(doubtful.join(dropped, ROW, "left_anti").select(*docs.columns))
