@@ -7,16 +7,18 @@ passes over the stored indexes once. The spans found by all chunks are merged fo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import bounded_batches, text_slices, written
+from tablewright.llm.common import ROW, bounded_batches, split_rows, text_slices, with_row, written
 from tablewright.llm.fm_index import FMIndex
 from tablewright.llm.pretokens import distinct, flat_texts
 
@@ -29,12 +31,13 @@ LOCATE = 500_000
 # Words of a text as Spark and Python see them: what is left between ASCII characters other than digits and letters.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TO_LOWER = str.maketrans(UPPER, LOWER)
 
 INDEXES = pa.schema({"shard": pa.int64(), "docs": pa.binary(), "index": pa.binary()})
 HITS = pa.schema({"shard": pa.int64(), "starts": pa.binary(), "lengths": pa.binary(), "phrases": pa.binary(), "items": pa.binary()})
 SPAN = pa.struct({"start": pa.int32(), "end": pa.int32()})
-FOUND = pa.schema({"doc_id": pa.int64(), "n_words": pa.int64(), "spans": pa.list_(SPAN), "items": pa.list_(pa.int64())})
-FOUND_SQL = "doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<long>"
+FOUND = pa.schema({ROW: pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "spans": pa.list_(SPAN), "items": pa.list_(pa.int64())})
+FOUND_SQL = f"{ROW} long, doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<long>"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -65,7 +68,7 @@ def _indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             symbols = np.insert(codes + 2, doc_ends, 1)
             index = FMIndex.of(np.append(symbols, 0).astype(np.int32), known)
             docs = pa.BufferOutputStream()
-            rows = pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(counts, pa.int64())})
+            rows = pa.record_batch({ROW: part.column(ROW), "doc_id": part.column("doc_id"), "n_words": pa.array(counts, pa.int64())})
             with pa.ipc.new_stream(docs, rows.schema) as stream:
                 stream.write_batch(rows)
             values = ([shard], [docs.getvalue().to_pybytes()], [index.to_bytes()])
@@ -148,18 +151,18 @@ def _merge(shards: pa.Table, hits: pa.Table) -> pa.Table:
     items: list[set] = [set() for _ in range(len(counts))]
     for d, i in pairs:
         items[d].add(i)
-    columns = [docs.column("doc_id").combine_chunks(), pa.array(counts), pa.array(spans, FOUND.types[2]), pa.array([sorted(i) for i in items], FOUND.types[3])]
+    columns = [docs.column(ROW).combine_chunks(), docs.column("doc_id").combine_chunks(), pa.array(counts), pa.array(spans, FOUND.types[3]), pa.array([sorted(i) for i in items], FOUND.types[4])]
     return pa.table(columns, schema=FOUND)
 
 
 def find_spans(docs: DataFrame, phrases: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` of every document: spans are merged ranges of word numbers (from 0, end excluded) that lie in an
+    """``_row, doc_id, n_words, spans, items`` of every document: spans are merged ranges of word numbers (from 0, end excluded) that lie in an
     occurrence of some phrase, items the ids of all phrases that occur, ascending.
 
     ``phrases`` are rows ``phrase, items`` as :func:`windows` makes them; a phrase occurs inside one document only. Rows of ``docs`` with
-    equal or null ids are searched one by one; a null or empty text has no words.
+    equal or null ids are searched one by one, and ``_row`` tells them apart; a null or empty text has no words. ``docs`` must be a stable scan.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = with_row(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     indexes = written(bounded_batches(texts).mapInArrow(_indexes, sql_schema(INDEXES)), "fm-indexes")
     phrases = written(phrases, "phrases")
     size = phrases.agg(F.sum(F.octet_length("phrase") + 8 * F.size("items") + 50)).first()[0] or 0
@@ -170,3 +173,39 @@ def find_spans(docs: DataFrame, phrases: DataFrame, chunk_bytes: int = CHUNK_BYT
         shared = docs.sparkSession.sparkContext.broadcast(([r["phrase"] for r in part], [r["items"] for r in part]))
         hits = hits.unionAll(indexes.select("shard", "index").mapInArrow(_search(shared), sql_schema(HITS)))
     return indexes.select("shard", "docs").groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_merge, FOUND_SQL)
+
+
+def _without(text: str, spans: list[dict]) -> str | None:
+    """The text without the words of the spans and what stands between them; null if no word is left."""
+    words = [m.span() for m in re.finditer(WORD_PATTERN, text.translate(TO_LOWER))]
+    if sum(s["end"] - s["start"] for s in spans) == len(words):
+        return None
+    out, at = [], 0
+    for span in spans:
+        out.append(text[at : words[span["start"]][0]])
+        at = words[span["end"] - 1][1]
+    return "".join([*out, text[at:]])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_without(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        at = batch.schema.get_field_index("text")
+        out = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).remove_column(batch.schema.get_field_index("spans"))
+        yield out.filter(pc.is_valid(out.column(at)))
+
+
+def cut_spans(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``docs`` with all their columns, without the words that lie in phrases; a document of nothing else goes.
+
+    Clean rows pass as they are. An ``n_chars`` column follows the text it counts.
+    """
+    hit = written(find_spans(docs, phrases).where(F.size("spans") > 0).select(ROW, "spans"), "spans")
+    doubtful, clean = split_rows(docs, hit)
+    joined = doubtful.join(hit, ROW, "left")
+    passed = joined.where("spans IS NULL").select(*docs.columns)
+    dirty = joined.where("spans IS NOT NULL").select(*docs.columns, "spans")
+    cut = bounded_batches(dirty).mapInArrow(_cut, docs.schema)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns).unionAll(passed).unionAll(cut)

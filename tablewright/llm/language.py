@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import sql_schema
-from tablewright.llm.common import bounded_batches, text_slices
+from tablewright.llm.common import bounded_batches, filtered, text_slices
 from tablewright.llm.pretokens import LETTER, character_classes, flat_texts
 
 # Documents that a model is learned from, about; they are chosen by a hash of their id.
@@ -259,3 +259,14 @@ def language_of(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return bounded_batches(texts).mapInArrow(_identify(shared, penalty), RESULT_SQL)
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which at least this share of letters is in one learned language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(part: pa.RecordBatch) -> pa.Array:
+        langs, scores, _ = identify(part.column("text"), shared.value, penalty)
+        return pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_())
+
+    return filtered(docs, keep)

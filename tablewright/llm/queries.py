@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, html_text, jaccard, language, token_files, topk, toxicity, urls
+from tablewright.llm import bpe, chats, decontaminate, html_text, jaccard, language, token_files, topk, toxicity, urls
 from tablewright.llm.common import bucket_of_id, table
 from tablewright.queries import Query, Registered
 
@@ -52,13 +52,17 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@query()
-def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_decode(table(spark, sf_dir, "documents"), rank_file())
+def token_digests(docs: DataFrame) -> DataFrame:
+    encoded = bpe.encode_decode(docs, rank_file())
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
     return encoded.select("doc_id", "n_tokens", *digests)
 
 
+@query()
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -189,3 +193,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, count(*) AS n, list(md5(role) || md5(text) ORDER BY pos) AS turns,
+    string_agg('<|' || replace(role, '<|', '<\|') || '|>' || chr(10) || replace(text, '<|', '<\|') || '<|end|>' || chr(10), '' ORDER BY pos) AS text
+  FROM t GROUP BY conv_id
+), inner_prefixes AS (
+  SELECT DISTINCT k, md5(array_to_string(turns[1:k], '')) AS prefix FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)
+), whole AS (
+  SELECT n, md5(array_to_string(turns, '')) AS prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ALL
+)
+SELECT w.conv_id, 0::INTEGER AS segment, w.n AS n_turns, w.n_copies, c.text
+FROM whole w JOIN c ON c.conv_id = w.conv_id ANTI JOIN inner_prefixes p ON p.k = w.n AND p.prefix = w.prefix
+"""
+
+
+@query(CHAT_SQL)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.format_chats(table(spark, sf_dir, "conversations"))
