@@ -25,6 +25,14 @@ WHOLLY_QUOTED = re.compile(r'^"([^"]*)"$')
 SPACES = re.compile(r"\s+")
 
 
+def without_remarks(text: str) -> str:
+    """Cut citations and bracketed remarks from the end for as long as there are any."""
+    longer, text = None, text.strip()
+    while text != longer:
+        longer, text = text, BRACKETS_AT_END.sub("", CITATIONS_AT_END.sub("", text).strip()).strip()
+    return text
+
+
 def normalized(text: str | None) -> str | None:
     """Lower case, without accents, trailing citations, bracketed remarks, outer quotes and final dot."""
     if text is None:
@@ -32,12 +40,10 @@ def normalized(text: str | None) -> str | None:
     if not text.isascii():
         decomposed = unicodedata.normalize("NFKD", text)
         text = "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
-    text = text.translate(PLAIN_MARKS).strip()
-    before = None
-    while text != before:
-        before = text
-        for pattern, kept in ((CITATIONS_AT_END, ""), (BRACKETS_AT_END, ""), (WHOLLY_QUOTED, r"\1")):
-            text = pattern.sub(kept, text.strip())
+    text = without_remarks(text.translate(PLAIN_MARKS))
+    # Quotes hold no quotes, so they come off once at most; what they held may end in remarks of its own.
+    if quoted := WHOLLY_QUOTED.match(text):
+        text = without_remarks(quoted[1])
     return SPACES.sub(" ", text.removesuffix(".")).lower().strip()
 
 

@@ -13,11 +13,18 @@ ANSWER_MARK = "| "
 LIST_MARK = ",, "
 
 
-def numbers_text(numbers: Column) -> Column:
-    """``1| 2`` when every number is whole, else ``1.0| 2.5``; a missing number prints ``nan``."""
-    all_whole = F.forall(numbers, lambda x: F.coalesce((x == F.floor(x)) & ~F.isnan(x), F.lit(False)))
+def all_whole(numbers: Column) -> Column:
+    return F.forall(numbers, lambda x: F.coalesce((x == F.floor(x)) & ~F.isnan(x), F.lit(False)))
+
+
+def numbers_text(numbers: Column, whole_answer: Column | None = None) -> Column:
+    """``1| 2`` when every number is whole, else ``1.0| 2.5``; a missing number prints ``nan``.
+
+    ``whole_answer`` says whether all numbers of the answer are, where ``numbers`` is only a segment of it.
+    """
+    whole_answer = all_whole(numbers) if whole_answer is None else whole_answer
     whole = F.transform(numbers, lambda x: x.cast("decimal(38,0)").cast("string"))
-    return F.array_join(F.when(all_whole, whole).otherwise(F.transform(numbers, float_text)), ANSWER_MARK, "nan")
+    return F.array_join(F.when(whole_answer, whole).otherwise(F.transform(numbers, float_text)), ANSWER_MARK, "nan")
 
 
 def booleans_text(flags: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.text import strip
 from tablewright.functions.binding import let
 from tablewright.skew import BLOCK_ROWS, block_of, in_order
 
@@ -55,7 +56,7 @@ def parse_linear(line: Column) -> Column:
     """
 
     def trimmed(cells: Column) -> Column:
-        return F.transform(F.split(cells, r" \| ", -1), lambda c: F.trim(c))
+        return F.transform(F.split(cells, r" \| ", -1), lambda c: strip(c))
 
     has_header = line.startswith(" col :")
     header = F.when(has_header, trimmed(F.regexp_extract(line, r"(?s)^ col :(.*?)(?= row 1 : |\z)", 1)))
@@ -99,17 +100,27 @@ def delinearize(tables: DataFrame, text: str = "linear_text") -> tuple[DataFrame
     return rows, headers, judged.where("read.problem IS NOT NULL").select("table_id", "read.problem")
 
 
-def split_question(questions: DataFrame, question: str = "question") -> DataFrame:
+def split_question(questions: DataFrame, question: str = "question", segment: str | None = None) -> DataFrame:
     """Split ``query col : table`` in two: adds ``query_text``, ``linear_text`` and ``split_ok``.
 
-    The column mark has to appear exactly once; otherwise both parts are NULL.
+    The column mark has to appear exactly once; otherwise both parts are NULL. Where a question comes in segments (``segment`` counts
+    them from 0), the first holds the query and the mark, and the others are pieces of the table as they are.
     """
     parts = F.split(F.col(question), COLUMN_MARK, -1)
     ok = F.size(parts) == 2
+    if segment is not None:
+        later = F.col(segment) > 0
+        return questions.withColumns(
+            {
+                "split_ok": later | F.coalesce(ok, F.lit(False)),
+                "query_text": F.when(~later & ok, strip(F.get(parts, F.lit(0)))),
+                "linear_text": F.when(later, F.col(question)).when(ok, F.concat(F.lit(COLUMN_MARK), F.get(parts, F.lit(1)))),
+            }
+        )
     return questions.withColumns(
         {
             "split_ok": F.coalesce(ok, F.lit(False)),
-            "query_text": F.when(ok, F.trim(F.get(parts, F.lit(0)))),
+            "query_text": F.when(ok, strip(F.get(parts, F.lit(0)))),
             "linear_text": F.when(ok, F.concat(F.lit(COLUMN_MARK), F.get(parts, F.lit(1)))),
         }
     )
@@ -123,7 +134,7 @@ def rename_headers(query_text: Column, header: Column) -> Column:
     named = F.transform(header, lambda h, i: F.struct((-F.length(h)).alias("rank"), h.alias("name"), i.alias("at")))
     return F.aggregate(
         F.sort_array(named),
-        F.concat(F.trim(query_text), F.lit(" ")),
+        F.concat(strip(query_text), F.lit(" ")),
         lambda text, h: F.replace(
             text,
             F.concat(F.lit(" "), h["name"], F.lit(" ")),

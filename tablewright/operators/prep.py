@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.text import token_count
 from tablewright.operators.relational import except_ids, top_per_group
@@ -30,19 +31,31 @@ def convert_chunks(
 ) -> DataFrame:
     """Convert ``lines(line_no, ...)`` by chunk and return all that has been converted so far.
 
-    Chunks below ``start_chunk``, from ``end_chunk`` on, and those already in ``out_dir`` are not read again.
-    ``convert`` must keep ``chunk_id``. Chunks of a failed run are not visible, so a run can be repeated.
+    Chunks below ``start_chunk``, from ``end_chunk`` on, and finished ones are not converted again. A chunk is finished when a manifest
+    beside ``out_dir`` has it with as many lines as it has now: one that has grown is converted anew and replaces what was there, one whose
+    lines all fail is not tried again. ``convert`` must keep ``chunk_id``. The manifest is written last, so a failed run can be repeated.
     """
     spark = lines.sparkSession
     chunk = chunk_of(F.col("line_no"), chunk_rows)
     todo = lines.withColumn("chunk_id", chunk).where(chunk >= start_chunk)
     if end_chunk is not None:
         todo = todo.where(chunk < end_chunk)
-    if path_exists(spark, out_dir + "/_SUCCESS"):
-        done = spark.read.parquet(out_dir).select(F.col("chunk_id").cast("long").alias("chunk_id")).distinct()
-        todo = todo.join(done, "chunk_id", "left_anti")
-    convert(todo).write.mode("append").partitionBy("chunk_id").parquet(out_dir)
-    return spark.read.parquet(out_dir).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    manifest = out_dir.rstrip("/") + ".manifest"
+    counts = todo.groupBy("chunk_id").agg(F.count("*").alias("n_lines"))
+    if path_exists(spark, manifest + "/_SUCCESS"):
+        counts = counts.join(spark.read.parquet(manifest), ["chunk_id", "n_lines"], "left_anti")
+    # One row for each unfinished chunk of 100,000 lines, written first because the manifest is appended to below.
+    pending = manifest + ".pending"
+    counts.write.mode("overwrite").parquet(pending)
+    counts = spark.read.schema(counts.schema).parquet(pending)
+    todo = todo.join(counts.select("chunk_id"), "chunk_id", "left_semi")
+    converted = convert(todo)
+    writer = converted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id")
+    writer.parquet(out_dir)
+    counts.write.mode("append").parquet(manifest)
+    kept = [f for f in converted.schema if f.name != "chunk_id"]
+    partitioned = T.StructType([*kept, T.StructField("chunk_id", T.LongType())])
+    return spark.read.schema(partitioned).parquet(out_dir).select(converted.columns)
 
 
 def split_of(identity: Column, seed: int, test: float = 0.2, validation: float = 0.25) -> Column:

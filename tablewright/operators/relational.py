@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tablewright.functions.numbers import float_or_null
 from tablewright.skew import BLOCK_ROWS, HOT_ROWS, block_of, in_order, row_positions, sort_columns
 
+# Spark's own limit for cutting groups before the shuffle, and the pieces that a group is cut in beyond it.
+GROUP_LIMIT = 1000
+PIECES = 64
+
 # --- projection and predicates ---
 
 
@@ -90,6 +94,28 @@ def group_lists(
     return blocks.agg(in_order(F.collect_list(entry), "value").alias("values"))
 
 
+def list_verdicts(
+    blocks: DataFrame,
+    keys: list[str],
+    any_of: dict[str, Column] | None = None,
+    all_of: dict[str, Column] | None = None,
+    greatest: dict[str, Column] | None = None,
+    least: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row for each group from tests of its blocks of values: one block has to pass, or all, or the greatest or least counts.
+
+    The verdict is that of the whole list, however many blocks it comes in.
+    """
+    ways = [(any_of, F.bool_or), (all_of, F.bool_and), (greatest, F.max), (least, F.min)]
+    return blocks.groupBy(*keys).agg(*[way(test).alias(name) for tests, way in ways for name, test in (tests or {}).items()])
+
+
+def list_distinct_count(blocks: DataFrame, keys: list[str], values: Column, name: str = "n_distinct") -> DataFrame:
+    """How many different values the lists of each group hold over all its blocks; missing ones are not counted."""
+    held = blocks.select(*keys, F.explode_outer(F.array_distinct(values)).alias("_value")).distinct()
+    return held.groupBy(*keys).agg(F.count("_value").alias(name))
+
+
 def group_verdicts(df: DataFrame, keys: list[str], **tests: Column) -> DataFrame:
     """One boolean per group and test, from row tests marked with ``any_row`` or ``all_rows``."""
     return df.dropna(subset=keys).groupBy(*keys).agg(*[test.alias(name) for name, test in tests.items()])
@@ -176,7 +202,15 @@ def top_rows(df: DataFrame, k: int, order: list[str]) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, keys: list[str], k: int, order: list[str]) -> DataFrame:
-    """The first ``k`` rows of every group with their ``rank``; Spark cuts groups to k rows before the shuffle."""
+    """The first ``k`` rows of every group with their ``rank``.
+
+    Up to ``GROUP_LIMIT`` rows Spark cuts the groups before the shuffle. Beyond, a group is cut in pieces by a hash of its rows first, so
+    that no task sorts more of it than a piece or ``PIECES * k`` rows.
+    """
+    if k > GROUP_LIMIT:
+        piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(PIECES))
+        inside = W.partitionBy(*keys, "_piece").orderBy(*sort_columns(order))
+        df = df.withColumn("_piece", piece).withColumn("_at", F.row_number().over(inside)).where(F.col("_at") <= k).drop("_piece", "_at")
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*sort_columns(order))))
     return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 

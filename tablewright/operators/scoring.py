@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from tablewright.functions.binding import let
 from tablewright.functions.normalize import normalize_texts
 from tablewright.functions.numbers import is_int_text, to_float
-from tablewright.functions.text import SPAN_DELIMITER
+from tablewright.functions.text import SPAN_DELIMITER, strip
 
 # Unit words in the order they are stripped, and the words that answer no and yes.
-UNITS = (
-    ["year", "episodes", "m", "million", "weeks", "week", "mm", "nd", "th", "days", "years", "events", "£", "miles", "kg"]
-    + ["$", "days", ",", "losses", "l", "season"]
-)
+UNITS = [
+    "year", "episodes", "m", "million", "weeks", "week", "mm", "nd", "th", "days", "years",
+    "events", "£", "miles", "kg", "$", "days", ",", "losses", "l", "season",
+]
 NO_WORDS = ["none", "no", "older", "lower", "less", "below", "false", "f"]
 YES_WORDS = ["more", "yes", "above", "true", "higher", "first", "once"]
 YES_NUMBER = 1.0
 TOLERANCE = 1e-6
+EXACT_UP_TO = float(2**53)
 
 
 # --- span matching ---
@@ -29,7 +30,7 @@ TOLERANCE = 1e-6
 def _number_or_word(text: Column) -> Column:
     """A number where the text reads as one, else its trimmed text. Negative zero is zero."""
     return let(
-        to_float(text), lambda n: F.struct((n + 0.0).alias("num"), F.when(n.isNull(), F.trim(text)).alias("word"))
+        to_float(text), lambda n: F.struct((n + 0.0).alias("num"), F.when(n.isNull(), strip(text)).alias("word"))
     )
 
 
@@ -38,16 +39,21 @@ def spans(answer: Column) -> Column:
     return F.sort_array(F.transform(F.split(F.lower(answer), SPAN_DELIMITER, -1), lambda s: _number_or_word(s)))
 
 
+def _given(answer: str) -> Column:
+    """A missing answer counts as empty text, in matches and distances alike."""
+    return F.coalesce(F.col(answer), F.lit(""))
+
+
 def denotation_match(predictions: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
     """Adds ``is_correct``: both answers hold the same spans, each as often, in any order. NaN equals nothing."""
-    split = predictions.withColumns({"_p": spans(F.trim(pred)), "_r": spans(F.trim(ref))})
+    split = predictions.withColumns({"_p": spans(strip(_given(pred))), "_r": spans(strip(_given(ref)))})
     has_nan = F.exists("_p", lambda s: F.coalesce(F.isnan(s["num"]), F.lit(False)))
     return split.withColumn("is_correct", (F.col("_p") == F.col("_r")) & ~has_nan).drop("_p", "_r")
 
 
 def edit_distance(pred: Column, ref: Column) -> Column:
     """Levenshtein distance without case and outer spaces."""
-    return F.levenshtein(F.lower(F.trim(pred)), F.lower(F.trim(ref)))
+    return F.levenshtein(F.lower(strip(pred)), F.lower(strip(ref)))
 
 
 # --- typed values ---
@@ -60,7 +66,7 @@ def typed_values(texts: Column, normal: Column) -> Column:
     """
 
     def part(text: Column, unknown: list[str]) -> Column:
-        return F.when(text.isin(*unknown), F.lit(-1)).when(is_int_text(text), F.trim(text).try_cast("int"))
+        return F.when(text.isin(*unknown), F.lit(-1)).when(is_int_text(text), strip(text).try_cast("int"))
 
     def date(parts: Column) -> Column:
         read = F.struct(
@@ -78,7 +84,12 @@ def typed_values(texts: Column, normal: Column) -> Column:
 
     def read(text: Column, norm: Column) -> Column:
         number = let(to_float(text), lambda n: F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n))
-        return F.struct(norm.alias("norm"), number.alias("number"), let(F.split(F.lower(text), "-", -1), date).alias("date"))
+        # Beyond 2^53 doubles skip whole numbers, so there the digits themselves are compared.
+        digits = F.replace(strip(text), F.lit("_"), F.lit("")).try_cast("decimal(38,0)")
+        whole = F.when(is_int_text(text) & (F.abs(to_float(text)) >= EXACT_UP_TO), digits)
+        return F.struct(
+            norm.alias("norm"), number.alias("number"), whole.alias("whole"), let(F.split(F.lower(text), "-", -1), date).alias("date")
+        )
 
     def near_whole(number: Column) -> Column:
         """A number within the tolerance of a whole one loses its fraction."""
@@ -97,6 +108,7 @@ def typed_values(texts: Column, normal: Column) -> Column:
             F.when(is_number, F.lit("number")).when(is_date, F.lit("date")).otherwise(F.lit("text")).alias("kind"),
             F.when(~is_number & ~is_date, v["norm"]).alias("word"),
             let(number, near_whole).alias("num"),
+            v["whole"].alias("whole"),
             F.when(~is_number, v["date"]).alias("date"),
         )
         return F.struct(key.alias("key"), v["norm"].alias("norm"))
@@ -112,7 +124,8 @@ def first_of_equal(values: Column) -> Column:
 
 def values_match(a: Column, b: Column) -> Column:
     """Equal normalised text, numbers within the tolerance, or equal dates."""
-    close = F.abs(a["key"]["num"] - b["key"]["num"]) < TOLERANCE
+    same_whole = F.coalesce(a["key"]["whole"] == b["key"]["whole"], F.lit(True))
+    close = (F.abs(a["key"]["num"] - b["key"]["num"]) < TOLERANCE) & same_whole
     same_date = a["key"]["date"] == b["key"]["date"]
     return (a["norm"] == b["norm"]) | F.coalesce(close, F.lit(False)) | F.coalesce(same_date, F.lit(False))
 
@@ -143,11 +156,11 @@ def strict_match(answers: DataFrame, target: str = "target", pred: str = "pred")
 
 
 def _without_units(texts: Column) -> Column:
-    def strip(text: Column) -> Column:
-        bare = reduce(lambda t, unit: F.lower(F.trim(F.replace(t, F.lit(unit), F.lit("")))), UNITS, text)
+    def bare_value(text: Column) -> Column:
+        bare = reduce(lambda t, unit: F.lower(strip(F.replace(t, F.lit(unit), F.lit("")))), UNITS, text)
         return let(bare, _number_or_word)
 
-    return F.transform(texts, strip)
+    return F.transform(texts, bare_value)
 
 
 def _is_one_of(values: str, words: list[str], number: float | None = None) -> Column:
@@ -181,15 +194,14 @@ def population_deviation(whole: Column) -> Column:
     return F.try_divide(F.sqrt((n * squares - total * total).cast("double")), F.count(whole))
 
 
-def summarize(predictions: DataFrame, keys: list[str], max_samples: int | None = None) -> DataFrame:
+def summarize(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Accuracy and edit distances per key: one row for each checkpoint and split, say.
 
-    ``samples`` is the row count, at most ``max_samples`` when given. The mode is the lowest on ties.
+    All rows of a key take part in every figure. The mode is the lowest on ties.
     """
-    scored = denotation_match(predictions).withColumn("distance", edit_distance(F.col("pred"), F.col("ref")))
-    samples = F.count("*") if max_samples is None else F.least(F.count("*"), F.lit(max_samples).cast("long"))
+    scored = denotation_match(predictions).withColumn("distance", edit_distance(_given("pred"), _given("ref")))
     return scored.groupBy(*keys).agg(
-        samples.alias("samples"),
+        F.count("*").alias("samples"),
         (F.count_if("is_correct") / F.count("*")).alias("denotation_accuracy"),
         (F.sum(F.col("distance").cast("long")) / F.count("*")).alias("distance_mean"),
         population_deviation(F.col("distance")).alias("distance_std"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.text import strip
 from tablewright.functions.numbers import float_or_null, float_text, is_strict_float, is_strict_int, to_float, value_kind
 from tablewright.functions.numbers import value_text as typed_text
 from tablewright.skew import in_order
@@ -24,7 +25,7 @@ LIST_MARK = ",, "
 
 def to_timestamp(text: Column) -> Column:
     """A timestamp in one of the known forms, else NULL."""
-    stripped = F.trim(text)
+    stripped = strip(text)
     parsed = F.lit(None).cast("timestamp")
     for shape, form in reversed(DATE_FORMS.items()):
         spaced = F.replace(stripped, F.lit("T"), F.lit(" ")) if "[ T]" in shape else stripped
@@ -84,7 +85,7 @@ def type_results(results: DataFrame, text: str = "result_text") -> DataFrame:
     """
     line = F.col(text)
     items = F.transform(F.split(line, RESULT_MARK, -1), lambda i: F.when(i != "none", i))
-    split = results.withColumn("items", F.when(F.trim(line) != "", items).otherwise(F.array().cast("array<string>")))
+    split = results.withColumn("items", F.when(strip(line) != "", items).otherwise(F.array().cast("array<string>")))
 
     def every(test) -> Column:
         return F.forall("items", lambda i: F.coalesce(test(i), F.lit(False)))

@@ -167,6 +167,25 @@ def dag_layers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dag_text_with_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A plan runs from its scans up, so edges lead from child to parent.
-    edges = dags.plan_edges(shred.shred_plans(order_plans(spark, sf_dir), on_missing="drop"), "plan_id")
+    plans = shred.shred_plans(order_plans(spark, sf_dir), on_missing="drop")
+    layered, _ = dags.node_layers(dags.plan_edges(plans, "plan_id"), dags.plan_nodes(plans, "plan_id"))
     corpus = order_corpus(spark, sf_dir)
-    return dags.text_with_table(dags.layers_text(dags.layers(edges)[0]), linearize(corpus.rows, corpus.meta))
+    return dags.text_with_table(dags.layers_text(layered), linearize(corpus.rows, corpus.meta))
+
+
+@query(
+    """SELECT o_orderkey AS graph_id, 0::BIGINT AS segment, [' NODE Limit_0_0', ' NODE Seq Scan_0_2 NODE Seq Scan_0_2 NODE Sort_0_1 NODE Sort_1_1 NODE Append_0_0',
+      ' NODE Seq Scan_0_1 NODE Limit_0_0'][(o_orderkey % 3 + 1)::INT] AS nodes_text FROM orders"""
+)
+def plan_graph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Plans of one node, and plans with nodes of one name under different parents.
+    def plan(kind: str, *inner: str) -> str:
+        return f"<Plan><Node-Type>{kind}</Node-Type>" + (f"<Plans>{''.join(inner)}</Plans>" if inner else "") + "</Plan>"
+
+    sort = plan("Sort", plan("Seq Scan"))
+    forms = [plan("Limit"), plan("Append", sort, sort), plan("Limit", plan("Seq Scan"))]
+    whole = F.array(*[F.lit(f'<explain xmlns="http://www.postgresql.org/2009/explain"><Query>{f}</Query></explain>') for f in forms])
+    xml = F.get(whole, (F.col("o_orderkey") % 3).cast("int"))
+    plans = shred.shred_plans(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"), xml.alias("xml_plan")))
+    layered, _ = dags.node_layers(dags.plan_edges(plans, "plan_id"), dags.plan_nodes(plans, "plan_id"))
+    return dags.layers_text(layered)

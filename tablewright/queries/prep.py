@@ -37,6 +37,15 @@ def first_of_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.first_of_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), 50, "doc_id", "lang")
 
 
+@query(
+    """SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r FROM orders)
+    WHERE r <= 5000"""
+)
+def first_of_split_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return prep.first_of_split(orders, 5000, "o_orderkey", "o_orderstatus")
+
+
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+'))::INTEGER"
 
 
@@ -82,6 +91,17 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.convert_chunks(lines, convert, folder, chunk_rows=1000)
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, o_orderkey FROM orders")
+def chunk_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The first run sees part of the lines and leaves a part-filled chunk, which the second takes up again.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    lines = row_positions(orders, [], ["o_orderkey"], "line_no").withColumn("line_no", F.col("line_no") - 1)
+    folder = _new_folder(spark, "growth")
+    keep = lambda chunk: chunk.select("chunk_id", "line_no", "o_orderkey")
+    prep.convert_chunks(lines.where("o_orderkey % 7 < 4 OR line_no < 300").where("line_no < 450"), keep, folder, chunk_rows=200)
+    return prep.convert_chunks(lines, keep, folder, chunk_rows=200).drop("chunk_id")
+
+
 @query(
     """SELECT CASE WHEN o_orderkey % 4 = 2 AND (o_orderkey // 4) % 4 = 0
       AND o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'type_error' ELSE 'ok' END AS status, count(*) AS n

@@ -127,29 +127,39 @@ def grouped_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """SELECT l_orderkey, 0::BIGINT AS block, list_contains(list(l_returnflag), 'A') AS any_equal,
-      len(list_filter(list(l_returnflag), lambda x: x <> 'A')) > 0 AS any_differs,
-      len(list_filter(list(l_quantity), lambda x: NOT x > 5)) = 0 AS all_above,
-      len(list_filter(list(l_returnflag), lambda x: x IN ('N', 'R'))) > 0 AS any_in,
-      len(list_distinct(list(l_returnflag))) AS n_distinct, max(l_quantity) AS greatest, min(l_quantity) AS least
-    FROM lineitem GROUP BY l_orderkey"""
-)
-def list_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumn("pair", F.struct("l_returnflag", "l_quantity"))
-    lists = rel.group_lists(lines, ["l_orderkey"], "pair", LINE_ORDER)
-    flags, quantities = F.col("values.l_returnflag"), F.col("values.l_quantity")
-    return lists.select(
-        "l_orderkey",
-        "block",
-        rel.any_equal(flags, "A").alias("any_equal"),
-        rel.any_differs(flags, "A").alias("any_differs"),
-        rel.all_compare(quantities, ">", 5).alias("all_above"),
-        rel.any_in(flags, ["N", "R"]).alias("any_in"),
-        F.size(rel.list_distinct(F.array(flags))).cast("long").alias("n_distinct"),
-        F.array_max(quantities).alias("greatest"),
-        F.array_min(quantities).alias("least"),
+def _list_sql(key: str) -> str:
+    return f"""SELECT {key}, list_contains(list(l_linestatus), 'F') AS any_equal,
+      len(list_filter(list(l_linestatus), lambda x: x <> 'F')) > 0 AS any_differs,
+      len(list_filter(list(l_quantity), lambda x: NOT x > 5)) = 0 AS all_above, bool_and(l_quantity > 0) AS all_positive,
+      len(list_filter(list(l_linestatus), lambda x: x IN ('O', 'R'))) > 0 AS any_in,
+      len(list_distinct(list(l_quantity))) AS n_distinct, max(l_quantity) AS greatest, min(l_quantity) AS least
+    FROM lineitem GROUP BY {key}"""
+
+
+def _list_verdicts(spark: SparkSession, sf_dir: str, key: str, **size: int) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("pair", F.struct("l_linestatus", "l_quantity"))
+    blocks = rel.group_lists(lines, [key], "pair", ["l_orderkey", *LINE_ORDER], **size)
+    flags, quantities = F.col("values.l_linestatus"), F.col("values.l_quantity")
+    verdicts = rel.list_verdicts(
+        blocks,
+        [key],
+        any_of={"any_equal": rel.any_equal(flags, "F"), "any_differs": rel.any_differs(flags, "F"), "any_in": rel.any_in(flags, ["O", "R"])},
+        all_of={"all_above": rel.all_compare(quantities, ">", 5), "all_positive": rel.all_compare(quantities, ">", 0)},
+        greatest={"greatest": F.array_max(quantities)},
+        least={"least": F.array_min(quantities)},
     )
+    return verdicts.join(rel.list_distinct_count(blocks, [key], quantities), key)
+
+
+@query(_list_sql("l_orderkey"))
+def list_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _list_verdicts(spark, sf_dir, "l_orderkey")
+
+
+@query(_list_sql("l_returnflag"))
+def list_compare_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Three groups of many blocks each.
+    return _list_verdicts(spark, sf_dir, "l_returnflag", block_rows=64)
 
 
 @query(

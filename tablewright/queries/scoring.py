@@ -65,11 +65,11 @@ def edit_distance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_PREDICTIONS_SQL}, tally AS (SELECT checkpoint, split, distance, row_number() OVER (PARTITION BY checkpoint, split
       ORDER BY count(*) DESC, distance) AS r FROM spans GROUP BY checkpoint, split, distance),
     totals AS (SELECT checkpoint, split, {_SUMMARY} FROM spans GROUP BY checkpoint, split)
-    SELECT totals.* REPLACE (least(samples, 2000) AS samples), distance::INTEGER AS distance_mode
+    SELECT totals.*, distance::INTEGER AS distance_mode
     FROM totals JOIN tally USING (checkpoint, split) WHERE r = 1"""
 )
 def checkpoint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.summarize(predictions(spark, sf_dir), ["checkpoint", "split"], max_samples=2000)
+    return scoring.summarize(predictions(spark, sf_dir), ["checkpoint", "split"])
 
 
 @query(f"WITH {_PREDICTIONS_SQL} SELECT example_id, list_sort(list_distinct(ps)) = list_sort(list_distinct(rs)) AS strict FROM spans")

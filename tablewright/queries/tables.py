@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.corpus import lower_text_cells, raw_cells, to_cells, type_rows
@@ -138,10 +139,30 @@ def sketch_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = answers.sketch_sql_text(F.col("sel"), F.col("agg"), F.col("conds"))
     asked = order_sketches(spark, sf_dir).select("table_id", text.alias("asked"))
-    questions = asked.join(linearize_tables(spark, sf_dir), "table_id").select(
-        "table_id", F.concat("asked", "linear_text").alias("question")
-    )
-    return linear.split_question(questions).drop("question")
+    return _split(asked.join(linearize_tables(spark, sf_dir), "table_id")).drop("segment")
+
+
+def _split(segments: DataFrame) -> DataFrame:
+    """The query stands before the first segment of its table."""
+    opened = F.when(F.col("segment") == 0, F.concat("asked", "linear_text")).otherwise(F.col("linear_text"))
+    questions = segments.select("table_id", "segment", opened.alias("question"))
+    return linear.split_question(questions, segment="segment").drop("question")
+
+
+@query(
+    f"""WITH {ORDER_LINES}, {_linear_sql(_HEADER)}, {ORDER_SKETCHES}
+    SELECT ex AS table_id, {_SKETCH_TEXT} AS query_text, linear_text
+    FROM sketches JOIN linear ON table_id = ex"""
+)
+def split_query_table_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Tables in segments of two rows, put together again after the split.
+    text = answers.sketch_sql_text(F.col("sel"), F.col("agg"), F.col("conds"))
+    asked = order_sketches(spark, sf_dir).select("table_id", text.alias("asked"))
+    corpus = order_corpus(spark, sf_dir)
+    split = _split(asked.join(linear.linearize(corpus.rows, corpus.meta, block_rows=2), "table_id"))
+    piece = F.struct("segment", "linear_text")
+    whole = split.groupBy("table_id").agg(F.max("query_text").alias("query_text"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    return whole.select("table_id", "query_text", F.array_join("pieces.linear_text", "").alias("linear_text"))
 
 
 @query(
@@ -236,14 +257,35 @@ def result_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM order_lines GROUP BY l_orderkey"""
 )
 def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = order_lines(spark, sf_dir).withColumn("segment", block_of(F.col("row_pos")))
+    return _answer_text(order_lines(spark, sf_dir).withColumn("segment", block_of(F.col("row_pos"))))
+
+
+@query(
+    f"""WITH {ORDER_LINES}, w AS (SELECT *, bool_and(l_discount = floor(l_discount)) OVER (PARTITION BY l_orderkey) AS whole FROM order_lines)
+    SELECT l_orderkey AS table_id, (row_pos - 1) // 2 AS segment, string_agg(l_quantity::BIGINT::VARCHAR, '| ' ORDER BY row_pos) AS whole_numbers,
+      string_agg(CASE WHEN whole THEN l_discount::BIGINT::VARCHAR ELSE l_discount::VARCHAR END, '| ' ORDER BY row_pos) AS numbers,
+      string_agg(lower(l_returnflag), '| ' ORDER BY row_pos) AS texts,
+      string_agg(CASE WHEN l_linestatus = 'O' THEN 't' ELSE 'f' END, '| ' ORDER BY row_pos) AS flags,
+      string_agg(lower(l_returnflag || ',, ' || l_linestatus), '| ' ORDER BY row_pos) AS lists
+    FROM w GROUP BY l_orderkey, (row_pos - 1) // 2"""
+)
+def answer_text_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Segments of two rows: the form of a number is that of the whole answer.
+    return _answer_text(order_lines(spark, sf_dir).withColumn("segment", block_of(F.col("row_pos"), 2)))
+
+
+def _answer_text(lines: DataFrame) -> DataFrame:
     entry = F.struct("row_pos", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
     listed = lines.groupBy(F.col("l_orderkey").alias("table_id"), "segment").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    # One row for each segment of an answer meets here, not its rows.
+    answer = W.partitionBy("table_id")
+    whole = {c: F.bool_and(answers.all_whole(F.col(f"e.{c}"))).over(answer) for c in ("l_quantity", "l_discount")}
+    listed = listed.withColumns({f"{c}_whole": flag for c, flag in whole.items()})
     return listed.select(
         "table_id",
         "segment",
-        answers.numbers_text(F.col("e.l_quantity")).alias("whole_numbers"),
-        answers.numbers_text(F.col("e.l_discount")).alias("numbers"),
+        answers.numbers_text(F.col("e.l_quantity"), F.col("l_quantity_whole")).alias("whole_numbers"),
+        answers.numbers_text(F.col("e.l_discount"), F.col("l_discount_whole")).alias("numbers"),
         answers.texts_text(F.col("e.l_returnflag")).alias("texts"),
         answers.booleans_text(F.transform("e", lambda x: x["l_linestatus"] == "O")).alias("flags"),
         answers.lists_text(F.transform("e", lambda x: F.array(x["l_returnflag"], x["l_linestatus"]))).alias("lists"),

@@ -7,6 +7,9 @@ so that no task ever receives more than a bounded piece of one group.
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,13 +26,18 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(top["n"] or 0)
 
 
-def ensure_checkpoint_dir(spark: SparkSession, default: str = "/tmp/tablewright-checkpoints") -> str:
-    """The shared folder the session names for checkpoints; a local default only when it names none."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a session on this machine alone gets a new temporary folder; a cluster has to name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
+    if configured is None and current is None and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if current is None:
-        spark.sparkContext.setCheckpointDir(configured or default)
-    return configured or current or default
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tablewright-"))
+    return configured or spark.sparkContext.getCheckpointDir()
 
 
 def row_positions(

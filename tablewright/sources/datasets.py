@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tablewright.functions.text import unescape_list
+from tablewright.functions.text import strip, unescape_list
 from tablewright.operators.scoring import prediction_line
 
 QUESTION_SCHEMA = (
@@ -122,7 +122,7 @@ def write_prediction_lines(predictions: DataFrame, path: str, mode: str = "error
 
 def write_predictions(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One trimmed prediction per line."""
-    predictions.select(F.trim("pred").alias("value")).write.mode(mode).text(path)
+    predictions.select(strip(F.col("pred")).alias("value")).write.mode(mode).text(path)
 
 
 def write_metrics(summary: DataFrame, path: str, mode: str = "errorifexists") -> None:

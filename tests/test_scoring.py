@@ -17,6 +17,9 @@ from tablewright.operators import scoring
         ("1,2", "1, 2", False),
         ("", "", True),
         ("inf", "Infinity", True),
+        ("a\n", "\t\u00a0A", True),
+        (None, "", True),
+        (None, "a", False),
     ],
 )
 def test_denotation(spark, pred, ref, same):
@@ -40,6 +43,9 @@ def test_denotation(spark, pred, ref, same):
         (["Café (bar)"], ["cafe"], True, True),
         (["1.0000001"], ["1"], True, True),
         (["xx-xx-xx"], ["yy"], False, False),
+        (["9007199254740993"], ["9007199254740992"], False, True),  # flexible compares as doubles
+        (["9007199254740993"], [" 9_007_199_254_740_993"], True, True),
+        (["9007199254740992"], ["9007199254740992.0"], True, True),
     ],
 )
 def test_value_matches(spark, target, pred, strict, flexible):
@@ -88,12 +94,18 @@ def test_functions_work_in_sql(spark):
 def test_summary(spark):
     rows = [("1", "a", "a"), ("1", "b", "a"), ("1", "ab", "a"), ("2", "x", "x")]
     df = spark.createDataFrame(rows, "checkpoint string, pred string, ref string")
-    got = {r["checkpoint"]: r for r in scoring.summarize(df, ["checkpoint"], max_samples=2).collect()}
-    assert got["1"]["samples"] == 2 and got["1"]["denotation_accuracy"] == pytest.approx(1 / 3)
+    got = {r["checkpoint"]: r for r in scoring.summarize(df, ["checkpoint"]).collect()}
+    assert got["1"]["samples"] == 3 and got["1"]["denotation_accuracy"] == pytest.approx(1 / 3)
     assert got["1"]["distance_mode"] == 1 and got["1"]["distance_std"] == pytest.approx((2 / 9) ** 0.5)
     assert got["2"]["distance_std"] == 0.0
 
 
+def test_missing_predictions_count_as_empty_text(spark):
+    df = spark.createDataFrame([("1", None, "ab"), ("1", "ab", "ab")], "checkpoint string, pred string, ref string")
+    got = scoring.summarize(df, ["checkpoint"]).first()
+    assert (got["samples"], got["denotation_accuracy"], got["distance_mean"], got["distance_std"]) == (2, 0.5, 1.0, 1.0)
+
+
 def test_target_values_are_read_from_canonical_texts(spark):
     row = (["Five", "May 2001", "Bob."], ["5.0", "2001-05-xx", "bob"])
     df = spark.createDataFrame([row], "values array<string>, canonical array<string>")
