@@ -162,7 +162,7 @@ def answer_sketches(
     if corpus.largest <= block_rows:
         return _finish(partial.withColumn("segment", F.lit(0).cast("long")), listed_text)
     # Long tables: totals per example without the lists, then only list answers fetch their blocks.
-    totals = partial.groupBy("example_id", "agg", "is_text", "wants_list").agg(
+    totals = partial.groupBy("table_id", "example_id", "agg", "is_text", "wants_list").agg(
         F.sum("n").alias("n"),
         F.bool_or("clash").alias("clash"),
         F.sum("unread").alias("unread"),
@@ -173,9 +173,9 @@ def answer_sketches(
     is_long_list = F.col("wants_list") & (F.col("n") > 1) & ~F.col("clash")
     short = totals.where(~is_long_list).withColumn("segment", F.lit(0).cast("long"))
     blocks = partial.where("wants_list and n > 0").select(
-        "example_id", F.col("block").alias("segment"), listed_text.alias("listed_text")
+        "table_id", "example_id", F.col("block").alias("segment"), listed_text.alias("listed_text")
     )
-    long = totals.where(is_long_list).join(blocks, "example_id")
+    long = totals.where(is_long_list).join(blocks, ["table_id", "example_id"])
     return _finish(short, F.lit(None).cast("string")).unionByName(_finish(long, F.col("listed_text")))
 
 

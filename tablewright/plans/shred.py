@@ -1,7 +1,7 @@
 """Plan XML documents to node lists.
 
-A document is read where it lies: its tags are folded, inside the row, into one list of nodes, so a corpus
-of plans is shredded, reflected and written as text without any shuffle.
+A document is read where it lies: one pass over its tags, in Arrow batches, gives its list of nodes, so a corpus of
+plans is shredded, reflected and written as text without any shuffle, in time that grows with the documents' length.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.binding import let
+from tablewright.plans.reader import read_nodes
 
 # Tags whose content is measured or physical and says nothing about the plan itself.
 IGNORED_TAGS = [
@@ -47,157 +48,6 @@ IGNORED_TAGS = [
 ]
 # The shorter list of the older node tables, whose child positions count from 1.
 OLDER_IGNORED_TAGS = IGNORED_TAGS[:13]
-# A whole element without elements inside, or else a single tag with the text behind it. Text may hold CDATA.
-# Every repetition is possessive: a tag that is not whole is given up without trying shorter matches.
-_CONTENT = r"[^<]*+(?:<!\[CDATA\[.*?\]\]>[^<]*+)*+"
-TAG_PATTERN = rf"(?s)<([^\s>/!?]++)[^>]*+(?<!/)>{_CONTENT}</\1\s*+>|<(?![!?])[^>]++>{_CONTENT}"
-COMMENT_PATTERN = r"(?s)<!--.*?-->|<\?.*?\?>"
-# XML entities; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
-
-_STATE = (
-    "struct<holders:array<string>,hidden:int,open:array<int>,children:array<int>,next:int,"
-    "found:array<struct<node_id:int,parent_id:int,width:int,depth:int,tag:string,holder:string,text:string>>>"
-)
-# What a tag does: state a whole fact, open or close a plan, or open or close a holder of facts.
-FACT, OPEN_PLAN, CLOSE_PLAN, OPEN_HOLDER, CLOSE_HOLDER = range(5)
-
-
-def _text(tag: Column) -> Column:
-    """Trimmed, unescaped text behind a tag, up to its closing tag; CDATA is taken literally."""
-    body = F.substring(tag, F.instr(tag, ">") + 1, F.length(tag))
-    plain = F.btrim(F.substring_index(body, "</", 1), F.lit(" \t\r\n"))
-    unescaped = plain
-    for entity, char in ENTITIES.items():
-        unescaped = F.replace(unescaped, F.lit(entity), F.lit(char))
-    literal = F.regexp_replace(body, r"(?s)^\s*<!\[CDATA\[|\]\]>\s*(</[^<]*)?$|\]\]>[^<]*<!\[CDATA\[", "")
-    return F.when(F.contains(body, F.lit("<![CDATA[")), literal).when(F.contains(body, F.lit("&")), unescaped).otherwise(plain)
-
-
-def _tags(xml: Column, ignored: list[str]) -> Column:
-    """What the tags of a document do, in order, with name and text. Ignored facts are left out here."""
-    # Most of a measured plan is ignored facts, so they go in one pass over the text, with comments and with the
-    # lists of child plans: a plan always hangs under the last open one.
-    passed_over = rf"{COMMENT_PATTERN}|<(?:{'|'.join(ignored)})(?:\s[^>]*+)?+(?:/>|>[^<]*+</[^>]*+>)|</?Plans/?>"
-    found = F.regexp_extract_all(F.regexp_replace(xml, passed_over, ""), F.lit(TAG_PATTERN), F.lit(0))
-
-    def read(tag: Column) -> Column:
-        closes = tag.startswith("</")
-        # Only an element without elements inside was matched together with its closing tag.
-        is_whole = ~closes & (F.contains(tag, F.lit("</")) | tag.rlike("^<[^>]*/>"))
-
-        def described(name: Column) -> Column:
-            plan = F.when(closes, F.lit(CLOSE_PLAN)).otherwise(F.lit(OPEN_PLAN))
-            holder = F.when(closes, F.lit(CLOSE_HOLDER)).otherwise(F.lit(OPEN_HOLDER))
-            is_plan, is_ignored = name == "Plan", name.isin(*ignored)
-            return F.struct(
-                F.when(is_whole, F.lit(FACT)).when(is_plan, plan).otherwise(holder).alias("does"),
-                name.alias("name"),
-                is_ignored.alias("is_ignored"),
-                F.when(~closes & ~is_plan & ~is_ignored, _text(tag)).alias("text"),
-            )
-
-        return let(F.regexp_extract(tag, r"^</?(?:[^\s>/:]+:)?([^\s>/]+)", 1), described)
-
-    return F.filter(F.transform(found, read), lambda t: (t["name"] != "Plans") & ~((t["does"] == FACT) & t["is_ignored"]))
-
-
-def _without_last(values: Column) -> Column:
-    return F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0)))
-
-
-def _last(values: Column) -> Column:
-    return F.get(values, F.size(values) - 1)
-
-
-def _step(first_width: int):
-    """Move over one tag. ``holders`` are the open facts around it, ``hidden`` counts ignored ones among them."""
-    nothing = F.lit(None).cast("int")
-
-    def step(state: Column, tag: Column) -> Column:
-        def changed(**fields: Column) -> Column:
-            names = ["holders", "hidden", "open", "children", "next", "found"]
-            return F.struct(*[fields.get(name, state[name]).alias(name) for name in names])
-
-        nodes, children, found = state["open"], state["children"], state["found"]
-        is_inside = F.size(nodes) > 0
-        # The first plan of a document has no parent and place 0; others count on among their siblings.
-        width = F.coalesce(_last(children), F.lit(0))
-        counted = F.when(is_inside, F.concat(_without_last(children), F.array(width + 1))).otherwise(children)
-        node = F.struct(
-            state["next"].alias("node_id"),
-            _last(nodes).alias("parent_id"),
-            width.alias("width"),
-            F.size(nodes).alias("depth"),
-            tag["name"].alias("tag"),
-            F.lit(None).cast("string").alias("holder"),
-            F.lit(None).cast("string").alias("text"),
-        )
-        fact = F.struct(
-            _last(nodes).alias("node_id"),
-            nothing.alias("parent_id"),
-            nothing.alias("width"),
-            nothing.alias("depth"),
-            tag["name"].alias("tag"),
-            _last(state["holders"]).alias("holder"),
-            tag["text"].alias("text"),
-        )
-        is_seen = is_inside & (state["hidden"] == 0)
-        with_fact = F.when(is_seen, F.concat(found, F.array(fact))).otherwise(found)
-        held = F.concat(state["holders"], F.array(tag["name"]))
-        hides = (state["hidden"] > 0) | tag["is_ignored"]
-        return (
-            F.when(tag["does"] == FACT, changed(found=with_fact))
-            .when(
-                tag["does"] == OPEN_PLAN,
-                changed(
-                    open=F.concat(nodes, F.array(state["next"])),
-                    children=F.concat(counted, F.array(F.lit(first_width))),
-                    next=state["next"] + 1,
-                    found=F.concat(found, F.array(node)),
-                ),
-            )
-            .when(tag["does"] == CLOSE_PLAN, changed(open=_without_last(nodes), children=_without_last(children)))
-            # Elements around the plans hold no facts of theirs.
-            .when(~is_inside, state)
-            .when((tag["does"] == OPEN_HOLDER) & hides, changed(holders=held, hidden=state["hidden"] + 1))
-            .when(tag["does"] == OPEN_HOLDER, changed(holders=held, found=with_fact))
-            .otherwise(
-                changed(holders=_without_last(state["holders"]), hidden=F.greatest(state["hidden"] - 1, F.lit(0)))
-            )
-        )
-
-    return step
-
-
-def _nodes(found: Column) -> Column:
-    """Facts gathered to their nodes, in document order."""
-    plans = F.filter(found, lambda r: r["tag"] == "Plan")
-
-    def node(plan: Column) -> Column:
-        own = F.filter(found, lambda r: (r["node_id"] == plan["node_id"]) & (r["tag"] != "Plan"))
-
-        def gather(facts: Column) -> Column:
-            holders = F.transform(facts, lambda f: f["holder"])
-            kept = F.filter(facts, lambda f: (f["tag"] != "Node-Type") & ~F.coalesce(F.array_contains(holders, f["tag"]), F.lit(False)))
-            return F.struct(
-                plan["node_id"].alias("node_id"),
-                plan["parent_id"].alias("parent_id"),
-                F.get(F.filter(facts, lambda f: f["tag"] == "Node-Type"), F.lit(0))["text"].alias("node_type"),
-                plan["width"].alias("width"),
-                plan["depth"].alias("depth"),
-                F.transform(
-                    kept,
-                    lambda f: F.struct(
-                        F.concat_ws("_", f["holder"], f["tag"]).alias("key"),
-                        f["text"].alias("value"),
-                    ),
-                ).alias("attrs"),
-            )
-
-        return let(own, gather)
-
-    return F.transform(plans, node)
 
 
 def shred_plans(
@@ -215,9 +65,7 @@ def shred_plans(
     """
     if on_missing == "drop":
         plans = plans.where(F.col(xml).isNotNull())
-    start = F.from_json(F.lit('{"holders":[],"hidden":0,"open":[],"children":[],"next":0,"found":[]}'), _STATE)
-    found = F.aggregate(_tags(F.col(xml), ignored), start, _step(first_width), lambda s: s["found"])
-    return plans.withColumn("nodes", F.when(F.col(xml).isNotNull(), let(found, _nodes)))
+    return plans.withColumn("nodes", read_nodes(F.col(xml), ignored, first_width))
 
 
 def reflect_depth(plans: DataFrame) -> DataFrame:

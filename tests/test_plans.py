@@ -98,3 +98,18 @@ def test_kinds(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
     kinds = df.select("i", shred.operator_kind(F.col("w"), F.array(F.lit("c1"))).alias("k")).orderBy("i").collect()
     assert [k["k"] for k in kinds] == ["A", "S", "OP", "OP", "C", "C", "L", "P", "GB", "OB", "H", "V", "V"]
+
+
+def test_reading_grows_with_the_document():
+    from time import perf_counter
+
+    from tablewright.plans.reader import nodes_of
+
+    def seconds(n):
+        inner = "<Plan><Node-Type>Seq Scan</Node-Type><Filter>(a &lt; 5)</Filter></Plan>" * n
+        start = perf_counter()
+        assert len(nodes_of(f"<Query><Plan><Node-Type>Append</Node-Type><Plans>{inner}</Plans></Plan></Query>", ("Plan-Rows",), 0)) == n + 1
+        return perf_counter() - start
+
+    seconds(200)
+    assert min(seconds(16_000) for _ in range(3)) < 8 * min(seconds(4_000) for _ in range(3))
