@@ -29,6 +29,11 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.ensure_splits(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", seed=17)
 
 
+@query("SELECT doc_id, 'train' AS split FROM documents")
+def all_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.as_train(table(spark, sf_dir, "documents").select("doc_id"))
+
+
 @query(
     """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents)
     WHERE r <= 50"""

@@ -120,12 +120,12 @@ def typed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_cells(lower_text_cells(rows, meta))
 
 
-_SKETCH_TEXT = """'SELECT ' || ['', 'MAX', 'MIN', 'COUNT', 'SUM', 'AVG'][agg + 1] || ' col' || sel || ' FROM table' ||
+SKETCH_TEXT = """'SELECT ' || ['', 'MAX', 'MIN', 'COUNT', 'SUM', 'AVG'][agg + 1] || ' col' || sel || ' FROM table' ||
   CASE n_conds WHEN 0 THEN '' WHEN 1 THEN ' WHERE col4 = "A"'
   ELSE ' WHERE col4 = "A" AND col1 > "' || (10 + ex % 20) || '"' END"""
 
 
-@query(f"WITH {ORDER_SKETCHES} SELECT ex AS example_id, {_SKETCH_TEXT} AS query_text FROM sketches")
+@query(f"WITH {ORDER_SKETCHES} SELECT ex AS example_id, {SKETCH_TEXT} AS query_text FROM sketches")
 def sketch_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = answers.sketch_sql_text(F.col("sel"), F.col("agg"), F.col("conds"))
     return order_sketches(spark, sf_dir).select("example_id", text.alias("query_text"))
@@ -133,7 +133,7 @@ def sketch_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {ORDER_LINES}, {_linear_sql(_HEADER)}, {ORDER_SKETCHES}
-    SELECT ex AS table_id, {_SKETCH_TEXT} AS query_text, linear_text, true AS split_ok
+    SELECT ex AS table_id, {SKETCH_TEXT} AS query_text, linear_text, true AS split_ok
     FROM sketches JOIN linear ON table_id = ex"""
 )
 def split_query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _split(segments: DataFrame) -> DataFrame:
 
 @query(
     f"""WITH {ORDER_LINES}, {_linear_sql(_HEADER)}, {ORDER_SKETCHES}
-    SELECT ex AS table_id, {_SKETCH_TEXT} AS query_text, linear_text
+    SELECT ex AS table_id, {SKETCH_TEXT} AS query_text, linear_text
     FROM sketches JOIN linear ON table_id = ex"""
 )
 def split_query_table_large(spark: SparkSession, sf_dir: str) -> DataFrame:

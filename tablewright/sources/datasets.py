@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from tablewright.functions.text import strip, unescape_list
 from tablewright.operators.scoring import prediction_line
 
-QUESTION_SCHEMA = (
-    "table_id string, question string, sql struct<sel:int,agg:int,conds:array<array<string>>>"
-)
+QUESTION_SCHEMA = "table_id string, question string, sql struct<sel:int,agg:int,conds:string>"
+# Conditions come as a list of [column, operator, value], or as an object of three lists.
+CONDS_AS_ROWS = "array<array<string>>"
+CONDS_AS_LISTS = "struct<column_index:array<int>,operator_index:array<int>,condition:array<string>>"
 TABLE_SCHEMA = "id string, header array<string>, types array<string>, rows array<array<string>>"
 
 
@@ -55,13 +56,21 @@ def read_line_pairs(spark: SparkSession, question_path: str, answer_path: str) -
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Sketch examples from JSON lines: ``(table_id, question, sel, agg, conds)``."""
-    raw = spark.read.schema(QUESTION_SCHEMA).json(path)
-    conds = F.transform(
-        "sql.conds",
+    """Sketch examples from JSON lines: ``(example_id, table_id, question, sel, agg, conds)``; the id is the line number."""
+    lines = read_lines(spark, path)
+    raw = lines.select(F.col("line_no").alias("example_id"), F.from_json("line", QUESTION_SCHEMA).alias("q"))
+    given = F.col("q.sql.conds")
+    rows = F.transform(
+        F.from_json(given, CONDS_AS_ROWS),
         lambda c: F.struct(c[0].cast("int").alias("col"), c[1].cast("int").alias("op"), c[2].alias("value")),
     )
-    return raw.select("table_id", "question", "sql.sel", "sql.agg", conds.alias("conds"))
+    lists = F.from_json(given, CONDS_AS_LISTS)
+    zipped = F.transform(
+        F.arrays_zip(lists["column_index"], lists["operator_index"], lists["condition"]),
+        lambda c: F.struct(c["column_index"].alias("col"), c["operator_index"].alias("op"), c["condition"].alias("value")),
+    )
+    conds = F.when(F.ltrim(given).startswith("{"), zipped).otherwise(rows)
+    return raw.select("example_id", "q.table_id", "q.question", "q.sql.sel", "q.sql.agg", conds.alias("conds"))
 
 
 def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,15 +89,21 @@ def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType)
 # --- tables of examples ---
 
 
-def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """A split from a ``.csv`` or ``.json`` file; other extensions are refused."""
+def read_split(
+    spark: SparkSession, path: str, split: str, schema: str | T.StructType | None = None, multi_line: bool = False
+) -> DataFrame:
+    """A split from a ``.csv`` or ``.json`` file; other extensions are refused.
+
+    Give the ``schema``: without one JSON is read twice to find it, and CSV columns are texts. Only ``multi_line`` CSV may hold line ends
+    inside fields; it makes a task of each file, where plain CSV is split.
+    """
     extension = path.rsplit(".", 1)[-1]
     if extension not in ("csv", "json"):
         raise ValueError(f"a split is read from a csv or json file, not {path!r}")
     if extension == "csv":
-        data = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        data = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path, schema=schema)
     else:
-        data = spark.read.json(path)
+        data = spark.read.json(path, schema=schema)
     return data.withColumn("split", F.lit(split))
 
 

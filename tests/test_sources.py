@@ -27,18 +27,19 @@ def test_questions_and_tables_from_json_lines(spark, tmp_path):
     table = {"id": "t1", "header": ["n", "w"], "types": ["real", "text"], "rows": [[5, "a b"], [2.5, "c"]]}
     question = {"table_id": "t1", "question": "How many?", "sql": {"sel": 0, "agg": 4, "conds": [[1, 0, "A b"]]}}
     (tmp_path / "t.jsonl").write_text(json.dumps(table) + "\n")
-    (tmp_path / "q.jsonl").write_text(json.dumps(question) + "\n")
+    listed = question | {"sql": {"sel": 0, "agg": 4, "conds": {"column_index": [1], "operator_index": [0], "condition": ["A b"]}}}
+    (tmp_path / "q.jsonl").write_text(json.dumps(question) + "\n" + json.dumps(listed) + "\n")
     rows, meta = datasets.read_tables(spark, str(tmp_path / "t.jsonl"))
     corpus = make_corpus(type_rows(rows, meta), meta)
-    examples = datasets.read_questions(spark, str(tmp_path / "q.jsonl")).withColumn("example_id", F.lit(1))
-    assert answer_sketches(examples, corpus).first()["answer"] == "5.0"
+    examples = datasets.read_questions(spark, str(tmp_path / "q.jsonl"))
+    assert sorted((r["example_id"], r["answer"]) for r in answer_sketches(examples, corpus).collect()) == [(0, "5.0"), (1, "5.0")]
 
 
 def test_array_csv_and_tagged_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"nt": "1"},\n {"nt": "2"}]')
     assert datasets.read_json_array(spark, str(tmp_path / "a.json"), "nt string").count() == 2
     (tmp_path / "train.csv").write_text('question,answer\n"a, ""b""\nc",2\n')
-    got = datasets.read_split(spark, str(tmp_path / "train.csv"), "train").first()
+    got = datasets.read_split(spark, str(tmp_path / "train.csv"), "train", multi_line=True).first()
     assert got.asDict() == {"question": 'a, "b"\nc', "answer": "2", "split": "train"}
     with pytest.raises(ValueError):
         datasets.read_split(spark, "x.txt", "train")
