@@ -119,6 +119,15 @@ def dag_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dags.peel(edges, dags.sources(edges))
 
 
+@query("SELECT DISTINCT n_regionkey AS graph_id FROM nation WHERE n_regionkey % 2 = 1")
+def dag_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Nations lead to their region; in odd regions that leads back to them.
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph_id"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    up = nation.select("graph_id", F.col("node").alias("src"), F.lit("region").alias("dst"))
+    back = nation.where("graph_id % 2 = 1").select("graph_id", F.lit("region").alias("src"), F.col("node").alias("dst"))
+    return dags.graphs_without_sink(up.unionByName(back))
+
+
 @query(f"WITH RECURSIVE {_GEO_SQL} SELECT * FROM layers")
 def dag_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dags.layers(geo_edges(spark, sf_dir))[0]

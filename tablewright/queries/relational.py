@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.numbers import exact_sum, float_text, julian_day
+from tablewright.operators import answers
 from tablewright.operators import relational as rel
 from tablewright.queries import query
 from tablewright.sources.driver_tables import LINE_ORDER, table
@@ -13,9 +14,10 @@ from tablewright.sources.driver_tables import LINE_ORDER, table
 _ORDER_KEY_TIES = ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
-@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice >= 905.5 AND p_size <> 7")
+@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice >= 905.5 AND p_size <> 7 AND p_partkey % 11 <> 3")
 def filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = table(spark, sf_dir, "part").withColumn("agg", F.lit(0.0))
+    # Some rows are marked as totals.
+    marked = table(spark, sf_dir, "part").withColumn("agg", F.when(F.col("p_partkey") % 11 == 3, F.lit(2.0)).otherwise(F.lit(0.0)))
     chosen = marked.where((F.col("p_retailprice") >= 905.5) & rel.differs(F.col("p_size"), 7))
     return rel.project(chosen, "p_partkey", "p_name", "p_retailprice")
 
@@ -240,6 +242,45 @@ def order_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.order_groups(orders, ["o_custkey"], F.max("o_totalprice"), descending=True).drop("o_totalprice")
 
 
+@query(
+    """SELECT o_orderkey, [o_orderstatus, o_orderpriority, 'x'] AS joined, [o_orderpriority, o_orderpriority] AS common,
+      [o_orderstatus] AS same, [o_orderstatus, NULL] AS mixed FROM orders"""
+)
+def list_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, priority, missing = F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit(None).cast("string")
+    left, right = F.array(status, priority, status, priority), F.array(priority, F.lit("x"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        rel.list_union(left, right).alias("joined"),
+        rel.list_intersect(left, right).alias("common"),
+        answers.collapse_answers(F.array(status, status)).alias("same"),
+        answers.collapse_answers(F.array(status, missing)).alias("mixed"),
+    )
+
+
+@query(
+    """SELECT o_orderkey, o_totalprice + o_custkey AS plus, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice - o_custkey END AS minus,
+      o_totalprice / NULLIF(o_orderkey % 3, 0) AS quotient FROM orders"""
+)
+def text_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    price, customer = F.col("o_totalprice").cast("string"), F.col("o_custkey").cast("string")
+    spoiled = F.when(key % 5 == 0, F.concat(customer, F.lit(" units"))).otherwise(customer)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        rel.text_arithmetic(price, "+", customer).alias("plus"),
+        rel.text_arithmetic(price, "-", spoiled).alias("minus"),
+        rel.text_arithmetic(price, "/", (key % 3).cast("string")).alias("quotient"),
+    )
+
+
+@query("SELECT o_orderstatus, coalesce(sum(o_custkey) FILTER (o_orderkey % 5 <> 0), 0)::DOUBLE AS total FROM orders GROUP BY o_orderstatus")
+def text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = F.col("o_custkey").cast("string")
+    spoiled = F.when(F.col("o_orderkey") % 5 == 0, F.concat(customer, F.lit(" units"))).otherwise(customer)
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(rel.text_total(spoiled).alias("total"))
+
+
 @query(
     """SELECT s_suppkey, abs(s_acctbal - (SELECT min(c_acctbal) FROM customer)) AS distance,
       (SELECT max(c_acctbal) FROM customer) - (SELECT max(s_acctbal) FROM supplier) AS gap FROM supplier"""

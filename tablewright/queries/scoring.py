@@ -112,11 +112,32 @@ def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select("example_id", line)
 
 
-@query()
+def _normal_sql() -> str:
+    """Marks made plain, remarks cut from the end, quotes taken off, remarks cut again. No document ends in more than four remarks."""
+    citations, brackets = r"(\[[^\]]*\]|[•♦†‡*#+])+$", r"( \([^)]*\))+$"
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    cut = lambda x: strip(f"regexp_replace({strip(f"regexp_replace({x}, '{citations}', '')")}, '{brackets}', '')")
+    plain = strip("""translate(strip_accents(text), '‘’´`“”‐‑‒–—−', '''''''''""------')""")
+    steps = [f"SELECT doc_id, {plain} AS t FROM documents"] + [f"SELECT doc_id, {cut('t')} AS t FROM s{i}" for i in range(4)]
+    steps += [rf"""SELECT doc_id, regexp_replace(t, '^"([^"]*)"$', '\1') AS t FROM s4"""] + [f"SELECT doc_id, {cut('t')} AS t FROM s{i}" for i in range(5, 9)]
+    chain = ", ".join(f"s{i} AS ({step})" for i, step in enumerate(steps))
+    return rf"WITH {chain} SELECT doc_id, {strip(r"lower(regexp_replace(regexp_replace(t, '\.$', ''), '\s+', ' ', 'g'))")} AS normal FROM s{len(steps) - 1}"
+
+
+@query(_normal_sql())
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", normalize_text("text").alias("normal"))
 
 
-@query()
+# One row of the table of common lengths for each letter of the prediction; a row is the running maximum of its candidates.
+@query(
+    f"""WITH RECURSIVE {_PREDICTIONS_SQL}, p AS (SELECT example_id, pred, ref, string_split(pred, '') AS a, string_split(ref, '') AS b FROM predictions),
+    dp AS (SELECT example_id, 0 AS i, list_transform(b, lambda x: 0) AS known FROM p
+      UNION ALL SELECT d.example_id, d.i + 1, list_transform(range(1, len(p.b) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+        lambda k: CASE WHEN p.a[d.i + 1] = p.b[k] THEN coalesce(d.known[k - 1], 0) + 1 ELSE d.known[k] END)))
+      FROM dp d JOIN p USING (example_id) WHERE d.i < len(p.a))
+    SELECT p.example_id, CASE WHEN pred = ref THEN 100 ELSE round_even(200 * d.known[-1] / (len(p.a) + len(p.b)), 0) END::INTEGER AS ratio
+    FROM p JOIN dp d ON d.example_id = p.example_id AND d.i = len(p.a)"""
+)
 def fuzz_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select("example_id", fuzz_ratio("pred", "ref").alias("ratio"))

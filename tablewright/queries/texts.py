@@ -209,7 +209,13 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"SELECT doc_id, replace(replace(replace(text, '\n', chr(10)), '\p', '|'), '\\', '\') AS field FROM documents")
+@query(
+    r"""SELECT doc_id, replace(replace(replace(escaped, '\n', chr(10)), '\p', '|'), '\\', '\') AS field
+    FROM (SELECT doc_id, replace(replace(replace(text, '. ', '\n'), ', ', '\p'), 'th', '\\') AS escaped FROM documents)"""
+)
 def unescape_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Escape whole documents, then read the fields back as a list of one.
-    return table(spark, sf_dir, "documents").select("doc_id", text.unescape_field(F.col("text")).alias("field"))
+    # Sentence ends, commas and a letter pair of whole documents become escapes, which are then undone.
+    escaped = F.col("text")
+    for plain, escape in [(". ", "\\n"), (", ", "\\p"), ("th", "\\\\")]:
+        escaped = F.replace(escaped, F.lit(plain), F.lit(escape))
+    return table(spark, sf_dir, "documents").select("doc_id", text.unescape_field(escaped).alias("field"))
