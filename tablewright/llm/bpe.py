@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import bounded_batches, text_slices, written
+from tablewright.llm.common import bounded_batches, lean_memory, text_slices, written
 from tablewright.llm.pretokens import distinct, pretokens, ragged
 
 WORDS = pa.schema({"bucket": pa.int32(), "block": pa.int64(), "codes": pa.binary(), "words": pa.binary()})
@@ -115,6 +115,7 @@ def _words(buckets: int):
 
 def _encode_words(path: str):
     def run(group: pa.Table) -> pa.Table:
+        lean_memory()
         ranks, encoding, *_ = vocabulary(path)
         parts = [unpacked_words(x) for x in group.column("words").to_pylist()]
         lengths = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -149,6 +150,7 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _assemble(path: str):
     def run(blocks: pa.Table, parts: pa.Table) -> pa.Table:
+        lean_memory()
         if len(blocks) != 1:
             raise ValueError("the documents changed between two scans: a block has words but no documents, or appears twice")
         block = blocks.to_pylist()[0]

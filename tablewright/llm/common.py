@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ from tablewright.skew import ensure_checkpoint_dir as shared_folder
 
 # Texts handed to one step inside a task, in characters; a single longer text is a step of its own.
 BATCH_CHARS = 4_000_000
+# Names of settings in the C library.
+MALLOC_TRIM_THRESHOLD, MALLOC_MMAP_THRESHOLD = -1, -3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +50,23 @@ def bucket_of_id(name: str, buckets: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % buckets
 
 
+@cache
+def lean_memory() -> None:
+    """Have this Python worker give freed arrays back at once.
+
+    Workers live on from task to task, and by default both allocators keep what was freed for later. Large arrays get pages of their own
+    instead, and Arrow takes from the same allocator. Where the C library has no such setting nothing changes.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(AttributeError, OSError):
+        libc = ctypes.CDLL(None)
+        for option in (MALLOC_MMAP_THRESHOLD, MALLOC_TRIM_THRESHOLD):
+            libc.mallopt(option, 1 << 20)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """A record batch in slices whose texts hold about ``limit`` bytes, without copying."""
+    lean_memory()
     texts = batch.column(batch.schema.get_field_index(column))
     sizes = pc.binary_length(texts).fill_null(0).to_pylist()
     start, held = 0, 0

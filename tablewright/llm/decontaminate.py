@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import ROW, bounded_batches, split_rows, text_slices, with_row, written
+from tablewright.llm.common import ROW, bounded_batches, lean_memory, split_rows, text_slices, with_row, written
 from tablewright.llm.fm_index import FMIndex
 from tablewright.llm.pretokens import distinct, flat_texts
 
@@ -94,6 +94,7 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def _search(chunk):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         phrases, items = chunk.value
         words, lengths = words_of(pa.array(phrases, pa.string()))
         item_counts = np.array([len(i) for i in items], dtype=np.int64)
@@ -127,6 +128,7 @@ def _search(chunk):
 
 def _merge(shards: pa.Table, hits: pa.Table) -> pa.Table:
     """Spans of hit words and item ids of every document of a shard."""
+    lean_memory()
     docs = pa.ipc.open_stream(shards.column("docs")[0].as_py()).read_all()
     counts = docs.column("n_words").to_numpy()
     starts = np.cumsum(counts + 1) - (counts + 1)  # a document's end takes a place too

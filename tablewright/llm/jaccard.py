@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import MARK_BITS, ROW, bounded_batches, is_marked, mark_of, marks, split_rows, text_slices, with_row, written
+from tablewright.llm.common import MARK_BITS, ROW, bounded_batches, is_marked, lean_memory, mark_of, marks, split_rows, text_slices, with_row, written
 from tablewright.llm.components import components
 from tablewright.llm.pretokens import distinct, flat_texts
 
@@ -126,6 +126,7 @@ def _levels(width: int):
     """Counts added up, in eighths of a power of two."""
 
     def run(group: pa.Table) -> pa.Table:
+        lean_memory()
         total = np.zeros(width, dtype=np.float64)
         for row in group.to_pylist():
             total[np.cumsum(unpacked(row["at"]), dtype=np.int64)] += unpacked(row["n"])
@@ -191,6 +192,7 @@ def _prefixes(levels, buckets: int):
 
 def _shared(group: pa.Table) -> pa.Table:
     """Postings of the 3-grams that more than one class has in its prefix, each class once."""
+    lean_memory()
     rows = group.to_pylist()
     grams = np.concatenate([np.frombuffer(r["grams"], dtype=np.uint64) for r in rows])
     keys = np.concatenate([np.frombuffer(r["keys"], dtype="V16") for r in rows])

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import bounded_batches, shared_folder, text_slices, written
+from tablewright.llm.common import bounded_batches, lean_memory, shared_folder, text_slices, written
 from tablewright.llm.pretokens import distinct, pretokens, ragged
 
 MAGIC = b"PFORIDS1"
@@ -192,6 +192,7 @@ def _encode(path: str, end_id: int | None, bounds: np.ndarray):
 
 def _write(folder: str):
     def run(group: pa.Table) -> pa.Table:
+        lean_memory()
         group = group.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending"), ("ids", "ascending")])
         missing = group.column("doc_id").null_count  # sorted to the end; they come first in the file
         group = pa.concat_tables([group.slice(len(group) - missing), group.slice(0, len(group) - missing)])
@@ -209,6 +210,7 @@ def _write(folder: str):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean_memory()
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             file = int(path.rpartition("-")[2].removesuffix(".pfor"))
