@@ -5,32 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import strip
 from tablewright.functions.numbers import float_or_null, float_text, is_strict_float, is_strict_int, to_float, value_kind
 from tablewright.functions.numbers import value_text as typed_text
+from tablewright.functions.text import strip
 from tablewright.skew import in_order
 
 # Date forms by the shape of the text: only a text of the right shape reaches a parser.
+_DAY, _CLOCK = r"^\d{4}-\d{1,2}-\d{1,2}", r"[ T]\d{1,2}:\d{2}"
 DATE_FORMS = {
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-    r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$": "yyyy-MM-dd HH:mm:ss",
-    r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd",
-    r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy",
-    r"^\d{1,2} [A-Za-z]+ \d{4}$": "d MMMM yyyy",
-    r"^[A-Za-z]+ \d{1,2}, \d{4}$": "MMMM d, yyyy",
+    rf"{_DAY}$": "yyyy-M-d",
+    rf"{_DAY}{_CLOCK}$": "yyyy-M-d H:mm",
+    rf"{_DAY}{_CLOCK}:\d{{2}}(?:\.\d{{1,6}})?$": "yyyy-M-d H:mm:ss[.SSSSSS]",
+    rf"{_DAY}{_CLOCK}:\d{{2}}(?:\.\d{{1,6}})?(?:Z|[+-]\d{{2}}:\d{{2}})$": "yyyy-M-d H:mm:ss[.SSSSSS]XXX",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
+    r"^\d{1,2} [A-Za-z]{4,} \d{4}$": "d MMMM yyyy",
+    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
+    r"^[A-Za-z]{4,} \d{1,2}, \d{4}$": "MMMM d, yyyy",
+    r"^[A-Za-z]{3} \d{4}$": "MMM yyyy",
+    r"^[A-Za-z]{4,} \d{4}$": "MMMM yyyy",
 }
+# Every form has a year of four digits and between 8 and 40 characters.
+MAYBE_DATE = r"^(?=.*\d{4}).{8,40}$"
 RESULT_MARK = r"\| "
 LIST_MARK = ",, "
 
 
 def to_timestamp(text: Column) -> Column:
-    """A timestamp in one of the known forms, else NULL."""
+    """A timestamp in one of the known forms, else NULL. A month and year alone mean its first day."""
     stripped = strip(text)
     parsed = F.lit(None).cast("timestamp")
     for shape, form in reversed(DATE_FORMS.items()):
         spaced = F.replace(stripped, F.lit("T"), F.lit(" ")) if "[ T]" in shape else stripped
         parsed = F.when(stripped.rlike(shape), F.try_to_timestamp(spaced, F.lit(form))).otherwise(parsed)
-    return parsed
+    return F.when(stripped.rlike(MAYBE_DATE), parsed)
 
 
 def identify_cells(raw_cells: DataFrame) -> DataFrame:

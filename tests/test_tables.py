@@ -90,3 +90,18 @@ def test_derived_columns(spark):
     assert one(spark, derived.month_number(text), t="Sep 2001") is None
     assert one(spark, derived.first_year(text), t="12345 or 1999") == "1999"
     assert one(spark, derived.first_number(text), t="v 10.25 of 3") == 10.25
+
+
+def test_date_forms_of_web_tables(spark):
+    from tablewright.operators.typing import to_timestamp
+
+    written = {
+        "2003-10-05": "2003-10-05 00:00:00", "2003-1-5": "2003-01-05 00:00:00", "1/5/2003": "2003-01-05 00:00:00", "01/05/2003": "2003-01-05 00:00:00",
+        "Jan 5, 2003": "2003-01-05 00:00:00", "October 5, 2003": "2003-10-05 00:00:00", "5 Oct 2003": "2003-10-05 00:00:00", "5 May 2003": "2003-05-05 00:00:00",
+        "October 2003": "2003-10-01 00:00:00", "Oct 2003": "2003-10-01 00:00:00", "2003-10-05 10:11": "2003-10-05 10:11:00", "2003-10-05T10:11:12Z": "2003-10-05 10:11:12",
+        "2003-10-05T10:11:12+02:00": "2003-10-05 08:11:12", " 2003/10/05\n": "2003-10-05 00:00:00", "2003-10-05 10:11:12.5": "2003-10-05 10:11:12.5",
+        "2003": None, "13/45/2003": None, "Foo 5, 2003": None, "team of 2003 won": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(w,) for w in written], "w string")
+    got = {r["w"]: r["at"] for r in df.select("w", to_timestamp(F.col("w")).cast("string").alias("at")).collect()}
+    assert got == written
