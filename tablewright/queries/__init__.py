@@ -31,6 +31,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> dict[str, Registered]:
     """All registered queries, in the order of their families."""
-    from tablewright.queries import files, plans, prep, relational, scoring, sketches, tables, texts  # noqa: F401
+    from tablewright.queries import conversions, files, plans, prep, relational, scoring, sketches, tables, texts  # noqa: F401
 
     return REGISTRY

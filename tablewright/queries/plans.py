@@ -19,7 +19,7 @@ nodes AS (
     o_custkey || '))|Alias : ' FROM planned
   UNION ALL SELECT o_orderkey, 3, 1, 'Index Scan', 1, 2, 'Index-Name : by <key>' FROM planned WHERE o_orderkey % 2 = 0)
 """
-_PLANNED = f"planned AS (SELECT * FROM orders WHERE o_orderstatus <> 'O'), {_NODES_SQL}"
+_PLANNED = f"planned AS (SELECT * FROM orders WHERE o_totalprice >= 10000), {_NODES_SQL}"
 
 
 def _shown(nodes: DataFrame) -> DataFrame:
@@ -39,13 +39,13 @@ def plan_depth_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.explode_nodes(plans, "plan_id").select("plan_id", "node_id", "depth")
 
 
-@query(
-    f"""WITH {_PLANNED}, written AS (SELECT plan_id, depth, width, node_id, ' NODE ' || node_type || '|' || width || '|' || (2 - depth) || '|' ||
+LINEARIZED_PLANS = f"""{_PLANNED}, written AS (SELECT plan_id, depth, width, node_id, ' NODE ' || node_type || '|' || width || '|' || (2 - depth) || '|' ||
         CASE node_id WHEN 0 THEN 'Query' WHEN 1 THEN 'Limit_0_2' ELSE 'Sort_0_1' END ||
-        CASE WHEN attrs = '' THEN '' ELSE '|' || attrs END AS line FROM nodes)
-    SELECT o_orderkey AS plan_id, plan_text FROM orders LEFT JOIN (SELECT plan_id,
-      string_agg(line, '' ORDER BY 2 - depth, width, node_id) AS plan_text FROM written GROUP BY plan_id) ON plan_id = o_orderkey"""
-)
+        CASE WHEN attrs = '' THEN '' ELSE '|' || attrs END AS line FROM nodes),
+    linear_plans AS (SELECT plan_id, string_agg(line, '' ORDER BY 2 - depth, width, node_id) AS plan_text FROM written GROUP BY plan_id)"""
+
+
+@query(f"WITH {LINEARIZED_PLANS} SELECT o_orderkey AS plan_id, plan_text FROM orders LEFT JOIN linear_plans ON plan_id = o_orderkey")
 def plan_linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = shred.reflect_depth(shred.shred_plans(order_plans(spark, sf_dir)))
     return shred.linearize_plans(plans).select("plan_id", "plan_text")
@@ -167,7 +167,7 @@ def dag_layers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ORDER_LINES}, planned AS (SELECT * FROM orders WHERE o_orderstatus <> 'O')
+    f"""WITH {ORDER_LINES}, planned AS (SELECT * FROM orders WHERE o_totalprice >= 10000)
     SELECT o_orderkey AS graph_id, 0::BIGINT AS segment, ' NODE ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Index Scan_1_2 NODE ' ELSE '' END ||
       'Seq Scan_0_2 NODE Sort_0_1 NODE Limit_0_0' AS "text" FROM planned
     UNION ALL SELECT o_orderkey, 1, ' col : l_partkey | l_quantity | l_extendedprice | l_discount | l_returnflag' || coalesce((

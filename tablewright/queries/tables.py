@@ -30,7 +30,7 @@ from tablewright.sources.driver_tables import (
 _LINE_TEXT = "l_partkey || ' | ' || l_quantity || ' | ' || l_extendedprice || ' | ' || l_discount || ' | ' || l_returnflag"
 
 
-def _linear_sql(header: str) -> str:
+def linear_sql(header: str) -> str:
     return f"""
 linear AS (
   SELECT o_orderkey AS table_id, 0::BIGINT AS segment, ' col : {header}' || coalesce(body, '') AS linear_text
@@ -40,20 +40,20 @@ linear AS (
 """
 
 
-_HEADER = " | ".join(ORDER_COLUMNS)
-_NATURAL = ["part", "quantity", "price", "discount", "return flag"]
+HEADER = " | ".join(ORDER_COLUMNS)
+NATURAL = ["part", "quantity", "price", "discount", "return flag"]
 
 
-@query(f"WITH {ORDER_LINES}, {_linear_sql(_HEADER)} SELECT * FROM linear")
+@query(f"WITH {ORDER_LINES}, {linear_sql(HEADER)} SELECT * FROM linear")
 def linearize_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = order_corpus(spark, sf_dir)
     return linear.linearize(corpus.rows, corpus.meta)
 
 
-@query(f"WITH {ORDER_LINES}, {_linear_sql(' | '.join(_NATURAL))} SELECT * FROM linear")
+@query(f"WITH {ORDER_LINES}, {linear_sql(' | '.join(NATURAL))} SELECT * FROM linear")
 def swap_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = order_corpus(spark, sf_dir)
-    natural = corpus.meta.withColumn("header", F.array(*map(F.lit, _NATURAL)))
+    natural = corpus.meta.withColumn("header", F.array(*map(F.lit, NATURAL)))
     return linear.linearize(corpus.rows, natural)
 
 
@@ -132,7 +132,7 @@ def sketch_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ORDER_LINES}, {_linear_sql(_HEADER)}, {ORDER_SKETCHES}
+    f"""WITH {ORDER_LINES}, {linear_sql(HEADER)}, {ORDER_SKETCHES}
     SELECT ex AS table_id, {SKETCH_TEXT} AS query_text, linear_text, true AS split_ok
     FROM sketches JOIN linear ON table_id = ex"""
 )
@@ -150,7 +150,7 @@ def _split(segments: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {ORDER_LINES}, {_linear_sql(_HEADER)}, {ORDER_SKETCHES}
+    f"""WITH {ORDER_LINES}, {linear_sql(HEADER)}, {ORDER_SKETCHES}
     SELECT ex AS table_id, {SKETCH_TEXT} AS query_text, linear_text
     FROM sketches JOIN linear ON table_id = ex"""
 )
