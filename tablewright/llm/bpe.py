@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import bounded_batches, lean_memory, text_slices, written
+from tablewright.llm.common import LARGE_BATCH_CHARS, bounded_batches, lean_memory, text_slices, written
 from tablewright.llm.pretokens import distinct, pretokens, ragged
 
 WORDS = pa.schema({"bucket": pa.int32(), "block": pa.int64(), "codes": pa.binary(), "words": pa.binary()})
@@ -80,7 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
     """block id, documents, pre-tokens in each, their word codes, distinct words. Numbered by partition and place in it."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for part in text_slices(batch, "text"):
+        for part in text_slices(batch, "text", LARGE_BATCH_CHARS):
             words, counts = pretokens(part.column("text"))
             codes, known = distinct(words)
             yield block, part, counts, codes, known

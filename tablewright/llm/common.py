@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tablewright.skew import ensure_checkpoint_dir as shared_folder
 
-# Texts handed to one step inside a task, in characters; a single longer text is a step of its own.
-BATCH_CHARS = 4_000_000
+# Texts handed to one step inside a task, in bytes; a single longer text is a step of its own.
+BATCH_CHARS = 2_000_000
+# For operators whose traffic falls with larger steps.
+LARGE_BATCH_CHARS = 4_000_000
 # Names of settings in the C library.
 MALLOC_TRIM_THRESHOLD, MALLOC_MMAP_THRESHOLD = -1, -3
 
@@ -35,13 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """The same rows; the session sends texts to Python in Arrow batches of this many rows at most.
+    """The same rows; the session sends texts to Python in Arrow batches of this many rows, and about 8 MB, at most.
 
-    Spark's own 10,000 rows are sized for numbers. The setting stays on the session, since Spark reads it when the job runs.
+    Spark's own 10,000 rows are sized for numbers. The settings stay on the session, since Spark reads them when the job runs.
     """
+    conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > rows:
-        df.sparkSession.conf.set(key, str(rows))
+    if int(conf.get(key)) > rows:
+        conf.set(key, str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
 
 

@@ -173,7 +173,7 @@ def find_spans(docs: DataFrame, phrases: DataFrame, chunk_bytes: int = CHUNK_BYT
     for chunk in range(chunks):
         part = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(chunks)) == chunk).collect()
         shared = docs.sparkSession.sparkContext.broadcast(([r["phrase"] for r in part], [r["items"] for r in part]))
-        hits = hits.unionAll(indexes.select("shard", "index").mapInArrow(_search(shared), sql_schema(HITS)))
+        hits = hits.unionAll(bounded_batches(indexes).select("shard", "index").mapInArrow(_search(shared), sql_schema(HITS)))
     return indexes.select("shard", "docs").groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_merge, FOUND_SQL)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import bounded_batches, lean_memory, shared_folder, text_slices, written
+from tablewright.llm.common import LARGE_BATCH_CHARS, bounded_batches, lean_memory, shared_folder, text_slices, written
 from tablewright.llm.pretokens import distinct, pretokens, ragged
 
 MAGIC = b"PFORIDS1"
@@ -178,7 +178,7 @@ def _encode(path: str, end_id: int | None, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(path)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", LARGE_BATCH_CHARS):
                 ids, ends = encode_texts(part.column("text"), cache, end_id)
                 docs = part.column("doc_id")
                 files = np.searchsorted(bounds, docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
