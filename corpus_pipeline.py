@@ -12,6 +12,8 @@ from tablewright.llm.common import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Near copies share this part, in percent, of their shingles of so many words.
+COPY_WORDS, COPY_PERCENT = 5, 80
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, COPY_WORDS, COPY_PERCENT)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

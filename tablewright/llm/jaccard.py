@@ -1,15 +1,15 @@
-"""N-gram Jaccard join: which documents share at least 90 % of their word 3-grams, and the groups that such links form.
+"""N-gram Jaccard join: which documents share a given part of their word n-grams (90 % of 3-grams by default), and the groups that such links form.
 
-Documents with equal sets are one class from the start. Every other link is found by prefix filtering: with the 3-grams of all sets in
-one order, rare ones first, two sets that link share a 3-gram within their first ``n - ceil(0.9 n) + 1``. Length and positional filters
+Documents with equal sets are one class from the start. Every other link is found by prefix filtering: with the n-grams of all sets in
+one order, rare ones first, two sets of n that link share one within their first ``n - ceil(0.9 n) + 1`` (0.9 or what part is asked for). Length and positional filters
 drop most of those pairs, a suffix filter (how many hashes each set has in each of 64 ranges) most of the rest, and each pair left is
 verified once on the whole sets.
 
-The groups need no link between documents that are connected already, so pairs are formed in rounds: first each shared 3-gram's earliest
+The groups need no link between documents that are connected already, so pairs are formed in rounds: first each shared n-gram's earliest
 class against all its others, which a group of near copies of one text collapses under; when the pairs between unconnected classes have
 become few, or a round connects nothing more, all of them. No link between different groups is left out, and copies are never expanded.
 
-3-grams are 64-bit hashes, sets 128-bit digests of them. The order of rarity comes from shared counters of fixed size filled from all documents:
+N-grams are 64-bit hashes, sets 128-bit digests of them. The order of rarity comes from shared counters of fixed size filled from all documents:
 any one order finds all links, a finer count only makes fewer candidates.
 """
 
@@ -30,7 +30,7 @@ from tablewright.llm.common import MARK_BITS, ROW, bounded_batches, is_marked, l
 from tablewright.llm.components import components
 from tablewright.llm.pretokens import distinct, flat_texts
 
-# Links need PERCENT * (size of the union) / 100 shared 3-grams.
+# Unless others are asked for: links need PERCENT * (size of the union) / 100 shared shingles of SIZE words.
 PERCENT = 90
 SIZE = 3
 COUNTER_BITS = 24
@@ -93,10 +93,10 @@ def set_key(grams: np.ndarray) -> bytes | None:
     return blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in text_slices(batch, "text"):
-            yield part, shingle_sets(part.column("text"))
+            yield part, shingle_sets(part.column("text"), size)
 
 
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -104,12 +104,12 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _counts(bits: int, parts: int):
+def _counts(bits: int, parts: int, size: int):
     """How often each counter is met, in parts of the counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2**bits // parts
-        for _, sets in _slices(batches):
+        for _, sets in _slices(batches, size):
             grams = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
             at, n = np.unique((grams >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
             ends = np.searchsorted(at, np.arange(parts + 1) * width)
@@ -136,10 +136,10 @@ def _levels(width: int):
     return run
 
 
-def rarity(texts: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
-    """One byte for each of ``2^bits`` counters: how frequent the 3-grams are whose hashes begin with it. 16 MB by default, at any input size."""
+def rarity(texts: DataFrame, bits: int = COUNTER_BITS, size: int = SIZE) -> np.ndarray:
+    """One byte for each of ``2^bits`` counters: how frequent the shingles are whose hashes begin with it. 16 MB by default, at any input size."""
     parts = 64
-    counted = texts.mapInArrow(_counts(bits, parts), sql_schema(COUNTS))
+    counted = texts.mapInArrow(_counts(bits, parts, size), sql_schema(COUNTS))
     levels = counted.groupBy("part").applyInArrow(_levels(2**bits // parts), sql_schema(LEVELS)).collect()
     out = np.zeros((parts, 2**bits // parts), dtype=np.uint8)
     for row in levels:
@@ -147,30 +147,33 @@ def rarity(texts: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
     return out.reshape(-1)
 
 
-def needed(a: int, b: int) -> int:
-    """Shared 3-grams that sets of these sizes need to link."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+def needed(a: int, b: int, percent: int = PERCENT) -> int:
+    """Shared shingles that sets of these sizes need to link."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sets in _slices(batches):
-        ranges = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype("<u4") for s in sets]
-        columns = [part.column(ROW), part.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([packed(r) for r in ranges], pa.binary())], schema=MEMBERS)
+def _members(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _slices(batches, size):
+            ranges = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype("<u4") for s in sets]
+            columns = [part.column(ROW), part.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([packed(r) for r in ranges], pa.binary())], schema=MEMBERS)
+
+    return run
 
 
-def _prefixes(levels, buckets: int):
+def _prefixes(levels, buckets: int, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - int(len(levels.value)).bit_length() + 1)
-        for _, sets in _slices(batches):
+        for _, sets in _slices(batches, size):
             by_key = {set_key(s): s for s in sets if len(s)}
             grams, keys, sizes, places = [], [], [], []
             for key, own in by_key.items():
-                rare = np.argsort(levels.value[(own >> shift).astype(np.int64)], kind="stable")[: prefix_length(len(own))]
+                rare = np.argsort(levels.value[(own >> shift).astype(np.int64)], kind="stable")[: prefix_length(len(own), percent)]
                 grams.append(own[rare])
                 keys.append(np.full(len(rare), key, dtype="V16"))
                 sizes.append(np.full(len(rare), len(own)))
@@ -190,45 +193,49 @@ def _prefixes(levels, buckets: int):
     return run
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """Postings of the 3-grams that more than one class has in its prefix, each class once."""
-    lean_memory()
-    rows = group.to_pylist()
-    grams = np.concatenate([np.frombuffer(r["grams"], dtype=np.uint64) for r in rows])
-    keys = np.concatenate([np.frombuffer(r["keys"], dtype="V16") for r in rows])
-    halves = keys.view("<u8").reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0], grams))
-    gram, half = grams[order], halves[order]
-    new_gram = np.ones(len(order), dtype=bool)
-    new_gram[1:] = gram[1:] != gram[:-1]
-    new = new_gram.copy()
-    new[1:] |= (half[1:] != half[:-1]).any(axis=1)
-    order, new_gram = order[new], new_gram[new]
-    starts = np.flatnonzero(new_gram)
-    sizes = np.diff(np.append(starts, len(order)))
-    order, sizes = order[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
-    n, pos = (np.concatenate([unpacked(r[c]) for r in rows]).astype(np.int64)[order] for c in ("sizes", "places"))
-    able = _has_partner(sizes, n, pos)
-    order, n, pos = order[able], n[able], pos[able]
-    columns = [pa.array(grams[order].view(np.int64)), pa.array([k.tobytes() for k in keys[order]], pa.binary()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())]
-    return pa.table(columns, schema=POSTINGS)
-
-
-# A 3-gram of more classes than this keeps all its postings; pairs are tested one by one later in any case.
+def _shared(percent: int):
+    """Postings of the shingles that more than one class has in its prefix, each class once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lean_memory()
+        rows = group.to_pylist()
+        grams = np.concatenate([np.frombuffer(r["grams"], dtype=np.uint64) for r in rows])
+        keys = np.concatenate([np.frombuffer(r["keys"], dtype="V16") for r in rows])
+        halves = keys.view("<u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0], grams))
+        gram, half = grams[order], halves[order]
+        new_gram = np.ones(len(order), dtype=bool)
+        new_gram[1:] = gram[1:] != gram[:-1]
+        new = new_gram.copy()
+        new[1:] |= (half[1:] != half[:-1]).any(axis=1)
+        order, new_gram = order[new], new_gram[new]
+        starts = np.flatnonzero(new_gram)
+        sizes = np.diff(np.append(starts, len(order)))
+        order, sizes = order[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+        n, pos = (np.concatenate([unpacked(r[c]) for r in rows]).astype(np.int64)[order] for c in ("sizes", "places"))
+        able = _has_partner(sizes, n, pos, percent)
+        order, n, pos = order[able], n[able], pos[able]
+        columns = [pa.array(grams[order].view(np.int64)), pa.array([k.tobytes() for k in keys[order]], pa.binary()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())]
+        return pa.table(columns, schema=POSTINGS)
+
+    return run
+
+
+# A shingle of more classes than this keeps all its postings; pairs are tested one by one later in any case.
 MOST_TESTED = 4096
 
 
-def _passes(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _passes(n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of the last axis pass the length and positional filters."""
     total = n[..., :, None] + n[..., None, :]
-    shared = -(-PERCENT * total // (100 + PERCENT))
+    shared = -(-percent * total // (100 + percent))
     left = np.minimum((n - pos)[..., :, None], (n - pos)[..., None, :])
-    even = np.minimum(n[..., :, None], n[..., None, :]) * 100 >= np.maximum(n[..., :, None], n[..., None, :]) * PERCENT
+    even = np.minimum(n[..., :, None], n[..., None, :]) * 100 >= np.maximum(n[..., :, None], n[..., None, :]) * percent
     return even & (left >= shared)
 
 
-def _has_partner(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Postings that pass the filters with some other posting of their 3-gram; ``sizes`` are the postings of each, in order."""
+def _has_partner(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Postings that pass the filters with some other posting of their shingle; ``sizes`` are the postings of each, in order."""
     starts = np.cumsum(sizes) - sizes
     able = np.zeros(len(n), dtype=bool)
     for size in np.unique(sizes).tolist():
@@ -239,7 +246,7 @@ def _has_partner(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarra
         step = max(1, 2_000_000 // size**2)
         for lo in range(0, len(firsts), step):
             at = firsts[lo : lo + step, None] + np.arange(size)
-            passes = _passes(n[at], pos[at])
+            passes = _passes(n[at], pos[at], percent)
             passes[:, np.arange(size), np.arange(size)] = False
             able[at] = passes.any(axis=2)
     return able
@@ -256,9 +263,9 @@ def class_marks(classes: DataFrame) -> np.ndarray:
     return marks(classes.select(mark_of(named).alias("at")))
 
 
-def _sets(asked):
+def _sets(asked, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches):
+        for part, sets in _slices(batches, size):
             found = {}
             for doc_id, own in zip(part.column("doc_id").to_pylist(), sets, strict=True):
                 if len(own):
@@ -270,60 +277,68 @@ def _sets(asked):
     return run
 
 
-def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffix_filter(percent: int):
     """Pairs whose sets could share enough by their counts in each range of hashes."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        ranges = [np.stack([unpacked(r) for r in batch.column(c).to_pylist()]).astype(np.int64) for c in ("ranges_a", "ranges_b")]
-        most = np.minimum(*ranges).sum(axis=1)
-        total = ranges[0].sum(axis=1) + ranges[1].sum(axis=1)
-        able = most * (100 + PERCENT) >= PERCENT * total
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=PAIR).filter(pa.array(able))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ranges = [np.stack([unpacked(r) for r in batch.column(c).to_pylist()]).astype(np.int64) for c in ("ranges_a", "ranges_b")]
+            most = np.minimum(*ranges).sum(axis=1)
+            total = ranges[0].sum(axis=1) + ranges[1].sum(axis=1)
+            able = most * (100 + percent) >= percent * total
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=PAIR).filter(pa.array(able))
+
+    return run
 
 
-def _verify(own: pa.Table, others: pa.Table) -> pa.Table:
+def _verify(percent: int):
     """Pairs of one class with others that link."""
-    if not len(own) or not len(others):
-        return PAIR.empty_table()
-    mine = np.frombuffer(own.column("grams")[0].as_py(), dtype=np.uint64)
-    rows = []
-    for a, b, grams in zip(others.column("a").to_pylist(), others.column("b").to_pylist(), others.column("theirs"), strict=True):
-        theirs = np.frombuffer(grams.as_py(), dtype=np.uint64)
-        shared = len(np.intersect1d(mine, theirs, assume_unique=True))
-        if 100 * shared >= PERCENT * (len(mine) + len(theirs) - shared):
-            rows.append((a, b))
-    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], schema=PAIR)
+
+    def run(own: pa.Table, others: pa.Table) -> pa.Table:
+        if not len(own) or not len(others):
+            return PAIR.empty_table()
+        mine = np.frombuffer(own.column("grams")[0].as_py(), dtype=np.uint64)
+        rows = []
+        for a, b, grams in zip(others.column("a").to_pylist(), others.column("b").to_pylist(), others.column("theirs"), strict=True):
+            theirs = np.frombuffer(grams.as_py(), dtype=np.uint64)
+            shared = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
+                rows.append((a, b))
+        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], schema=PAIR)
+
+    return run
 
 
 @dataclass
 class Classes:
-    """``members``: _row, doc_id, key, n. ``labels``: key and label of the classes that share rare 3-grams with others."""
+    """``members``: _row, doc_id, key, n. ``labels``: key and label of the classes that share rare shingles with others."""
 
     members: DataFrame
     labels: DataFrame
 
 
-def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Distinct pairs of unconnected classes that share a 3-gram and pass the length and positional filters there."""
+def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of unconnected classes that share a shingle and pass the length and positional filters there."""
     both = x.alias("x").join(y.alias("y"), F.col("x.gram") == F.col("y.gram"))
     size = F.col("x.n") + F.col("y.n")
-    shared = F.ceil(size * PERCENT / (100 + PERCENT))
-    long_enough = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
+    shared = F.ceil(size * percent / (100 + percent))
+    long_enough = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     in_place = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= shared
     kept = both.where((F.col("x.label") != F.col("y.label")) & long_enough & in_place)
     return kept.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def link_classes(docs: DataFrame) -> Classes:
+def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Classes:
     """The classes of equal sets, and which of them links connect."""
     texts = with_row(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(texts)
     spark, buckets = docs.sparkSession, 2 * max(1, texts.rdd.getNumPartitions())
-    members = written(texts.mapInArrow(_members, sql_schema(MEMBERS)), "members")
-    levels = spark.sparkContext.broadcast(rarity(texts))
-    prefixes = texts.mapInArrow(_prefixes(levels, buckets), sql_schema(PREFIXES))
-    postings = written(prefixes.groupBy("bucket").applyInArrow(_shared, sql_schema(POSTINGS)), "postings")
+    members = written(texts.mapInArrow(_members(size), sql_schema(MEMBERS)), "members")
+    levels = spark.sparkContext.broadcast(rarity(texts, size=size))
+    prefixes = texts.mapInArrow(_prefixes(levels, buckets, size, percent), sql_schema(PREFIXES))
+    postings = written(prefixes.groupBy("bucket").applyInArrow(_shared(percent), sql_schema(POSTINGS)), "postings")
     classes = members.join(postings.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("ranges").alias("ranges"))
     # Numbers take less room than digests in all that follows.
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -338,12 +353,12 @@ def link_classes(docs: DataFrame) -> Classes:
             break
         last = last or work[1] <= PAIRS_PER_POSTING * work[0]
         if last:
-            pairs = _pairs(labelled, labelled)
+            pairs = _pairs(labelled, labelled, percent)
         else:
             first = labelled.groupBy("gram").agg(F.min(F.struct("doc", "id", "n", "pos", "label")).alias("p")).select("gram", "p.*")
-            pairs = _pairs(first, labelled)
+            pairs = _pairs(first, labelled, percent)
             live = written(labelled.join(first.select("gram", "id"), ["gram", "id"], "left_anti").drop("label"), "live")
-        found = _linked(texts, classes, pairs)
+        found = _linked(texts, classes, pairs, size, percent)
         if found is not None:
             links = found if links is None else links.unionAll(found)
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -355,48 +370,48 @@ def link_classes(docs: DataFrame) -> Classes:
     return Classes(members, classes.select("key", "id").join(labels, "id").select("key", "label"))
 
 
-def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame | None:
+def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame | None:
     """The pairs that link, by the suffix filter and then the whole sets, which are read again for the classes still asked for."""
     ranges = lambda side: classes.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}"), F.col("ranges").alias(f"ranges_{side}"))
-    able = written(pairs.join(ranges("a"), "a").join(ranges("b"), "b").mapInArrow(_suffix_filter, sql_schema(PAIR)), "pairs")
+    able = written(pairs.join(ranges("a"), "a").join(ranges("b"), "b").mapInArrow(_suffix_filter(percent), sql_schema(PAIR)), "pairs")
     if able.isEmpty():
         return None
     asked = classes.join(able.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     marked = texts.sparkSession.sparkContext.broadcast(class_marks(asked))
-    sets = written(texts.mapInArrow(_sets(marked), sql_schema(SETS)), "sets")
+    sets = written(texts.mapInArrow(_sets(marked, size), sql_schema(SETS)), "sets")
     keys = lambda side: classes.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}"))
     carried = able.join(keys("a"), "a").join(keys("b"), "b").join(sets.select(F.col("key").alias("key_b"), F.col("grams").alias("theirs")), "key_b")
-    found = sets.groupBy("key").cogroup(carried.select("key_a", "a", "b", "theirs").groupBy("key_a")).applyInArrow(_verify, sql_schema(PAIR))
+    found = sets.groupBy("key").cogroup(carried.select("key_a", "a", "b", "theirs").groupBy("key_a")).applyInArrow(_verify(percent), sql_schema(PAIR))
     found = written(found.distinct(), "links")
     return None if found.isEmpty() else found
 
 
-def labelled_members(docs: DataFrame) -> DataFrame:
+def labelled_members(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``_row, doc_id, n, label``: rows with one label are connected; rows without words have none."""
-    classes = link_classes(docs)
+    classes = link_classes(docs, size, percent)
     labelled = classes.members.select(ROW, "doc_id", "key", "n").join(classes.labels, "key", "left")
     return labelled.select(ROW, "doc_id", "n", F.coalesce(F.concat(F.lit("c"), F.col("label").cast("string")), F.hex("key")).alias("label"))
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     ``n_shingles`` is the size of its set; ``component_id`` the smallest doc_id that links reach, its own included. Rows without words are
     linked with nothing and keep their own id. Rows that share an id are judged one by one; a missing id is never the smallest unless
     a group has no other. ``docs`` must be a stable scan, since texts are read again rather than stored.
     """
-    labelled = labelled_members(docs)
+    labelled = labelled_members(docs, size, percent)
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row of each group of connected rows, with all its columns: that of the smallest doc_id, or of the first row without any id.
 
     Rows without words are no copies of each other and stay.
     """
-    labelled = labelled_members(docs).where("label IS NOT NULL")
+    labelled = labelled_members(docs, size, percent).where("label IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
     kept = labelled.groupBy("label").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
     dropped = written(labelled.select(ROW).join(kept, ROW, "left_anti"), "dropped")

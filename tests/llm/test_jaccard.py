@@ -78,3 +78,32 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), 25: 25, 30: 25, 40: 25, 60: 60, 61: 60}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_pairs_between_the_thresholds(spark):
+    """Near copies at 80 % of 5-shingles that are none at 90 % of 3-shingles, and pairs just below."""
+    base = [f"w{i}" for i in range(200)]
+    swapped = lambda at: " ".join("changed" + str(i) if i in at else w for i, w in enumerate(base))
+    texts = [swapped(()), swapped((30, 70, 110, 150)), " ".join([*base, *(f"more{i}" for i in range(30))]), " ".join([*base, *(f"extra{i}" for i in range(60))]), swapped((10, 50, 90, 130, 170))]
+    docs = spark.createDataFrame([(*r, "s") for r in enumerate(texts)], "doc_id long, text string, source string")
+    of = lambda found: {r.doc_id: r.component_id for r in found.collect()}
+    assert of(jaccard.similar_documents(docs)) == {i: i for i in range(5)}
+    assert of(jaccard.similar_documents(docs, 5, 80)) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+    from corpus_pipeline import copies_stage
+
+    assert sorted(r.doc_id for r in copies_stage(spark, docs, "").collect()) == [0, 3, 4]
+
+
+@pytest.mark.parametrize("most", [0, 4, 10**9])
+def test_all_links_are_found_at_other_thresholds(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", most)
+    rows = near_copies(3, 6, 12, 80)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id for r in jaccard.similar_documents(docs, 5, 80).orderBy("doc_id").collect()] == root
