@@ -94,7 +94,7 @@ def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array], column
     return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
-# Rows of a stable scan (a table, not a sample or a limit) have the same number in every scan.
+# A row's number holds within one scan. Spark may pack files anew in the next, so what applies numbers to another scan takes :func:`numbered`.
 ROW = "_row"
 MARK_BITS = 26
 MARK_PARTS = 256
@@ -104,6 +104,11 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with their row numbers: the same in every scan, however its files are packed into partitions."""
+    return written(with_row(docs), "numbered")
+
+
 def mark_of(hash64: Column) -> Column:
     return F.shiftrightunsigned(hash64, 64 - MARK_BITS)
 
@@ -129,12 +134,12 @@ def is_marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def split_rows(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with their row number, as those that may be among ``rows`` (a column ``_row``) and those that are not.
+    """``docs``, which are :func:`numbered`, as those that may be among ``rows`` (a column ``_row``) and those that are not.
 
     The first part has all of ``rows`` and few others, so that a join with it moves little text; the second is done. Both are a scan each.
     """
     found = rows.sparkSession.sparkContext.broadcast(marks(rows.select(mark_of(F.xxhash64(ROW)).alias("at"))))
-    numbered = with_row(docs).withColumn("_at", mark_of(F.xxhash64(ROW)))
+    placed = docs.withColumn("_at", mark_of(F.xxhash64(ROW)))
 
     def chosen(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +147,6 @@ def split_rows(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 at = batch.column(batch.schema.get_field_index("_at")).to_numpy()
                 yield batch.filter(pa.array(is_marked(found.value, at) == wanted))
 
-        return bounded_batches(numbered).mapInArrow(run, numbered.schema).drop("_at")
+        return bounded_batches(placed).mapInArrow(run, placed.schema).drop("_at")
 
     return chosen(True), chosen(False)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import ROW, bounded_batches, lean_memory, split_rows, text_slices, with_row, written
+from tablewright.llm.common import ROW, bounded_batches, lean_memory, numbered, split_rows, text_slices, with_row, written
 from tablewright.llm.fm_index import FMIndex
 from tablewright.llm.pretokens import distinct, flat_texts
 
@@ -164,7 +164,12 @@ def find_spans(docs: DataFrame, phrases: DataFrame, chunk_bytes: int = CHUNK_BYT
     ``phrases`` are rows ``phrase, items`` as :func:`windows` makes them; a phrase occurs inside one document only. Rows of ``docs`` with
     equal or null ids are searched one by one, and ``_row`` tells them apart; a null or empty text has no words. ``docs`` must be a stable scan.
     """
-    texts = with_row(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _find_spans(with_row(docs), phrases, chunk_bytes)
+
+
+def _find_spans(docs: DataFrame, phrases: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """:func:`find_spans` of rows that have numbers."""
+    texts = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     indexes = written(bounded_batches(texts).mapInArrow(_indexes, sql_schema(INDEXES)), "fm-indexes")
     phrases = written(phrases, "phrases")
     size = phrases.agg(F.sum(F.octet_length("phrase") + 8 * F.size("items") + 50)).first()[0] or 0
@@ -177,9 +182,11 @@ def find_spans(docs: DataFrame, phrases: DataFrame, chunk_bytes: int = CHUNK_BYT
     return indexes.select("shard", "docs").groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_merge, FOUND_SQL)
 
 
-def _without(text: str, spans: list[dict]) -> str | None:
-    """The text without the words of the spans and what stands between them; null if no word is left."""
-    words = [m.span() for m in re.finditer(WORD_PATTERN, text.translate(TO_LOWER))]
+def _without(text: str | None, spans: list[dict], n_words: int) -> str | None:
+    """The text, which has so many words, without those of the spans and what stands between them; null if no word is left."""
+    words = [m.span() for m in re.finditer(WORD_PATTERN, (text or "").translate(TO_LOWER))]
+    if len(words) != n_words:
+        raise ValueError(f"spans of a text of {n_words} words met one of {len(words)}: row numbers have changed between scans")
     if sum(s["end"] - s["start"] for s in spans) == len(words):
         return None
     out, at = [], 0
@@ -191,9 +198,9 @@ def _without(text: str, spans: list[dict]) -> str | None:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [_without(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        texts = [_without(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "n_words")), strict=True)]
         at = batch.schema.get_field_index("text")
-        out = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).remove_column(batch.schema.get_field_index("spans"))
+        out = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).drop_columns(["spans", "n_words"])
         yield out.filter(pc.is_valid(out.column(at)))
 
 
@@ -202,11 +209,12 @@ def cut_spans(docs: DataFrame, phrases: DataFrame) -> DataFrame:
 
     Clean rows pass as they are. An ``n_chars`` column follows the text it counts.
     """
-    hit = written(find_spans(docs, phrases).where(F.size("spans") > 0).select(ROW, "spans"), "spans")
-    doubtful, clean = split_rows(docs, hit)
+    rows = numbered(docs)
+    hit = written(_find_spans(rows, phrases).where(F.size("spans") > 0).select(ROW, "spans", "n_words"), "spans")
+    doubtful, clean = split_rows(rows, hit)
     joined = doubtful.join(hit, ROW, "left")
     passed = joined.where("spans IS NULL").select(*docs.columns)
-    dirty = joined.where("spans IS NOT NULL").select(*docs.columns, "spans")
+    dirty = joined.where("spans IS NOT NULL").select(*docs.columns, "spans", "n_words")
     cut = bounded_batches(dirty).mapInArrow(_cut, docs.schema)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import MARK_BITS, ROW, bounded_batches, is_marked, lean_memory, mark_of, marks, split_rows, text_slices, with_row, written
+from tablewright.llm.common import MARK_BITS, ROW, bounded_batches, is_marked, lean_memory, mark_of, marks, numbered, split_rows, text_slices, with_row, written
 from tablewright.llm.components import components
 from tablewright.llm.pretokens import distinct, flat_texts
 
@@ -331,8 +331,8 @@ def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Classes:
-    """The classes of equal sets, and which of them links connect."""
-    texts = with_row(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """The classes of equal sets of ``docs``, which have row numbers, and which of them links connect."""
+    texts = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(texts)
     spark, buckets = docs.sparkSession, 2 * max(1, texts.rdd.getNumPartitions())
     members = written(texts.mapInArrow(_members(size), sql_schema(MEMBERS)), "members")
@@ -387,7 +387,7 @@ def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
 
 
 def labelled_members(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``_row, doc_id, n, label``: rows with one label are connected; rows without words have none."""
+    """``_row, doc_id, n, label`` of ``docs``, which have row numbers: rows with one label are connected; rows without words have none."""
     classes = link_classes(docs, size, percent)
     labelled = classes.members.select(ROW, "doc_id", "key", "n").join(classes.labels, "key", "left")
     return labelled.select(ROW, "doc_id", "n", F.coalesce(F.concat(F.lit("c"), F.col("label").cast("string")), F.hex("key")).alias("label"))
@@ -400,7 +400,7 @@ def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     linked with nothing and keep their own id. Rows that share an id are judged one by one; a missing id is never the smallest unless
     a group has no other. ``docs`` must be a stable scan, since texts are read again rather than stored.
     """
-    labelled = labelled_members(docs, size, percent)
+    labelled = labelled_members(with_row(docs), size, percent)
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
@@ -411,9 +411,10 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
 
     Rows without words are no copies of each other and stay.
     """
-    labelled = labelled_members(docs, size, percent).where("label IS NOT NULL")
+    rows = numbered(docs)
+    labelled = labelled_members(rows, size, percent).where("label IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
     kept = labelled.groupBy("label").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
     dropped = written(labelled.select(ROW).join(kept, ROW, "left_anti"), "dropped")
-    doubtful, others = split_rows(docs, dropped)
+    doubtful, others = split_rows(rows, dropped)
     return others.select(*docs.columns).unionAll(doubtful.join(dropped, ROW, "left_anti").select(*docs.columns))

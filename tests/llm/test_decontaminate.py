@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,3 +63,35 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert dc.find_spans(docs.where("false"), dc.windows(items)).count() == 0
     assert [tuple(r)[1:] for r in dc.find_spans(docs, dc.windows(items.where("false"))).collect()] == [(1, 2, [], [])]
+
+
+def test_rows_keep_their_numbers_when_files_are_packed_anew(spark, tmp_path, monkeypatch):
+    """Both stages that apply row numbers to another scan, with other file splits from then on."""
+    from tablewright.llm import common, jaccard
+
+    texts = {i: f"text {'copied' if i % 3 == 0 else i} with leaked words here and own words w{i if i % 3 else 0}" for i in range(24)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(24, "doc_id").write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/docs")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+
+    def packed_anew(docs, rows):
+        spark.conf.set(key, "1000")
+        return common.split_rows(docs, rows)
+
+    items = spark.createDataFrame([(1, "text copied with leaked")], "item_id long, text string")
+    phrases = dc.windows(items)
+    for module in (dc, jaccard):
+        monkeypatch.setattr(module, "split_rows", packed_anew)
+    try:
+        cut = dc.cut_spans(spark.read.parquet(f"{tmp_path}/docs"), phrases).collect()
+        spark.conf.set(key, before)
+        kept = jaccard.keep_one(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.doc_id: r.text for r in cut} == {i: t if i % 3 else " words here and own words w0" for i, t in texts.items()}
+    assert sorted(r.doc_id for r in kept) == [i for i in range(24) if i == 0 or i % 3]
+
+
+def test_other_texts_than_those_searched_are_an_error():
+    with pytest.raises(ValueError, match="row numbers"):
+        dc._without("a b c", [{"start": 0, "end": 1}], 4)
