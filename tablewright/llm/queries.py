@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chats, decontaminate, fill_middle, html_text, jaccard, language, token_files, topk, toxicity, urls
+from tablewright.llm import bpe, chats, decontaminate, fill_middle, html_text, jaccard, language, pivots, token_files, topk, toxicity, urls
 from tablewright.llm.common import bucket_of_id, table
 from tablewright.queries import Query, Registered
 
@@ -242,3 +242,27 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = fill_middle.restored(F.col("output"), F.col("form"))
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@query(NEAR_SQL)
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
