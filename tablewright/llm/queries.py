@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, chats, decontaminate, fill_middle, html_text, jaccard, language, pivots, token_files, topk, toxicity, urls
+from tablewright.llm import bpe, chats, decontaminate, fill_middle, html_text, jaccard, language, pivots, token_files, topk, toxicity, turn_repair, urls
 from tablewright.llm.common import bucket_of_id, table
 from tablewright.queries import Query, Registered
 
@@ -266,3 +268,98 @@ FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 @query(NEAR_SQL)
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns as the query's contract damages them, by the crc32 of ``conv_id:turn`` modulo 20."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("col")
+
+
+def _repair_sql() -> str:
+    """The repair turn by turn in a recursive query: the best (cost, audit) of each state; then the roles of what is left by its place."""
+    more = lambda x, cost, letter: f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}'}} END"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+
+    def edited(own: str | None, kind: str, before: str) -> str:
+        ways = [more(own, 4, "D")]
+        for x in before:
+            ways.append(f"CASE WHEN fault < 2 AND kind = '{kind}' THEN {more(x, '3 * fault', 'K')} END")
+            ways += [f"CASE WHEN fault < 2 THEN {more(x, '(3 + 3 * fault)', 'R')} END"] if kind != "s" else []
+        return least(*ways)
+
+    def with_inserts(step: str) -> str:
+        for _ in range(3):
+            step = f"SELECT * REPLACE ({least('u', *[more(x, 3, 'I') for x in 'esa'])} AS u, {least('a', more('u', 3, 'I'))} AS a) FROM ({step})"
+        return step
+
+    walk = with_inserts(
+        f"SELECT d.row, d.pos + 1 AS pos, {edited('e', '-', '')} AS e, {edited('s', 's', 'e')} AS s, {edited('u', 'u', 'esa')} AS u, {edited('a', 'a', 'u')} AS a "
+        "FROM d JOIN r ON r.conv = d.row AND r.pos = d.pos + 1"
+    )
+    nothing = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR))"
+    begin = with_inserts(f"SELECT DISTINCT conv AS row, CAST(0 AS BIGINT) AS pos, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS e, {nothing} AS s, {nothing} AS u, {nothing} AS a FROM r")
+    dark = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), hit AS (
+  SELECT conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda ch: CAST(ord(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM keyed, crc
+), damaged AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM hit)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS pos,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS kind
+  FROM damaged
+), r AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{dark}') THEN 3 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 1 ELSE 0 END AS fault,
+    lag(kind) OVER (PARTITION BY conv ORDER BY pos) || kind AS pair FROM o
+), d AS (
+  {begin}
+  UNION ALL
+  {walk}
+), sums AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM r GROUP BY conv
+), best AS MATERIALIZED (
+  SELECT conv, list_min([e, a]) AS b FROM d JOIN sums ON conv = row AND pos = n
+), letters AS (
+  SELECT conv, i, b.a[i] AS letter FROM (SELECT conv, b, unnest(range(1, length(b.a) + 1)) AS i FROM best)
+), placed AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv ORDER BY i) AS pos FROM letters
+), lines AS (
+  SELECT p.conv, i, letter, kind, role, text, row_number() OVER (PARTITION BY p.conv ORDER BY i) AS k, first_value(letter = 'K' AND kind = 's') OVER (PARTITION BY p.conv ORDER BY i) AS led
+  FROM placed p LEFT JOIN r ON r.conv = p.conv AND r.pos = p.pos AND letter <> 'I' WHERE letter <> 'D'
+), texts AS (
+  SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - CAST(led AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS text
+  FROM lines GROUP BY conv
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM keyed) LEFT JOIN sums USING (conv) LEFT JOIN best USING (conv) LEFT JOIN texts USING (conv)
+"""
+
+
+@query(_repair_sql())
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    done = turn_repair.repair(damaged(turns))
+    named = lambda df, name: df.withColumnRenamed("conv_id", name)
+    same = lambda name: F.col("conv_id").eqNullSafe(F.col(name))
+    found = turns.select("conv_id").distinct().join(named(done.report, "_of"), same("_of"), "left").drop("_of")
+    found = found.join(named(turn_repair.digests(done.turns), "_of"), same("_of"), "left").drop("_of")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = hashlib.sha256(b"").hexdigest()
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
