@@ -13,14 +13,14 @@ from tablewright.llm.queries import language_model, op2_language, op7_toxicity,
 SF = "/root/testdata/sf0.001"
 
 
-def shingles(text):
+def shingles(text, size=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))) if words else frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
 
 
-def groups(rows):
+def groups(rows, size=3, percent=90):
     """Index of the first row of each row's group; rows without words are alone."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -31,7 +31,7 @@ def groups(rows):
     for i in range(len(rows)):
         for j in range(i):
             shared = len(sets[i] & sets[j])
-            if shared and 100 * shared >= 90 * len(sets[i] | sets[j]):
+            if shared and 100 * shared >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(rows))], sets
@@ -46,7 +46,7 @@ def test_run_matches_a_plain_version(spark):
     toxic = {r.doc_id for r in op7_toxicity(spark, SF).where("predicted = 1").collect()}
     odd = {r.doc_id for r in op2_language(spark, SF).where("lang_pred = 'und' OR score < 0.5").collect()}
     rows = sorted((i, t) for i, t in docs.items() if i not in toxic | odd)
-    first, _ = groups(rows)
+    first, _ = groups(rows, cp.COPY_WORDS, cp.COPY_PERCENT)
     rows = [r for k, r in enumerate(rows) if first[k] == k]
     phrases = {r.phrase for r in decontaminate.windows(spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     sizes = {len(p.split(" ")) for p in phrases}
