@@ -193,7 +193,9 @@ def block_links(classes: DataFrame, pivots: np.ndarray, threshold: float) -> Dat
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         *key, "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node.*", "weight", "vec", "ranks"
     )
-    found = cells.groupBy(*key, "left", "right").applyInArrow(_cell(threshold, shared), f"node {NODE}, root {NODE}, links long")
+    # Dealt by cell: the join's partitions would keep all blocks of a list together.
+    cell = [*key, "left", "right"]
+    found = cells.repartition(*cell).groupBy(*cell).applyInArrow(_cell(threshold, shared), f"node {NODE}, root {NODE}, links long")
     return written(found, "links")
 
 
