@@ -119,12 +119,12 @@ def dag_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dags.peel(edges, dags.sources(edges))
 
 
-@query("SELECT DISTINCT n_regionkey AS graph_id FROM nation WHERE n_regionkey % 2 = 1")
+@query("SELECT DISTINCT o_custkey AS graph_id FROM orders WHERE o_custkey % 2 = 1")
 def dag_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Nations lead to their region; in odd regions that leads back to them.
-    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph_id"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
-    up = nation.select("graph_id", F.col("node").alias("src"), F.lit("region").alias("dst"))
-    back = nation.where("graph_id % 2 = 1").select("graph_id", F.lit("region").alias("src"), F.col("node").alias("dst"))
+    # One graph per customer: orders lead to the customer; with odd keys that leads back to them.
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph_id"), F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    up = orders.select("graph_id", F.col("node").alias("src"), F.lit("customer").alias("dst"))
+    back = orders.where("graph_id % 2 = 1").select("graph_id", F.lit("customer").alias("src"), F.col("node").alias("dst"))
     return dags.graphs_without_sink(up.unionByName(back))
 
 
@@ -145,6 +145,39 @@ def dag_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dags.reach(edges, nations)
 
 
+# Orders in chains of 65 by their keys: 64 levels each.
+_CHAIN_SQL = """
+steps AS (
+  SELECT o_orderkey // 65 AS graph_id, o_orderkey AS src, o_orderkey + 1 AS dst FROM orders
+  WHERE o_orderkey % 65 < 64 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders))
+"""
+
+
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    steps = keys.where("o_orderkey % 65 < 64").select(F.floor(F.col("o_orderkey") / 65).alias("graph_id"), F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst"))
+    return steps.join(keys.withColumnRenamed("o_orderkey", "dst"), "dst", "left_semi").select("graph_id", "src", "dst")
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAIN_SQL}, down(graph_id, start, node) AS (
+      SELECT * FROM steps UNION SELECT d.graph_id, d.start, s.dst FROM down d JOIN steps s ON s.graph_id = d.graph_id AND s.src = d.node)
+    SELECT * FROM down"""
+)
+def dag_chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dags.closure(chain_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAIN_SQL}, walks(graph_id, node, layer) AS (
+      SELECT graph_id, src, 0::BIGINT FROM steps WHERE src NOT IN (SELECT dst FROM steps)
+      UNION ALL SELECT w.graph_id, s.dst, w.layer + 1 FROM walks w JOIN steps s ON s.graph_id = w.graph_id AND s.src = w.node)
+    SELECT * FROM walks"""
+)
+def dag_chain_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dags.layers(chain_edges(spark, sf_dir))[0]
+
+
 @query(
     f"""WITH RECURSIVE {_GEO_SQL}, up(graph_id, start, node) AS (
       SELECT DISTINCT graph_id, dst, dst FROM edges WHERE dst LIKE 'o%'

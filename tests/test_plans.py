@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.plans import dags, shred
@@ -85,6 +89,44 @@ def test_cycles_are_reported(spark):
     assert [r["graph_id"] for r in dags.graphs_without_sink(looped).collect()] == [2]
 
 
+def _random_graphs(seed, graphs, nodes, links):
+    rng = random.Random(seed)
+    pairs = {(g, f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for g in range(graphs) for _ in range(links)}
+    return [(g, a, b) for g, a, b in pairs if a < b or rng.random() < 0.04]
+
+
+def _plain_layers(pairs):
+    layer, into = {}, {}
+    for g, a, b in pairs:
+        into.setdefault((g, b), set()).add((g, a))
+        into.setdefault((g, a), set())
+    while free := [n for n, before in into.items() if n not in layer and all(x in layer for x in before)]:
+        layer.update({n: max((layer[x] + 1 for x in into[n]), default=0) for n in free})
+    return layer
+
+
+@pytest.mark.parametrize("local_edges", [250_000, 6, 0])
+def test_layers_in_tasks_and_in_rounds(spark, local_edges):
+    pairs = _random_graphs(5, 40, 8, 10) + [(100, f"m{i:03}", f"m{i + 1:03}") for i in range(30 if local_edges > 6 else 8)] + [(None, "a", "b"), (None, "b", "c")]
+    want = _plain_layers(set(pairs))
+    layered, left = dags.layers(edges(spark, pairs + pairs[:50] + [(1, None, "x")]), local_edges)
+    assert {(r["graph_id"], r["node"]): r["layer"] for r in layered.collect()} == want and layered.count() == len(want)
+    assert {tuple(r) for r in left.collect()} == {p for p in set(pairs) if (p[0], p[1]) not in want}
+
+
+def test_each_edge_is_taken_off_once():
+    src, dst = np.arange(2000), np.arange(1, 2001)
+    assert list(dags._layer_numbers(src, dst, 2001)) == list(range(2001))
+
+
+def test_closure_doubles(spark):
+    chain = [(1, f"m{i:03}", f"m{i + 1:03}") for i in range(65)]
+    got = {(r["start"], r["node"]) for r in dags.closure(edges(spark, chain + chain)).collect()}
+    names = [f"m{i:03}" for i in range(66)]
+    assert got == {(a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
+    assert dags.closure(edges(spark, [])).count() == 0
+
+
 def test_reach_in_both_directions(spark):
     looped = edges(spark, [(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "c", "d")])
     starts = spark.createDataFrame([(1, "a")], "graph_id int, node string")
