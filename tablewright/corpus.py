@@ -17,17 +17,10 @@ from tablewright.functions.numbers import loose_float
 
 @dataclass(frozen=True)
 class Corpus:
-    """Rows and column descriptions of many tables, with the row count of the largest table."""
+    """Rows and column descriptions of many tables."""
 
     rows: DataFrame
     meta: DataFrame
-    largest: int
-
-
-def make_corpus(rows: DataFrame, meta: DataFrame) -> Corpus:
-    """Build a corpus whose largest table is measured from the row positions."""
-    top = rows.agg(F.max("row_pos").alias("n")).first()
-    return Corpus(rows, meta, int(top["n"] or 0))
 
 
 def typed_cell(raw: Column, declared: Column) -> Column:

@@ -46,7 +46,7 @@ def convert_pairs(lines: DataFrame) -> DataFrame:
 
 
 def convert_sketches(examples: DataFrame, corpus: Corpus, natural: DataFrame) -> DataFrame:
-    """Examples to ``(example_id, segment, query_text, answer, linear_text, natural_text, status)``.
+    """Examples to ``(table_id, example_id, segment, query_text, answer, linear_text, natural_text, status)``.
 
     ``linear_text`` has the headers of the corpus, ``natural_text`` those of the column descriptions ``natural``. The query stands in segment 0;
     long tables and long list answers go on in later segments. ``status`` is that of the answer.
@@ -54,10 +54,10 @@ def convert_sketches(examples: DataFrame, corpus: Corpus, natural: DataFrame) ->
     named = linearize(corpus.rows, natural).withColumnRenamed("linear_text", "natural_text")
     forms = linearize(corpus.rows, corpus.meta).join(named, ["table_id", "segment"])
     asked = examples.select("table_id", "example_id", sketch_sql_text(F.col("sel"), F.col("agg"), F.col("conds")).alias("query_text"))
-    texts = asked.join(forms, "table_id").drop("table_id")
+    texts = asked.join(forms, "table_id")
     answered = answer_sketches(examples, corpus)
-    failed = answered.where("status <> 'ok'").select("example_id", F.col("status").alias("failed")).distinct()
-    joined = texts.join(answered.drop("status"), ["example_id", "segment"], "full").join(failed, "example_id", "left")
+    failed = answered.where("status <> 'ok'").select("table_id", "example_id", F.col("status").alias("failed")).distinct()
+    joined = texts.join(answered.drop("status"), ["table_id", "example_id", "segment"], "full").join(failed, ["table_id", "example_id"], "left")
     query = F.when(F.col("segment") == 0, F.col("query_text")).alias("query_text")
     status = F.coalesce("failed", F.lit("ok")).alias("status")
-    return joined.select("example_id", "segment", query, "answer", "linear_text", "natural_text", status)
+    return joined.select("table_id", "example_id", "segment", query, "answer", "linear_text", "natural_text", status)

@@ -3,21 +3,23 @@
 ``examples(example_id, table_id, sel INT, agg INT, conds ARRAY<STRUCT<col INT, op INT, value STRING>>)``.
 Aggregate codes: 0 none, 1 max, 2 min, 3 count, 4 sum, 5 average. Operator codes: 0 ``=``, 1 ``>``, 2 ``<``.
 
-Examples meet the rows of their table in one join on the table, and their answers are aggregated on
-the same partitioning. Tables longer than a block, and tables asked about by very many examples, are
-cut into blocks on both sides of that join, so their work spreads over tasks; partial answers of the
-blocks are then added up per example.
+Examples that ask the same are one sketch and answered once. A sketch with an ``=`` condition meets only rows whose cell has the
+same value: both sides are joined on (table, column, hash of the value), and rows are posted under a column only where some sketch of
+their table asks for it. Sketches without such a condition meet the rows of their table; those without any condition are at most
+one for each column. What matches is aggregated by sketch and block of rows, so long tables and much asked ones spread over
+tasks, and the few blocks of a sketch are then added up.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.corpus import Corpus
-from tablewright.functions.numbers import exact_sum, float_text, loose_float
+from tablewright.functions.numbers import float_text, loose_float
 from tablewright.functions.text import SPAN_DELIMITER, tokens
-from tablewright.skew import BLOCK_ROWS, block_of, in_order, largest_group
+from tablewright.skew import BLOCK_ROWS, block_of, in_order
 
 # Codes and printed names of the sketch aggregates and operators.
 NONE, MAX, MIN, COUNT, SUM, AVG = 0, 1, 2, 3, 4, 5
@@ -25,31 +27,37 @@ AGG_NAMES = ["", "MAX", "MIN", "COUNT", "SUM", "AVG"]
 EQUALS, GREATER, LESSER = 0, 1, 2
 OP_NAMES = ["=", ">", "<"]
 EMPTY_ANSWER = "none"
-# A table asked about by more examples than this has its rows repeated over blocks of examples.
-BLOCK_EXAMPLES = 4096
+# Examples of one sketch share this key: 128 bits of table, column and conditions in sorted order.
+KEY = ["key1", "key2"]
+# Where a row and a sketch may meet. Column -1 is the whole table.
+PROBE = ["table_id", "probe_col", "unread", "value_hash"]
 
 
-def bind_sketches(examples: DataFrame, meta: DataFrame) -> DataFrame:
-    """Attach the type of the selected column and the typed value of every condition."""
+def keyed(examples: DataFrame) -> DataFrame:
+    """Examples with the key of their sketch; conditions that repeat, and their order, make no difference."""
+    asked = F.sort_array(F.array_distinct(F.coalesce("conds", F.array().cast("array<struct<col:int,op:int,value:string>>"))))
+    rows = examples.select("table_id", "example_id", "sel", "agg", asked.alias("asked"))
+    return rows.select("*", *[F.xxhash64(F.lit(seed), "table_id", "sel", "asked").alias(k) for seed, k in enumerate(KEY)])
+
+
+def bind_sketches(asked: DataFrame, meta: DataFrame) -> DataFrame:
+    """Every sketch once, with the type of its column and the typed value of every condition."""
+    kind = lambda c: F.get("types", c["col"])
     bound = F.transform(
-        "conds",
+        "asked",
         lambda c: F.struct(
             c["col"].alias("col"),
             c["op"].alias("op"),
-            (F.get("types", c["col"]) == "real").alias("is_real"),
-            F.when(F.get("types", c["col"]) == "real", loose_float(c["value"])).alias("num"),
-            F.when(F.get("types", c["col"]) == "text", tokens(c["value"])).alias("words"),
+            (kind(c) == "real").alias("is_real"),
+            F.when(kind(c) == "real", loose_float(c["value"])).alias("num"),
+            F.when(kind(c) == "text", tokens(c["value"])).alias("words"),
         ),
     )
     is_text = F.get("types", "sel") == "text"
-    return examples.join(meta.select("table_id", "types"), "table_id").select(
-        "table_id",
-        "example_id",
-        "sel",
-        "agg",
-        is_text.alias("is_text"),
-        ((F.col("agg") == NONE) | (F.col("agg").isin(SUM, AVG) & is_text)).alias("wants_list"),
-        bound.alias("bound"),
+    lists, sums = F.bool_or(F.col("agg") == NONE).alias("lists"), F.bool_or(F.col("agg").isin(SUM, AVG)).alias("sums")
+    once = asked.groupBy("table_id", "sel", "asked", *KEY).agg(lists, sums)
+    return once.join(meta.select("table_id", "types"), "table_id").select(
+        "table_id", *KEY, "sel", is_text.alias("is_text"), (F.col("lists") | (F.col("sums") & F.coalesce(is_text, F.lit(False)))).alias("lists"), bound.alias("bound")
     )
 
 
@@ -73,110 +81,105 @@ def condition_holds(cell: Column, cond: Column) -> Column:
     return F.when(cond["is_real"], numeric).otherwise(textual)
 
 
-def _example_row_pairs(
-    bound: DataFrame, corpus: Corpus, most_examples: int, block_rows: int, block_examples: int
-) -> DataFrame:
-    """Every example with every row of its table; examples of an empty table are kept once.
+def _value_hash(is_real: Column, num: Column, words: Column) -> Column:
+    """Equal numbers, and equal words, have equal hashes; both zeros are one."""
+    return F.when(is_real, F.xxhash64(num + F.lit(0.0))).otherwise(F.xxhash64(words))
 
-    The rows are the large side and never broadcast. In the plain case the aggregation that follows
-    works on the partitioning of this join.
-    """
-    if corpus.largest <= block_rows and most_examples <= block_examples:
-        rows = corpus.rows.hint("merge")
-        return bound.join(rows, "table_id", "left").withColumn("block", F.lit(0).cast("long"))
-    row_counts = corpus.rows.groupBy("table_id").agg(F.max("row_pos").alias("n_rows"))
-    example_counts = bound.groupBy("table_id").agg(F.count("*").alias("n_examples"))
-    sizes = row_counts.join(example_counts, "table_id").select(
-        "table_id",
-        F.ceil(F.col("n_rows") / block_rows).alias("row_blocks"),
-        F.ceil(F.col("n_examples") / block_examples).alias("example_blocks"),
-    )
-    # Only tables beyond one block need an entry; all others keep block 0 on both sides.
-    large = sizes.where("row_blocks > 1 or example_blocks > 1")
-    row_block, example_block = block_of(F.col("row_pos"), block_rows), F.pmod(F.xxhash64("example_id"), "example_blocks")
-    asked = bound.join(large, "table_id", "left").select(
-        *bound.columns,
-        F.coalesce(example_block, F.lit(0)).alias("example_block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("row_blocks") - 1, F.lit(0)))).alias("block"),
-    )
-    held = corpus.rows.join(large, "table_id", "left").select(
-        *corpus.rows.columns,
-        F.when(F.col("row_blocks") > 1, row_block).otherwise(F.lit(0)).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("example_blocks") - 1, F.lit(0)))).alias(
-            "example_block"
-        ),
-    )
-    return asked.join(held.hint("merge"), ["table_id", "block", "example_block"], "left").drop("example_block")
+
+def _probed(sketches: DataFrame) -> DataFrame:
+    """Sketches with ``lookup``, the first condition that rows can be looked up by: an ``=`` with a readable value."""
+    usable = lambda c: (c["op"] == EQUALS) & F.when(c["is_real"], c["num"].isNotNull() & ~F.isnan(c["num"])).otherwise(c["words"].isNotNull())
+    return sketches.withColumn("lookup", F.get(F.filter("bound", usable), F.lit(0)))
 
 
-def _partial_answers(pairs: DataFrame) -> DataFrame:
-    """Per example and block: counts, sums, extremes and, where needed, the listed cells."""
+def matches(sketches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every sketch with the rows of its table that it may hold for: those of the looked-up value, those that cannot be read there, or all."""
+    probed = _probed(sketches)
+    place = lambda col, unread, value: F.struct(col.cast("int").alias("probe_col"), unread.alias("unread"), value.cast("long").alias("value_hash"))
+    no, yes, none = F.lit(False), F.lit(True), F.lit(0)
+    whole = place(F.lit(-1), no, none)
+    at = F.col("lookup")
+    looked = F.array(place(at["col"], no, _value_hash(at["is_real"], at["num"], at["words"])), place(at["col"], yes, none))
+    posts = probed.select("*", F.inline(F.when(at.isNull(), F.array(whole)).otherwise(looked))).drop("lookup")
+    wanted = F.collect_set(F.struct(at["col"].alias("col"), at["is_real"].alias("is_real")))
+    columns = probed.groupBy("table_id").agg(F.filter(wanted, lambda c: c["col"].isNotNull()).alias("wanted"), F.bool_or(at.isNull()).alias("scanned"))
+
+    def posted(c: Column) -> Column:
+        cell = F.get("cells", c["col"])
+        unread = F.when(c["is_real"], cell["num"].isNull()).otherwise(cell["raw"].isNull())
+        return place(c["col"], unread, F.when(unread, none).otherwise(_value_hash(c["is_real"], cell["num"], tokens(cell["raw"]))))
+
+    under = F.concat(F.transform("wanted", posted), F.when(F.col("scanned"), F.array(whole)).otherwise(F.array().cast("array<struct<probe_col:int,unread:boolean,value_hash:bigint>>")))
+    # The rows are the large side: they are never broadcast.
+    postings = rows.hint("merge").join(columns, "table_id").select("table_id", "row_pos", "cells", F.inline(under))
+    return postings.join(posts, PROBE)
+
+
+def _block_answers(sketches: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+    """Per sketch and block of rows: counts, sums, extremes and, where needed, the listed cells. Every sketch has a block 0."""
     held = F.transform("bound", lambda c: condition_holds(F.get("cells", c["col"]), c))
-    judged = pairs.select(
-        "table_id",
-        "example_id",
-        "agg",
+    judged = matches(sketches, rows).select(
+        *KEY,
         "is_text",
-        "wants_list",
-        "block",
+        "lists",
+        block_of(F.col("row_pos"), block_rows).alias("block"),
         "row_pos",
-        # A comparison without a result spoils the example, unless another condition fails for the row.
-        F.when(F.col("row_pos").isNotNull(), F.aggregate(held, F.lit(True), lambda a, b: a & b)).alias("holds"),
+        # A comparison without a result spoils the sketch, unless another condition fails for the row.
+        F.aggregate(held, F.lit(True), lambda a, b: a & b).alias("holds"),
         F.get("cells", "sel").alias("target"),
-    ).select(
-        "*",
-        (F.col("row_pos").isNotNull() & F.col("holds").isNull()).alias("clash"),
-        F.coalesce("holds", F.lit(False)).alias("hit"),
-        F.col("target.raw").alias("raw"),
-        F.when(~F.col("is_text"), F.col("target.num")).alias("num"),
+    )
+    cell = "struct<raw:string,num:double>"
+    empty = sketches.select(*KEY, "is_text", "lists", F.lit(0).cast("long").alias("block"), F.lit(None).cast("long").alias("row_pos"), F.lit(False).alias("holds"), F.lit(None).cast(cell).alias("target"))
+    kept = judged.withColumn("target", F.col("target").cast(cell)).unionByName(empty).select(
+        "*", F.col("holds").isNull().alias("clash"), F.coalesce("holds", F.lit(False)).alias("hit"), F.col("target.raw").alias("raw"), F.when(~F.col("is_text"), F.col("target.num")).alias("num")
     )
     hit = F.col("hit")
     ranked = F.struct("num", F.when(F.col("is_text"), F.col("raw")).alias("word"), "row_pos", "raw")
-    return judged.groupBy("table_id", "block", "example_id", "agg", "is_text", "wants_list").agg(
+    number = F.when(hit, F.col("num"))
+    exact = number.try_cast("decimal(28,6)")
+    return kept.groupBy(*KEY, "block").agg(
+        F.bool_or("is_text").alias("is_text"),
+        F.bool_or("lists").alias("lists"),
         F.count_if(hit).alias("n"),
         F.bool_or("clash").alias("clash"),
         F.count_if(hit & ~F.col("is_text") & F.col("num").isNull()).alias("unread"),
-        exact_sum(F.when(hit, F.col("num"))).alias("total"),
+        F.sum(exact).alias("exact"),
+        F.sum(number).alias("inexact"),
+        F.bool_and(F.coalesce(exact.cast("double") == number, number.isNull())).alias("is_exact"),
         F.min(F.when(hit, ranked)).alias("least"),
         F.max(F.when(hit, ranked)).alias("most"),
-        F.collect_list(F.when(hit & F.col("wants_list"), F.struct("row_pos", "raw"))).alias("listed"),
+        F.collect_list(F.when(hit & F.col("lists"), F.struct("row_pos", "raw"))).alias("listed"),
     )
 
 
-def answer_sketches(
-    examples: DataFrame,
-    corpus: Corpus,
-    block_rows: int = BLOCK_ROWS,
-    block_examples: int = BLOCK_EXAMPLES,
-) -> DataFrame:
-    """Answer every example: ``(example_id, segment, answer, status)``.
+def answer_sketches(examples: DataFrame, corpus: Corpus, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Answer every example: ``(table_id, example_id, segment, answer, status)``.
 
     An answer that lists the cells of more than one block of rows comes in segments, to be joined
     with ``", "`` in segment order; every other answer is segment 0. A type mismatch gives
-    ``status = 'type_error'`` and no answer.
+    ``status = 'type_error'`` and no answer. Examples of a table that is not in the corpus have no answer.
     """
-    bound = bind_sketches(examples, corpus.meta)
-    most_examples = largest_group(examples, ["table_id"])
-    partial = _partial_answers(_example_row_pairs(bound, corpus, most_examples, block_rows, block_examples))
-    listed_text = F.array_join(in_order(F.col("listed"), "raw"), SPAN_DELIMITER, EMPTY_ANSWER)
-    if corpus.largest <= block_rows:
-        return _finish(partial.withColumn("segment", F.lit(0).cast("long")), listed_text)
-    # Long tables: totals per example without the lists, then only list answers fetch their blocks.
-    totals = partial.groupBy("table_id", "example_id", "agg", "is_text", "wants_list").agg(
-        F.sum("n").alias("n"),
-        F.bool_or("clash").alias("clash"),
-        F.sum("unread").alias("unread"),
-        exact_sum(F.col("total")).alias("total"),
-        F.min("least").alias("least"),
-        F.max("most").alias("most"),
-    )
-    is_long_list = F.col("wants_list") & (F.col("n") > 1) & ~F.col("clash")
-    short = totals.where(~is_long_list).withColumn("segment", F.lit(0).cast("long"))
-    blocks = partial.where("wants_list and n > 0").select(
-        "table_id", "example_id", F.col("block").alias("segment"), listed_text.alias("listed_text")
-    )
-    long = totals.where(is_long_list).join(blocks, ["table_id", "example_id"])
-    return _finish(short, F.lit(None).cast("string")).unionByName(_finish(long, F.col("listed_text")))
+    asked = keyed(examples)
+    blocks = _block_answers(bind_sketches(asked, corpus.meta), corpus.rows, block_rows)
+    every = W.partitionBy(*KEY)
+    whole = {
+        "total": F.when(F.bool_and("is_exact").over(every), F.sum("exact").over(every).cast("double")).otherwise(F.sum("inexact").over(every)),
+        "found": F.sum("n").over(every),
+        "blocks": F.count_if(F.col("n") > 0).over(every),
+        "clash": F.bool_or("clash").over(every),
+        "unread": F.sum("unread").over(every),
+        "least": F.min("least").over(every),
+        "most": F.max("most").over(every),
+    }
+    text = F.array_join(in_order(F.col("listed"), "raw"), SPAN_DELIMITER, EMPTY_ANSWER).alias("listed_text")
+    totals = blocks.select(*KEY, "block", "is_text", "n", text, *[c.alias(k) for k, c in whole.items()])
+    joined = asked.select("table_id", "example_id", "agg", *KEY).join(totals, KEY)
+    wants_list = (F.col("agg") == NONE) | (F.col("agg").isin(SUM, AVG) & F.col("is_text"))
+    is_list = wants_list & (F.col("found") > 1) & ~F.col("clash")
+    shown = F.when(is_list, F.col("n") > 0).otherwise(F.col("block") == 0)
+    # A list that lies in one block is one segment, whichever block that is.
+    segment = F.when(is_list & (F.col("blocks") > 1), F.col("block")).otherwise(0).cast("long")
+    return _finish(joined.where(shown).withColumn("segment", segment).withColumn("wants_list", wants_list).drop("n").withColumnRenamed("found", "n"), F.col("listed_text"))
 
 
 def _finish(df: DataFrame, listed_text: Column) -> DataFrame:
@@ -201,4 +204,4 @@ def _finish(df: DataFrame, listed_text: Column) -> DataFrame:
         .otherwise(listed_text)
     )
     status = F.when(F.col("failed"), F.lit("type_error")).otherwise(F.lit("ok"))
-    return judged.select("example_id", "segment", answer.alias("answer"), status.alias("status"))
+    return judged.select("table_id", "example_id", "segment", answer.alias("answer"), status.alias("status"))

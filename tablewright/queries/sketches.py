@@ -13,7 +13,7 @@ from tablewright.sources.driver_tables import order_corpus, order_sketches
 
 @query(f"WITH {SKETCH_ANSWERS} SELECT example_id, 0::BIGINT AS segment, answer, 'ok' AS status FROM sketch_answers")
 def sketch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer_sketches(order_sketches(spark, sf_dir), order_corpus(spark, sf_dir))
+    return answer_sketches(order_sketches(spark, sf_dir), order_corpus(spark, sf_dir)).drop("table_id")
 
 
 @query(f"WITH {SKETCH_ANSWERS} SELECT example_id, answer, 'ok' AS status FROM sketch_answers")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.corpus import Corpus
 from tablewright.functions.numbers import float_text
-from tablewright.skew import largest_group, row_positions
+from tablewright.skew import row_positions
 
 # Columns of the order tables, by position.
 ORDER_COLUMNS = ["l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
@@ -76,9 +76,8 @@ def order_meta(tables: DataFrame) -> DataFrame:
 
 def order_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """Orders with their lines as tables. Orders without lines are tables without rows."""
-    largest = largest_group(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
     tables = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"))
-    return Corpus(order_rows(order_lines(spark, sf_dir)), order_meta(tables), largest)
+    return Corpus(order_rows(order_lines(spark, sf_dir)), order_meta(tables))
 
 
 def order_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

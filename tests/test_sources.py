@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.corpus import make_corpus, type_rows
+from tablewright.corpus import Corpus, type_rows
 from tablewright.operators import prep
 from tablewright.operators.sketch import answer_sketches
 from tablewright.sources import datasets
@@ -30,7 +30,7 @@ def test_questions_and_tables_from_json_lines(spark, tmp_path):
     listed = question | {"sql": {"sel": 0, "agg": 4, "conds": {"column_index": [1], "operator_index": [0], "condition": ["A b"]}}}
     (tmp_path / "q.jsonl").write_text(json.dumps(question) + "\n" + json.dumps(listed) + "\n")
     rows, meta = datasets.read_tables(spark, str(tmp_path / "t.jsonl"))
-    corpus = make_corpus(type_rows(rows, meta), meta)
+    corpus = Corpus(type_rows(rows, meta), meta)
     examples = datasets.read_questions(spark, str(tmp_path / "q.jsonl"))
     assert sorted((r["example_id"], r["answer"]) for r in answer_sketches(examples, corpus).collect()) == [(0, "5.0"), (1, "5.0")]
 
