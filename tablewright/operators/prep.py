@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,30 @@ def chunk_of(line_no: Column, chunk_rows: int = CHUNK_ROWS) -> Column:
     return F.floor(line_no / chunk_rows).cast("long")
 
 
+# What a chunk's lines are known by, in any order: their number, and two sums over hashes of whole lines.
+CHUNK_STATE = ["n_lines", "hash_sum", "hash_xor"]
+
+
+def chunk_states(lines: DataFrame) -> DataFrame:
+    """``chunk_id, n_lines, hash_sum, hash_xor`` of lines with a ``chunk_id``; the same for the same lines in any order."""
+    line = [F.col(c) for c in lines.columns]
+    hashed = lines.select("chunk_id", F.xxhash64(F.lit(1), *line).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(2), *line).alias("b"))
+    return hashed.groupBy("chunk_id").agg(F.count("*").alias("n_lines"), F.sum("a").alias("hash_sum"), F.bit_xor("b").alias("hash_xor"))
+
+
+def current_chunks(spark: SparkSession, manifest: str, schema: T.StructType) -> tuple[int, DataFrame]:
+    """The number of the last complete commit (0: none), and its list of chunks.
+
+    A commit holds one row for each chunk and one that tells their number, so a commit of which files are missing does not count.
+    """
+    if not path_exists(spark, manifest):
+        return 0, spark.createDataFrame([], schema)
+    every = spark.read.schema(schema).parquet(manifest)
+    commits = every.groupBy("commit").agg(F.count("chunk_id").alias("n"), F.max(F.when(F.col("chunk_id").isNull(), F.col("n_lines"))).alias("told"))
+    last = commits.where("n = told").agg(F.max("commit").alias("last")).first()["last"] or 0
+    return last, every.where((F.col("commit") == last) & F.col("chunk_id").isNotNull())
+
+
 def convert_chunks(
     lines: DataFrame,
     convert: Callable[[DataFrame], DataFrame],
@@ -29,33 +53,40 @@ def convert_chunks(
     start_chunk: int = 0,
     end_chunk: int | None = None,
 ) -> DataFrame:
-    """Convert ``lines(line_no, ...)`` by chunk and return all that has been converted so far.
+    """Convert ``lines(line_no, ...)`` by chunk and return the converted chunks as they are now.
+
+    Of the chunks from ``start_chunk`` on and below ``end_chunk``, those are converted whose lines differ from what was converted last:
+    new, grown, shrunk and edited ones are replaced whole, and those without lines are gone; the others stay as they are. A chunk whose lines all fail is not tried again while
+    it stays the same. ``convert`` must keep ``chunk_id``.
 
-    Chunks below ``start_chunk``, from ``end_chunk`` on, and finished ones are not converted again. A chunk is finished when a manifest
-    beside ``out_dir`` has it with as many lines as it has now: one that has grown is converted anew and replaces what was there, one whose
-    lines all fail is not tried again. ``convert`` must keep ``chunk_id``. The manifest is written last, so a failed run can be repeated.
+    Results lie in ``out_dir`` by run and chunk. A manifest beside it lists for each commit which run holds which chunk. It is written
+    last, so a failed run changes nothing and can be repeated, and readers see whole commits only.
     """
     spark = lines.sparkSession
     chunk = chunk_of(F.col("line_no"), chunk_rows)
-    todo = lines.withColumn("chunk_id", chunk).where(chunk >= start_chunk)
-    if end_chunk is not None:
-        todo = todo.where(chunk < end_chunk)
+    wanted = lambda c: (c >= start_chunk) & (F.lit(True) if end_chunk is None else c < end_chunk)
+    todo = lines.withColumn("chunk_id", chunk).where(wanted(chunk))
     manifest = out_dir.rstrip("/") + ".manifest"
-    counts = todo.groupBy("chunk_id").agg(F.count("*").alias("n_lines"))
-    if path_exists(spark, manifest + "/_SUCCESS"):
-        counts = counts.join(spark.read.parquet(manifest), ["chunk_id", "n_lines"], "left_anti")
-    # One row for each unfinished chunk of 100,000 lines, written first because the manifest is appended to below.
-    pending = manifest + ".pending"
-    counts.write.mode("overwrite").parquet(pending)
-    counts = spark.read.schema(counts.schema).parquet(pending)
-    todo = todo.join(counts.select("chunk_id"), "chunk_id", "left_semi")
-    converted = convert(todo)
-    writer = converted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id")
-    writer.parquet(out_dir)
-    counts.write.mode("append").parquet(manifest)
+    seen = chunk_states(todo)
+    schema = T.StructType([*seen.schema, T.StructField("run", T.LongType()), T.StructField("commit", T.LongType())])
+    last, known = current_chunks(spark, manifest, schema)
+    commit = last + 1
+    runs = known.select("chunk_id", *CHUNK_STATE, "run")
+    listed = seen.join(runs, ["chunk_id", *CHUNK_STATE], "left").withColumn("run", F.coalesce("run", F.lit(commit).cast("long")))
+    elsewhere = runs.where(~wanted(F.col("chunk_id")))
+    # One row for each chunk of 100,000 lines; written before the conversion, which reads it.
+    planned = f"{manifest}.planned/{commit}"
+    listed.unionByName(elsewhere).select("chunk_id", *CHUNK_STATE, "run").write.mode("overwrite").parquet(planned)
+    plan = spark.read.schema(T.StructType(schema.fields[:-1])).parquet(planned)
+    new = plan.where(F.col("run") == commit).select("chunk_id")
+    converted = convert(todo.join(new, "chunk_id", "left_semi"))
+    # A task writes whole chunks, which are of bounded size.
+    converted.repartition("chunk_id").write.mode("overwrite").partitionBy("chunk_id").parquet(f"{out_dir}/run={commit}")
+    end = plan.agg(F.count("*").alias("n_lines")).select(F.lit(None).cast("long").alias("chunk_id"), "n_lines", F.lit(None).cast("decimal(38,0)").alias("hash_sum"), F.lit(None).cast("long").alias("hash_xor"), F.lit(None).cast("long").alias("run"))
+    plan.unionByName(end).withColumn("commit", F.lit(commit).cast("long")).coalesce(1).write.mode("append").parquet(manifest)
     kept = [f for f in converted.schema if f.name != "chunk_id"]
-    partitioned = T.StructType([*kept, T.StructField("chunk_id", T.LongType())])
-    return spark.read.schema(partitioned).parquet(out_dir).select(converted.columns)
+    partitioned = T.StructType([*kept, T.StructField("run", T.LongType()), T.StructField("chunk_id", T.LongType())])
+    return spark.read.schema(partitioned).parquet(out_dir).join(plan, ["run", "chunk_id"], "left_semi").select(converted.columns)
 
 
 def split_of(identity: Column, seed: int, test: float = 0.2, validation: float = 0.25) -> Column:

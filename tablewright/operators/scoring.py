@@ -39,14 +39,14 @@ def spans(answer: Column) -> Column:
     return F.sort_array(F.transform(F.split(F.lower(answer), SPAN_DELIMITER, -1), lambda s: _number_or_word(s)))
 
 
-def _given(answer: str) -> Column:
+def given(answer: str) -> Column:
     """A missing answer counts as empty text, in matches and distances alike."""
     return F.coalesce(F.col(answer), F.lit(""))
 
 
 def denotation_match(predictions: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
     """Adds ``is_correct``: both answers hold the same spans, each as often, in any order. NaN equals nothing."""
-    split = predictions.withColumns({"_p": spans(strip(_given(pred))), "_r": spans(strip(_given(ref)))})
+    split = predictions.withColumns({"_p": spans(strip(given(pred))), "_r": spans(strip(given(ref)))})
     has_nan = F.exists("_p", lambda s: F.coalesce(F.isnan(s["num"]), F.lit(False)))
     return split.withColumn("is_correct", (F.col("_p") == F.col("_r")) & ~has_nan).drop("_p", "_r")
 
@@ -199,7 +199,7 @@ def summarize(predictions: DataFrame, keys: list[str]) -> DataFrame:
 
     All rows of a key take part in every figure. The mode is the lowest on ties.
     """
-    scored = denotation_match(predictions).withColumn("distance", edit_distance(_given("pred"), _given("ref")))
+    scored = denotation_match(predictions).withColumn("distance", edit_distance(given("pred"), given("ref")))
     return scored.groupBy(*keys).agg(
         F.count("*").alias("samples"),
         (F.count_if("is_correct") / F.count("*")).alias("denotation_accuracy"),

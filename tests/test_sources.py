@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.corpus import Corpus, type_rows
-from tablewright.operators import prep
+from tablewright.operators import prep, scoring
 from tablewright.operators.sketch import answer_sketches
 from tablewright.sources import datasets
 from tablewright.streaming import incremental
@@ -104,7 +104,62 @@ def test_running_scores_follow_arrivals(spark, tmp_path):
         batch.coalesce(1).write.mode("append").parquet(source)
         stream = incremental.arriving_files(spark, source, batch.schema, "*.parquet")
         incremental.running_scores(stream, ["checkpoint"], out, state).awaitTermination()
-        return {r["checkpoint"]: (r["samples"], r["denotation_accuracy"]) for r in incremental.latest_scores(spark, out, ["checkpoint"]).collect()}
+        seen.extend(rows)
+        whole = scoring.summarize(spark.createDataFrame(seen, schema), ["checkpoint"])
+        got = {r["checkpoint"]: tuple(r) for r in incremental.latest_scores(spark, out, ["checkpoint"]).select(whole.columns).collect()}
+        assert got == {r["checkpoint"]: tuple(r) for r in whole.collect()}
+        return {k: v[1:3] for k, v in got.items()}
 
+    seen = []
     assert arrive([("1", "a", "a"), ("2", "b", "c")]) == {"1": (1, 1.0), "2": (1, 0.0)}
     assert arrive([("2", "c", "c")]) == {"1": (1, 1.0), "2": (2, 0.5)}
+    # Missing answers count as empty text; of equally frequent distances the lowest is the mode.
+    assert arrive([("2", None, "abcd"), ("2", "ab", None), ("2", None, None), ("3", None, "xy"), (None, "a", "b")])["2"] == (5, 0.4)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def chunks_now(df):
+    return sorted((r["line_no"], r["line"]) for r in df.collect())
+
+
+def test_chunks_that_change_are_replaced_whole(spark, tmp_path):
+    out, converted = str(tmp_path / "chunks"), []
+
+    def run(lines, **limits):
+        def convert(todo):
+            converted.append({r["chunk_id"] for r in todo.select("chunk_id").distinct().collect()})
+            return todo.where("line <> 'bad'")
+
+        df = spark.createDataFrame(lines, "line_no long, line string")
+        return chunks_now(prep.convert_chunks(df, convert, out, chunk_rows=50, **limits))
+
+    first = [(i, "c") for i in range(130)]
+    assert run(first) == first and converted[-1] == {0, 1, 2}
+    assert run(first[::-1]) == first and converted[-1] == set()
+    grown = first + [(i, "b") for i in range(130, 160)]
+    assert run(grown) == grown and converted[-1] == {2, 3}
+    assert run(first) == first and converted[-1] == {2}  # shrunk again: no stale lines, and chunk 3 is gone
+    edited = [(i, "e" if i == 7 else t) for i, t in first]
+    assert run(edited) == edited and converted[-1] == {0}
+    moved = [(i, "e" if i == 8 else t) for i, t in first]
+    assert run(moved) == moved and converted[-1] == {0}
+    failing = [(i, "bad" if i < 50 else t) for i, t in first]
+    assert run(failing) == failing[50:] and converted[-1] == {0}
+    assert run(failing) == failing[50:] and converted[-1] == set()  # a chunk without results is not tried again
+    assert run(edited, start_chunk=1) == failing[50:] and converted[-1] == set()
+    assert run([], end_chunk=2) == first[100:] and run([]) == []
+
+
+def test_a_run_that_failed_can_be_repeated(spark, tmp_path):
+    out = str(tmp_path / "chunks")
+    lines = spark.createDataFrame([(i, str(i)) for i in range(30)], "line_no long, line string")
+    prep.convert_chunks(lines, lambda df: df, out, chunk_rows=10)
+    changed = lines.withColumn("line", F.concat("line", F.lit("x")))
+
+    def failing(df):
+        return df.withColumn("line", F.when(F.col("line_no") == 25, F.raise_error(F.lit("no"))).otherwise(F.col("line")))
+
+    with pytest.raises(Exception, match="no"):
+        prep.convert_chunks(changed, failing, out, chunk_rows=10).count()
+    done = prep.convert_chunks(changed, lambda df: df, out, chunk_rows=10)
+    assert chunks_now(done) == [(i, f"{i}x") for i in range(30)]
