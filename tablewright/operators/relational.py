@@ -264,3 +264,25 @@ def text_arithmetic(left: Column, op: str, right: Column) -> Column:
 def one_value(df: DataFrame, value: Column) -> Column:
     """An aggregate of a DataFrame as a value for arithmetic; a result over no rows counts as 0."""
     return F.coalesce(df.agg(value.alias("v")).scalar(), F.lit(0.0))
+
+
+# --- mergeable distinct counts ---
+
+# The logarithm of the registers of a sketch: 2^14 of them, 16 KB at most, tell counts with a standard error of about 0.8 %.
+SKETCH_BITS = 14
+
+
+def distinct_sketches(df: DataFrame, keys: list[str], value: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """``keys, n_rows, sketch`` of the different values per key (missing ones do not count), to be kept and merged without the rows.
+
+    A key's rows are sketched before the shuffle, so a key of any size sends one sketch from each task. A key without any value has an empty sketch.
+    """
+    kind = dict(df.dtypes)[value]
+    held = F.col(value) if kind in ("int", "bigint", "string", "binary") else F.col(value).cast("string")
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.hll_sketch_agg(held, F.lit(bits)).alias("sketch"))
+
+
+def merge_distinct(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n_rows, n_distinct`` from the sketches of any parts: chunks, days, files. A value that several parts hold counts once."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*keys, "n_rows", F.hll_sketch_estimate("sketch").alias("n_distinct"))

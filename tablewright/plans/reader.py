@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Executors need not have this package installed: its functions travel with the query.
@@ -122,3 +123,21 @@ def read_nodes(xml: Column, ignored: list[str], first_width: int) -> Column:
         return texts.map(lambda text: None if text is None else nodes_of(text, names, first_width))
 
     return read(xml)
+
+
+def register_plan_nodes(spark: SparkSession, ignored: list[str], first_width: int = 0, name: str = "plan_nodes") -> None:
+    """Make ``name(xml)`` a table function of the session: ``FROM plans, LATERAL plan_nodes(xml_plan)`` gives a row for each node of a document.
+
+    A missing document has no nodes. A document is read in one pass and rows leave it one by one, so it needs no shuffle.
+    """
+    names = tuple(ignored)
+
+    class PlanNodes:
+        def eval(self, xml: str) -> Iterator[tuple]:
+            if xml is not None:
+                for node in nodes_of(xml, names, first_width):
+                    attrs = [(pair["key"], pair["value"]) for pair in node["attrs"]]
+                    yield node["node_id"], node["parent_id"], node["node_type"], node["width"], node["depth"], attrs
+
+    fields = "node_id int, parent_id int, node_type string, width int, depth int, attrs array<struct<key:string,value:string>>"
+    spark.udtf.register(name, F.udtf(PlanNodes, returnType=fields))

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.numbers import float_text
 from tablewright.operators import answers, scoring
 from tablewright.queries import query
-from tablewright.queries.shared_sql import ORDER_SKETCHES
+from tablewright.queries.shared_sql import ORDER_LINES, ORDER_SKETCHES
 from tablewright.queries.tables import SKETCH_TEXT
 from tablewright.skew import ensure_checkpoint_dir
 from tablewright.sources import datasets
-from tablewright.sources.driver_tables import order_sketches, table
+from tablewright.sources.driver_tables import order_lines, order_sketches, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -58,13 +59,38 @@ def csv_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.read_split(spark, path, "train", "o_orderkey long, note string")
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+@query("SELECT o_orderkey AS id, o_orderpriority AS name FROM orders")
 def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One array is one line by its format, so this is for small lists.
-    nations = table(spark, sf_dir, "nation").select(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("entry"))
-    path = _folder(spark, "array")
-    nations.agg(F.to_json(F.collect_list("entry")).alias("value")).write.text(path)
-    return datasets.read_json_array(spark, path, "id long, name string")
+    # One array for each customer, one line each.
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")).alias("entry"))
+    path = _folder(spark, "arrays")
+    orders.groupBy("o_custkey").agg(F.to_json(F.collect_list("entry")).alias("value")).select("value").write.text(path)
+    return datasets.read_json_arrays(spark, path, "id long, name string")
+
+
+@query("SELECT o_orderkey, o_orderpriority || ', \"' || o_orderstatus AS note, 'dev' AS split FROM orders")
+def json_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus").alias("note")
+    path = _folder(spark, "split") + ".json"
+    datasets.write_json(table(spark, sf_dir, "orders").select("o_orderkey", note), path)
+    return datasets.read_split(spark, path, "dev", "o_orderkey long, note string")
+
+
+@query(
+    f"""WITH {ORDER_LINES} SELECT l_orderkey::VARCHAR AS table_id, row_pos, [l_quantity::VARCHAR, l_returnflag] AS cells,
+      ['quantity', 'flag "x"'] AS header, ['real', 'text'] AS types FROM order_lines"""
+)
+def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One JSON line for each order: its rows in order, its column names and their types.
+    lines = order_lines(spark, sf_dir)
+    row = F.struct("row_pos", F.array(float_text(F.col("l_quantity")), F.col("l_returnflag")).alias("cells"))
+    tables = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    header, types = F.array(F.lit("quantity"), F.lit('flag "x"')), F.array(F.lit("real"), F.lit("text"))
+    whole = F.struct(F.col("l_orderkey").cast("string").alias("id"), header.alias("header"), types.alias("types"), F.col("rows.cells").alias("rows"))
+    path = _folder(spark, "tables")
+    tables.select(F.to_json(whole).alias("value")).write.text(path)
+    rows, meta = datasets.read_tables(spark, path)
+    return rows.join(meta, "table_id")
 
 
 @query(

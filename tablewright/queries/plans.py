@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.linear import linearize
 from tablewright.plans import dags, shred
+from tablewright.plans.reader import register_plan_nodes
 from tablewright.queries import query
 from tablewright.queries.shared_sql import ORDER_LINES
 from tablewright.sources.driver_tables import geo_edges, order_corpus, order_plans, table
@@ -33,6 +34,18 @@ def plan_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(shred.explode_nodes(plans, "plan_id"))
 
 
+@query(f"WITH {_PLANNED} SELECT node_type, depth, count(*) AS n, count(DISTINCT attrs) AS n_attrs, max(plan_id) AS last_plan FROM nodes GROUP BY node_type, depth")
+def plan_nodes_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table function in a query that is written in SQL.
+    register_plan_nodes(spark, shred.IGNORED_TAGS)
+    return spark.sql(
+        """SELECT n.node_type, n.depth, count(*) AS n, count(DISTINCT concat_ws('|', transform(n.attrs, a -> concat(a.key, ' : ', a.value)))) AS n_attrs,
+          max(p.plan_id) AS last_plan
+        FROM {plans} p, LATERAL plan_nodes(p.xml_plan) n GROUP BY n.node_type, n.depth""",
+        plans=order_plans(spark, sf_dir),
+    )
+
+
 @query(f"WITH {_PLANNED} SELECT plan_id, node_id, 2 - depth AS depth FROM nodes")
 def plan_depth_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = shred.reflect_depth(shred.shred_plans(order_plans(spark, sf_dir), on_missing="drop"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tablewright.functions.numbers import exact_sum, float_text, julian_day
 from tablewright.operators import answers
 from tablewright.operators import relational as rel
 from tablewright.queries import query
+from tablewright.skew import ensure_checkpoint_dir
 from tablewright.sources.driver_tables import LINE_ORDER, table
 
 _ORDER_KEY_TIES = ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -322,6 +326,21 @@ def count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_returnflag").agg(F.count("l_partkey").alias("n_parts"))
 
 
+@query(
+    """SELECT l_returnflag, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_exact, true AS is_close FROM lineitem GROUP BY l_returnflag"""
+)
+def distinct_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sketches of months, kept as a table and merged; the estimate has to lie within four standard errors of the exact count.
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.date_trunc("month", "l_shipdate").alias("month"), "l_orderkey")
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"sketches-{uuid.uuid4().hex}")
+    rel.distinct_sketches(lines, ["l_returnflag", "month"], "l_orderkey").write.parquet(folder)
+    merged = rel.merge_distinct(spark.read.parquet(folder), ["l_returnflag"])
+    exact = lines.select("l_returnflag", "l_orderkey").distinct().groupBy("l_returnflag").agg(F.count("l_orderkey").alias("n_exact"))
+    error = 4 * 1.04 / 2 ** (rel.SKETCH_BITS / 2)
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= error * F.col("n_exact")
+    return merged.join(exact, "l_returnflag").select("l_returnflag", "n_rows", "n_exact", close.alias("is_close"))
+
+
 @query(
     """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN julian(o_orderdate) - 0.5 END AS day FROM orders"""
 )

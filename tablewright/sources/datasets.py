@@ -86,6 +86,15 @@ def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType)
     return spark.read.option("multiLine", True).schema(schema).json(path)
 
 
+def read_json_arrays(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Entries of files with one JSON array a line. Lines are split over tasks, so an array is bounded by a line, not the file by a task.
+
+    Empty arrays and lines that hold no array have no entries.
+    """
+    entry = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.read.text(path).select(F.inline(F.from_json("value", T.ArrayType(entry))))
+
+
 # --- tables of examples ---
 
 

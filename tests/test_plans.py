@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.plans import dags, shred
+from tablewright.plans.reader import register_plan_nodes
 
 XML = """<?xml version="1.0"?>
 <explain xmlns="http://www.postgresql.org/2009/explain"><Query><Plan>
@@ -155,3 +156,11 @@ def test_reading_grows_with_the_document():
 
     seconds(200)
     assert min(seconds(16_000) for _ in range(3)) < 8 * min(seconds(4_000) for _ in range(3))
+
+
+def test_nodes_in_sql(spark):
+    register_plan_nodes(spark, shred.IGNORED_TAGS)
+    df = spark.createDataFrame([(1, XML), (2, None), (3, "")], "plan_id int, xml_plan string")
+    got = spark.sql("SELECT p.plan_id, n.* FROM {p} p, LATERAL plan_nodes(p.xml_plan) n", p=df)
+    want = shred.explode_nodes(shred.shred_plans(df), "plan_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))

@@ -70,3 +70,15 @@ def test_text_arithmetic_and_totals(spark):
     assert df.agg(rel.text_total(F.col("a")).alias("t")).first()["t"] == 11.0
     assert df.where("a = 'x'").agg(rel.text_total(F.col("a")).alias("t")).first()["t"] == 0.0
     assert [r["b"] for r in rel.distinct_values(df, "b").orderBy("b").collect()] == ["0", "1", "2"]
+
+
+def test_distinct_counts_merge_over_parts(spark):
+    rows = spark.range(40_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("part"), F.when(F.col("id") % 10 > 0, F.col("id") % 9001).alias("v"))
+    rows = rows.unionByName(spark.sql("SELECT 9L AS k, 0L AS part, CAST(NULL AS BIGINT) AS v"))
+    exact = {r["k"]: (r["n"], r["d"]) for r in rows.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("v").alias("d")).collect()}
+    for value in ("v", "text"):
+        df = rows.withColumn("text", F.col("v").cast("string"))
+        merged = rel.merge_distinct(rel.distinct_sketches(df, ["k", "part"], value), ["k"])
+        for r in merged.collect():
+            n, distinct = exact[r["k"]]
+            assert r["n_rows"] == n and abs(r["n_distinct"] - distinct) <= 0.033 * distinct
