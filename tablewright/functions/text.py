@@ -17,6 +17,16 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def strip_simple(text: Column) -> Column:
+    """As :func:`strip`, for a column or a lambda's variable; a longer expression would be computed several times.
+
+    Spaces go first. Only a text that then begins or ends with a control or non-ASCII character is looked at with the whole set, which is much dearer.
+    """
+    inner = F.trim(text)
+    odd = lambda c: ~F.ascii(c).between(33, 126)
+    return F.when(odd(inner) | odd(F.right(inner, F.lit(1))), F.btrim(inner, F.lit(WHITE_SPACE))).otherwise(inner)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of word characters and runs of other non-space characters."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import strip
+from tablewright.functions.text import strip_simple
 from tablewright.functions.numbers import to_float
 
 # English month names in calendar order.
@@ -37,7 +37,7 @@ def choose_delimiter(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def pieces(text: Column, delimiter: Column) -> Column:
     """Trimmed pieces between delimiters."""
-    return F.transform(F.split(text, delimiter, -1), lambda p: strip(p))
+    return F.transform(F.split(text, delimiter, -1), strip_simple)
 
 
 def list_items(text: Column, delimiter: Column) -> Column:
@@ -81,7 +81,7 @@ def _years(parts: Column) -> Column:
 
 
 def _integers(parts: Column) -> Column:
-    return F.transform(parts, lambda p: strip(p).try_cast("bigint"))
+    return F.transform(parts, lambda p: strip_simple(p).try_cast("bigint"))
 
 
 def latest_years(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import strip
+from tablewright.functions.text import strip, strip_simple
 from tablewright.functions.binding import let
 from tablewright.skew import BLOCK_ROWS, block_of, in_order
 
@@ -56,7 +56,7 @@ def parse_linear(line: Column) -> Column:
     """
 
     def trimmed(cells: Column) -> Column:
-        return F.transform(F.split(cells, r" \| ", -1), lambda c: strip(c))
+        return F.transform(F.split(cells, r" \| ", -1), strip_simple)
 
     has_header = line.startswith(" col :")
     header = F.when(has_header, trimmed(F.regexp_extract(line, r"(?s)^ col :(.*?)(?= row 1 : |\z)", 1)))

@@ -5,41 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.binding import let
 from tablewright.functions.numbers import float_or_null, float_text, is_strict_float, is_strict_int, to_float, value_kind
 from tablewright.functions.numbers import value_text as typed_text
-from tablewright.functions.text import strip
+from tablewright.functions.text import strip, strip_simple
 from tablewright.skew import in_order
 
-# Date forms by the shape of the text: only a text of the right shape reaches a parser.
+# Date forms by the shape of the text: only a text of the right shape reaches a parser, and only shapes of its class are tried.
 _DAY, _CLOCK = r"^\d{4}-\d{1,2}-\d{1,2}", r"[ T]\d{1,2}:\d{2}"
-DATE_FORMS = {
+DASHED = {
     rf"{_DAY}$": "yyyy-M-d",
     rf"{_DAY}{_CLOCK}$": "yyyy-M-d H:mm",
     rf"{_DAY}{_CLOCK}:\d{{2}}(?:\.\d{{1,6}})?$": "yyyy-M-d H:mm:ss[.SSSSSS]",
     rf"{_DAY}{_CLOCK}:\d{{2}}(?:\.\d{{1,6}})?(?:Z|[+-]\d{{2}}:\d{{2}})$": "yyyy-M-d H:mm:ss[.SSSSSS]XXX",
-    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
-    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
-    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
-    r"^\d{1,2} [A-Za-z]{4,} \d{4}$": "d MMMM yyyy",
-    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
-    r"^[A-Za-z]{4,} \d{1,2}, \d{4}$": "MMMM d, yyyy",
-    r"^[A-Za-z]{3} \d{4}$": "MMM yyyy",
-    r"^[A-Za-z]{4,} \d{4}$": "MMMM yyyy",
 }
-# Every form has a year of four digits and between 8 and 40 characters.
-MAYBE_DATE = r"^(?=.*\d{4}).{8,40}$"
+YEAR_FIRST = {r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d"}
+MONTH_FIRST = {r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy"}
+DAY_FIRST = {r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy", r"^\d{1,2} [A-Za-z]{4,} \d{4}$": "d MMMM yyyy"}
+NAMED_DAY = {r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy", r"^[A-Za-z]{4,} \d{1,2}, \d{4}$": "MMMM d, yyyy"}
+NAMED_MONTH = {r"^[A-Za-z]{3} \d{4}$": "MMM yyyy", r"^[A-Za-z]{4,} \d{4}$": "MMMM yyyy"}
+# Every form has between 8 and 40 characters.
+SHORTEST_DATE, LONGEST_DATE = 8, 40
 RESULT_MARK = r"\| "
 LIST_MARK = ",, "
 
 
 def to_timestamp(text: Column) -> Column:
     """A timestamp in one of the known forms, else NULL. A month and year alone mean its first day."""
-    stripped = strip(text)
-    parsed = F.lit(None).cast("timestamp")
-    for shape, form in reversed(DATE_FORMS.items()):
-        spaced = F.replace(stripped, F.lit("T"), F.lit(" ")) if "[ T]" in shape else stripped
-        parsed = F.when(stripped.rlike(shape), F.try_to_timestamp(spaced, F.lit(form))).otherwise(parsed)
-    return F.when(stripped.rlike(MAYBE_DATE), parsed)
+
+    def in_form(stripped: Column, forms: dict[str, str]) -> Column:
+        parsed = F.lit(None).cast("timestamp")
+        for shape, form in reversed(forms.items()):
+            spaced = F.replace(stripped, F.lit("T"), F.lit(" ")) if "[ T]" in shape else stripped
+            parsed = F.when(stripped.rlike(shape), F.try_to_timestamp(spaced, F.lit(form))).otherwise(parsed)
+        return parsed
+
+    def judged(stripped: Column) -> Column:
+        fifth, digit = F.substring(stripped, 5, 1), F.ascii(stripped).between(ord("0"), ord("9"))
+        holds = lambda mark: F.contains(stripped, F.lit(mark))
+        return (
+            F.when(~F.length(stripped).between(SHORTEST_DATE, LONGEST_DATE), F.lit(None).cast("timestamp"))
+            .when(digit & (fifth == "-"), in_form(stripped, DASHED))
+            .when(digit & (fifth == "/"), in_form(stripped, YEAR_FIRST))
+            .when(digit & holds("/"), in_form(stripped, MONTH_FIRST))
+            .when(digit & holds(" "), in_form(stripped, DAY_FIRST))
+            .when(~digit & holds(", "), in_form(stripped, NAMED_DAY))
+            .when(~digit & holds(" "), in_form(stripped, NAMED_MONTH))
+        )
+
+    return let(strip_simple(text), judged)
 
 
 def identify_cells(raw_cells: DataFrame) -> DataFrame:
@@ -80,9 +94,7 @@ def apply_column_types(raw_rows: DataFrame, votes: DataFrame) -> DataFrame:
             F.when(kind == "text", raw).alias("text"),
         )
 
-    return raw_rows.join(kinds, "table_id").select(
-        "table_id", "row_pos", F.zip_with("cells", "kinds", convert).alias("cells")
-    )
+    return raw_rows.join(kinds, "table_id").select("table_id", "row_pos", F.zip_with("cells", "kinds", convert).alias("cells"))
 
 
 def type_results(results: DataFrame, text: str = "result_text") -> DataFrame:
