@@ -150,14 +150,35 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, COUNTS.types, strict=True)], schema=COUNTS)
 
 
+# Shares of a sample are told in so many steps.
+SHARE_STEPS = 1_000_000
+
+
+def equal_part(sizes: list[int], most: int) -> float:
+    """The largest number such that taking at most so many of each size takes about ``most`` in all."""
+    left = float(most)
+    ordered = sorted(sizes)
+    for place, size in enumerate(ordered):
+        part = left / (len(ordered) - place)
+        if size >= part:
+            return part
+        left -= size
+    return float(max(ordered, default=0))
+
+
 def learn(labelled: DataFrame, most: int = TRAINING_DOCS) -> Model:
     """A model from rows ``doc_id, text, lang``; about ``most`` of them, chosen by a hash of their id, are read whole.
 
-    What comes to the driver is a fixed number of counts for each language.
+    Each language has an equal part of the sample, and what some have too few rows for goes to the others, so a rare language is learned from all its rows
+    however large the table is. What comes to the driver is one row count and a fixed number of feature counts for each language.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    share = min(1.0, most / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    part = equal_part(list(held.values()), most)
+    shares = [(lang, int(np.ceil(min(1.0, part / n) * SHARE_STEPS))) for lang, n in held.items()]
+    wanted = rows.sparkSession.createDataFrame(shares, "lang string, share long")
+    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SHARE_STEPS))
+    chosen = rows.join(F.broadcast(wanted), "lang").where(hashed < F.col("share"))
     counted = bounded_batches(chosen).select("text", "lang").mapInArrow(_counts, sql_schema(COUNTS))
     found = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
@@ -178,8 +199,9 @@ def learn(labelled: DataFrame, most: int = TRAINING_DOCS) -> Model:
 def _labels(words: Words, model: Model, penalty: float) -> np.ndarray:
     """The language of every word by Viterbi, all texts a word at a time, longest texts first."""
     total = len(words.start)
+    label = np.min_scalar_type(-max(1, len(model.langs)))  # the narrowest kind that holds every language
     if not total:
-        return np.empty(0, dtype=np.int8)
+        return np.empty(0, dtype=label)
     narrowed = model.candidates[words.script]
     narrowed |= ~narrowed.any(axis=1, keepdims=True)  # a script that no language was learned in tells nothing
     emitted = np.add.reduceat(model.scores[words.trigrams], words.first, axis=0)
@@ -188,10 +210,10 @@ def _labels(words: Words, model: Model, penalty: float) -> np.ndarray:
     counts = words.counts[order]
     starts = (np.cumsum(words.counts) - words.counts)[order]
     live = np.searchsorted(-counts, -np.arange(counts[0]), side="left")  # texts with more than t words
-    came = np.empty(total, dtype=np.int8)
+    came = np.empty(total, dtype=label)
     changed = np.empty((total, len(model.langs)), dtype=bool)
     score = emitted[starts[: live[0]]].astype(np.float64)
-    final = np.empty(len(order), dtype=np.int8)
+    final = np.empty(len(order), dtype=label)
     for t in range(1, counts[0]):
         n = live[t]
         final[n : len(score)] = score[n:].argmax(axis=1)
@@ -203,7 +225,7 @@ def _labels(words: Words, model: Model, penalty: float) -> np.ndarray:
         came[at], changed[at] = best, change
         score = np.where(change, other[:, None], score) + emitted[at]
     final[: len(score)] = score.argmax(axis=1)
-    labels = np.empty(total, dtype=np.int8)
+    labels = np.empty(total, dtype=label)
     state = final.copy()
     for t in range(counts[0] - 1, 0, -1):
         n = live[t]

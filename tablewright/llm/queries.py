@@ -23,21 +23,20 @@ def query(sql: str | None = None):
 
 
 TOP_K_SQL = """
-WITH v AS (
-  SELECT vec_id AS id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS w
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
 ), terms AS (
-  SELECT id, unnest(w) AS weight, unnest(range(len(w))) AS term FROM v
+  SELECT row_no, id, unnest(w) AS weight, unnest(range(len(w))) AS term FROM v
 ), scored AS (
-  SELECT q.id AS query_id, r.id AS vec_id, CAST(sum(q.weight * r.weight) AS BIGINT) AS score
-  FROM terms q JOIN terms r ON q.term = r.term AND q.id <> r.id
-  WHERE q.id % 50 = 0 GROUP BY q.id, r.id
+  SELECT q.row_no, q.id AS query_id, r.row_no AS other, r.id AS vec_id, CAST(sum(q.weight * r.weight) AS BIGINT) AS score
+  FROM terms q JOIN terms r ON q.term = r.term AND q.row_no <> r.row_no
+  WHERE q.id % 50 = 0 GROUP BY q.row_no, q.id, r.row_no, r.id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS rank FROM scored
 ) WHERE rank <= 5
 """
 

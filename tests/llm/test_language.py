@@ -59,3 +59,20 @@ def test_edge_rows(spark, model):
     nothing = lg.learn(docs.where("false").withColumn("lang", docs["lang_pred"]))
     assert {r.lang_pred for r in lg.language_of(docs, nothing).collect()} == {"und"}
     assert lg.language_of(docs.where("false"), model).count() == 0
+
+
+def test_more_languages_than_a_byte_tells(spark):
+    """With 300 languages of one word each, every text gets its own."""
+    words = ["".join(chr(97 + (n // 26**k) % 26) * 3 for k in range(2)) for n in range(300)]
+    rows = [(i * 1000 + k, f"{word} " * 5, f"l{i:03}") for i, word in enumerate(words) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = lg.language_of(docs, lg.learn(docs))
+    assert {(r.doc_id // 1000, r.lang_pred) for r in found.collect()} == {(i, f"l{i:03}") for i in range(300)}
+
+
+def test_a_rare_language_is_learned_whole(spark):
+    common = spark.range(20_000).selectExpr("id AS doc_id", "'the thing that is' AS text", "'en' AS lang")
+    rare = spark.range(20_000, 20_012).selectExpr("id AS doc_id", "'und der schule' AS text", "'de' AS lang")
+    model = lg.learn(common.unionByName(rare), most=200)
+    assert model.langs == ["de", "en"]
+    assert lg.equal_part([12, 20_000], 200) == 188 and lg.equal_part([5, 6], 100) == 6 and lg.equal_part([], 9) == 0

@@ -37,10 +37,17 @@ def test_blocks_give_the_same_rows(spark, values, blocks):
 def test_vectors(spark):
     rows = [(0, [0.1, -0.1]), (50, [0.5]), (50, [0.25]), (1, [None, 1.0]), (2, [NAN]), (3, [INF]), (4, None), (None, [1.0]), (5, []), (6, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame([(*r, 1, "s") for r in rows], "vec_id long, embedding array<float>, id int, weights string")
-    got = {r.id: r.weights for r in topk.integer_vectors(df, "vec_id", "embedding").collect()}
-    assert got == {0: [math.floor(256 * np.float64(np.float32(0.1))), math.floor(256 * np.float64(np.float32(-0.1)))], 50: [64], 5: [], 6: [256, 512, 768]}
     vectors = topk.integer_vectors(df, "vec_id", "embedding")
-    assert sorted(map(tuple, topk.top_k(vectors, vectors.where("id % 50 = 0")).collect())) == brute(got, {i: got[i] for i in (0, 50)}, 5)
+    got = sorted((r.id, r.weights) for r in vectors.collect())
+    assert got == [(0, [math.floor(256 * np.float64(np.float32(0.1))), math.floor(256 * np.float64(np.float32(-0.1)))]), (5, []), (6, [256, 512, 768]), (6, [256, 512, 768]), (50, [64]), (50, [128])]
+    # Every row is a candidate but the query's own, also where an id or a whole row repeats.
+    best = []
+    for at, (q, own) in enumerate(got):
+        if q in (0, 6, 50):
+            scored = sorted((-sum(a * b for a, b in zip(own, other, strict=False)), i) for j, (i, other) in enumerate(got) if j != at)
+            best += [(q, rank, i, -score) for rank, (score, i) in enumerate(scored[:5], 1)]
+    for blocks in ((8192, 8192), (2, 1)):
+        assert sorted(map(tuple, topk.top_k(vectors, vectors.where("id in (0, 6, 50)"), 5, *blocks).collect())) == sorted(best)
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
     assert topk.top_k(vectors.where("id = 0"), vectors.where("id = 0")).count() == 0
 
