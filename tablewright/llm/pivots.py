@@ -29,6 +29,7 @@ NEAREST, SHARED = 12, 5
 FEWEST_PIVOTS, MOST_PIVOTS, SAMPLE = 64, 4096, 4
 # Rows of a list in one block, and entries of the score table of one step inside a task.
 BLOCK, STEP = 4096, 250_000
+SALTS = 16
 # A class is known by its smallest id (a class without any id comes last) and the 128-bit hash of its label and vector; nodes compare by id first.
 NODE = "struct<no_id:boolean,id:bigint,k1:bigint,k2:bigint>"
 
@@ -188,7 +189,10 @@ def block_links(classes: DataFrame, pivots: np.ndarray, threshold: float) -> Dat
     key = ["label", "dim", "rank"]
     places = ranked.select("label", "dim", F.explode(leading).alias("rank"))
     lists = places.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    postings = ranked.select("*", F.explode(leading).alias("rank")).join(lists, key)
+    # A list's size is told to its rows in SALTS parts, so a long list is no hot key of this join.
+    salted = lists.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = F.pmod("node.k2", F.lit(SALTS)).cast("int").alias("salt")
+    postings = ranked.select("*", own, F.explode(leading).alias("rank")).join(salted, [*key, "salt"]).drop("salt")
     dealt = postings.withColumn("block", F.pmod("node.k1", "blocks").cast("int"))
     cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         *key, "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "node.*", "weight", "vec", "ranks"
