@@ -37,3 +37,15 @@ def test_plan_documents_are_read_without_shuffle_or_second_pass(spark):
     plan = plans._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert plan.count("Exchange hashpartitioning") == 0
+
+
+@pytest.mark.parametrize("name", ["sketch_answers", "sketch_answers_large", "typed_cells", "dag_chain_layers", "plan_nodes_sql"])
+def test_building_a_query_runs_few_jobs(spark, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"build-{name}", name)
+    try:
+        REGISTRY[name].run(spark, SF_DIR)
+        # Files and schemas are looked at by Spark itself; beyond that at most a count of the largest group.
+        assert len(context.statusTracker().getJobIdsForGroup(f"build-{name}")) <= 6
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
