@@ -101,6 +101,8 @@ class Model:
 def core_of(token: str) -> str:
     """The token in lower case, without signs at its edges."""
     token = token.lower()
+    if token.isalnum():
+        return token
     first, last = 0, len(token)
     while first < last and not (token[first].isalnum() or token[first] in KEPT_AT_EDGES):
         first += 1
@@ -238,33 +240,56 @@ class Tokens:
     words: list[str]
 
 
+# What a zero byte does to a crc32, by its lowest byte.
+CRC_STEPS = np.array([crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], dtype=np.uint32)
+
+
+def _crc_joined(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The crc32 of texts with others appended, from the crc32 of both; ``sizes`` are the bytes appended."""
+    first = first.copy()
+    rows = np.arange(len(first))
+    for size in range(int(sizes.max(initial=0))):
+        rows = rows[sizes[rows] > size]
+        own = first[rows]
+        first[rows] = (own >> np.uint32(8)) ^ CRC_STEPS[own & np.uint32(0xFF)]
+    return first ^ second
+
+
 def _pieces(text: np.ndarray, codes: np.ndarray, cores: list[str], odds: Odds) -> Iterator[tuple[int, list[str]]]:
-    """Tokens in a row, with the number of their text, that are learned words when joined, though not each is one alone."""
+    """Tokens in a row, with the number of their text, that are learned words when joined, though not each is one alone.
+
+    What is joined is known by its feature number alone, which follows from those of the pieces; only learned words are put together.
+    """
     strong = odds.keys[odds.values > STRONG] >> 32
     longest = int(strong.max()) if len(strong) else 0
     sizes = np.fromiter(map(len, cores), np.int64, len(cores))
-    ordinary = odds.known(np.fromiter((crc32(c.encode(), WORD) | n << 32 if 0 < n < longest else -2 for c, n in zip(cores, sizes.tolist(), strict=True)), np.int64, len(cores)))
+    encoded = [c.encode() if n < longest else b"" for c, n in zip(cores, sizes.tolist(), strict=True)]
+    width = np.fromiter(map(len, encoded), np.int64, len(cores))
+    alone = np.fromiter(map(crc32, encoded), np.uint32, len(cores))
+    as_word = np.fromiter((crc32(e, WORD) for e in encoded), np.uint32, len(cores))
+    ordinary = odds.known(np.where((sizes > 0) & (sizes < longest), as_word.astype(np.int64) | sizes << 32, -2))
     fits = np.zeros(longest + 1, dtype=bool)
     fits[strong] = True
     sum_of = lambda x: np.concatenate([[0], np.cumsum(x[codes])])
     ends, strange, several = sum_of(sizes), sum_of(~ordinary), sum_of(sizes != 1)
     blank = sum_of(sizes == 0)
-    seen: dict[tuple[int, ...], list[str] | None] = {}
     at = np.arange(len(codes))
+    crc = as_word[codes]
     for m in range(2, longest + 1):
-        at = at[at + m <= len(codes)]
         over = lambda x: x[at + m] - x[at]  # noqa: B023, E731
-        at = at[(over(ends) <= longest) & (over(blank) == 0) & (text[at] == text[at + m - 1])]
+        inside = at + m <= len(codes)
+        at, crc = at[inside], crc[inside]
+        inside = (over(ends) <= longest) & (over(blank) == 0) & (text[at] == text[at + m - 1])
+        at, crc = at[inside], crc[inside]
         if not len(at):
             break
-        able = fits[over(ends)] & (over(strange) > 0) & (over(several) > 0)
+        last = codes[at + m - 1]
+        crc = _crc_joined(crc, alone[last], width[last])
+        joined = over(ends)
+        able = np.flatnonzero(fits[joined] & (over(strange) > 0) & (over(several) > 0))
+        able = able[odds.known(crc[able].astype(np.int64) | joined[able] << 32)]
         for s in at[able].tolist():
-            key = tuple(codes[s : s + m].tolist())
-            if key not in seen:
-                own = [cores[c] for c in key]
-                seen[key] = own if odds.known(np.array(features_of("".join(own))[:1], dtype=np.int64)).all() else None
-            if seen[key]:
-                yield int(text[s]), seen[key]
+            yield int(text[s]), [cores[c] for c in codes[s : s + m].tolist()]
 
 
 def tokens_of(texts: pa.Array, letters: LetterModel | None, odds: Odds | None = None) -> Tokens:
