@@ -34,6 +34,8 @@ PRIOR = 25.0
 SUPPORT = 5
 STRONG = 2.0
 TOP = 3
+# Longer cores of tokens are restored in parts of PART characters, each with CONTEXT more on both sides.
+LONG_CORE, PART, CONTEXT = 1000, 64, 32
 # Single letters in a row that are read as spaced words, and the lengths of words sought in them besides those of strong features.
 SPACED = 2
 SPACED_WORDS = range(4, 13)
@@ -45,12 +47,22 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "aeiou",
 }
+# Cyrillic and Greek letters that look like Latin ones; they are read as those in a token that has Latin letters too.
+FOREIGN = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p",
+    "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+}
 KEPT_AT_EDGES = "@$"
+LATIN = re.compile("[a-z]")
+FOREIGN_LETTER = re.compile(f"[{''.join(FOREIGN)}]")
 THREE_ALIKE = re.compile(r"(.)\1\1", re.DOTALL)
 TWO_ALIKE = re.compile(r"(.)\1", re.DOTALL)
 # What it costs, in nats, to read a look-alike, to leave out a second or a third equal letter, a sign, a digit or a look-alike.
 SWAPPED, REPEATED, RUN, SIGN, DIGIT, ALIKE = -1.5, -1.5, -0.1, -0.5, -4.0, -8.0
 
+# Letters that the letter model knows one by one: Latin ones, below this code point.
+LETTERS = 0x250
+
 COUNTS = pa.schema({"a": pa.int64(), "b": pa.int32(), "n": pa.int64()})
 FEATURES = pa.schema({"toxic": pa.int32(), **{f"x{i}": pa.float64() for i in range(TOP + 2)}})
 HIT = pa.struct({"token": pa.string(), "word": pa.string()})
@@ -111,16 +123,24 @@ def core_of(token: str) -> str:
     return token[first:last]
 
 
+def is_mixed(core: str) -> bool:
+    """Whether look-alikes of another script stand among Latin letters."""
+    return not core.isascii() and bool(FOREIGN_LETTER.search(core) and LATIN.search(core))
+
+
 def is_plain(core: str) -> bool:
-    return core.isalpha() and not THREE_ALIKE.search(core)
+    return core.isalpha() and not THREE_ALIKE.search(core) and not is_mixed(core)
 
 
 def _lattice(core: str, letters: dict[str, int]) -> tuple[list[list[tuple[str, float]]], list[float]]:
     """For each character what it may stand for with its cost, and the cost of leaving it out."""
     choices, skips = [], []
+    mixed = is_mixed(core)
     for i, c in enumerate(core):
         own = [(c, 0.0)] if c.isalpha() else []
         own += [(x, SWAPPED) for x in LOOK_ALIKES.get(c, "") if x in letters]
+        if mixed and FOREIGN.get(c) in letters:
+            own.append((FOREIGN[c], SWAPPED))
         repeat = i > 0 and core[i - 1] == c
         if repeat and (core[i - 2 : i - 1] == c or core[i + 1 : i + 2] == c):
             skip = RUN
@@ -137,8 +157,8 @@ def _lattice(core: str, letters: dict[str, int]) -> tuple[list[list[tuple[str, f
     return choices, skips
 
 
-def _decode(cores: list[str], model: LetterModel) -> list[str]:
-    """The likeliest word of every core; all cores together, a character at a time."""
+def _decode(cores: list[str], model: LetterModel) -> list[list[str]]:
+    """What each character of every core is in the likeliest word, empty where it is left out; all cores together, a character at a time."""
     longest, n, states = max(map(len, cores)), len(cores), len(model.after)
     width = max(len(x) for x in LOOK_ALIKES.values()) + 1
     choice = np.zeros((longest, n, width), dtype=np.int64)
@@ -171,32 +191,45 @@ def _decode(cores: list[str], model: LetterModel) -> list[str]:
             value[at, choice[t, at, k]] = best[at, k]
             came[t, at, choice[t, at, k]] = source[at, k]
     state = (value + model.after[:, 0]).argmax(axis=1)
-    out: list[list[str]] = [[] for _ in cores]
+    out = [[""] * len(core) for core in cores]
     names = {i: c for c, i in model.letters.items()}
     for row, core in enumerate(cores):
         s = state[row]
         for t in range(len(core) - 1, -1, -1):
             if came[t, row, s] >= 0:
-                out[row].append(names.get(int(s), core[t]))
+                out[row][t] = names.get(int(s), core[t])
                 s = came[t, row, s]
-    return ["".join(reversed(x)) for x in out]
+    return out
 
 
 def restore(cores: list[str], model: LetterModel) -> list[str]:
-    """The words behind cores of tokens, in batches of about one length."""
-    out = [""] * len(cores)
-    order = sorted(range(len(cores)), key=lambda i: len(cores[i]))
+    """The words behind cores of tokens, in batches of about one length.
+
+    A core of more than LONG_CORE characters is restored in parts; the context on both sides of a part decides its edges.
+    """
+    parts: list[tuple[int, str, int, int]] = []  # core, what is decoded, and which of it counts
+    for i, core in enumerate(cores):
+        if 0 < len(core) <= LONG_CORE:
+            parts.append((i, core, 0, len(core)))
+        else:
+            for at in range(0, len(core), PART):
+                first = max(0, at - CONTEXT)
+                parts.append((i, core[first : at + PART + CONTEXT], at - first, at - first + PART))
+    words: list[str] = [""] * len(parts)
+    order = sorted(range(len(parts)), key=lambda p: len(parts[p][1]))
     start = 0
     while start < len(order):
         stop = start + 1
-        while stop < len(order) and (stop - start + 1) * len(cores[order[stop]]) <= 6000:
+        while stop < len(order) and (stop - start + 1) * len(parts[order[stop]][1]) <= 6000:
             stop += 1
-        part = [i for i in order[start:stop] if cores[i]]
-        if part:
-            for i, word in zip(part, _decode([cores[i] for i in part], model), strict=True):
-                out[i] = word
+        own = order[start:stop]
+        for p, letters in zip(own, _decode([parts[p][1] for p in own], model), strict=True):
+            words[p] = "".join(letters[parts[p][2] : parts[p][3]])
         start = stop
-    return out
+    out: list[list[str]] = [[] for _ in cores]
+    for (i, *_), word in zip(parts, words, strict=True):
+        out[i].append(word)
+    return ["".join(x) for x in out]
 
 
 WORD, FOUR, FIVE = map(crc32, (b"w", b"4", b"5"))
@@ -349,10 +382,16 @@ def word_odds(token: str, word: str, odds: Odds, letters: LetterModel | None = N
         # As restored and as written, since the lattice takes doubled letters for repetitions.
         whole = dict.fromkeys([word, token.replace(" ", "")])
         parts = list(dict.fromkeys(w[i : i + n] for w in whole for n in odds.lengths for i in range(len(w) - n + 1)))
-    own = [(odds.of(np.array(features_of(p))), p) for p in parts if p]
+    parts = [p for p in parts if p]
+    if not parts:
+        return 0.0, word
+    own = [features_of(p) for p in parts]
+    firsts = np.cumsum([0, *map(len, own[:-1])])
+    values = odds.of(np.array([f for x in own for f in x]))
+    highest = np.maximum.reduceat(values, firsts)
     # Of readings that tell the same, that which is a learned word itself.
-    most = max(((float(o.max()), float(o[0]), p) for o, p in own), key=lambda x: x[:2], default=(0.0, 0.0, word))
-    return most[0], most[2]
+    at = np.lexsort((-np.arange(len(parts)), values[firsts], highest))[-1]
+    return float(highest[at]), parts[at]
 
 
 def doc_features(tokens: Tokens, odds: Odds, letters: LetterModel | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -381,18 +420,21 @@ def doc_features(tokens: Tokens, odds: Odds, letters: LetterModel | None = None)
 
 
 def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Letter pairs of plain words."""
+    """Letter pairs of plain words; letters from LETTERS on are one."""
     for batch in batches:
         for part in text_slices(batch, "text"):
-            tokens = tokens_of(part.column("text"), None)
-            times = np.bincount(tokens.codes, minlength=len(tokens.tokens)).tolist()
-            pairs: dict[tuple[int, int], int] = {}
-            for word, n in zip(tokens.words, times, strict=True):
-                row = [0, *(ord(c) if ord(c) < 0x250 else 1 for c in word), 0] if word else []
-                for pair in zip(row, row[1:], strict=False):
-                    pairs[pair] = pairs.get(pair, 0) + n
-            columns = [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32()), pa.array(list(pairs.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=COUNTS)
+            codes, known = distinct(words_of(part.column("text"))[0])
+            times = np.bincount(codes, minlength=len(known))
+            cores = [core_of(t) for t in known.cast(pa.large_string()).to_pylist()]
+            plain = np.fromiter(map(is_plain, cores), bool, len(cores))
+            words = "\0".join(["", *(c for c, p in zip(cores, plain.tolist(), strict=True) if p), ""])
+            points = np.frombuffer(words.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            points[points >= LETTERS] = 1
+            # A place belongs to the word whose leading zero came last.
+            times = times[plain][np.cumsum(points == 0)[:-1] - 1] if plain.any() else np.empty(0)
+            pairs = np.bincount(points[:-1] * LETTERS + points[1:], times).astype(np.int64) if len(times) else np.empty(0, dtype=np.int64)
+            at = np.flatnonzero(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(at // LETTERS), pa.array((at % LETTERS).astype(np.int32)), pa.array(pairs[at])], schema=COUNTS)
 
 
 def _word_counts(letters):
@@ -460,7 +502,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Mode
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1); about ``most`` labelled rows are used, chosen by a hash of
     their id, with their whole texts.
 
-    What comes to the driver is bounded by the training texts: counts of the features that several have, letter pairs, and six numbers each.
+    The letter model needs no labels: it is counted over all of ``docs``. What comes to the driver is bounded by the number of letters and the
+    training texts: letter pairs, counts of the features that several texts have, and six numbers each.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -470,8 +513,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Mode
     # About ``most`` small rows, whatever the size of the tables.
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
     bounded_batches(rows)
-    count = lambda job: rows.mapInArrow(job, sql_schema(COUNTS)).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = count(_letter_counts).toPandas()
+    count = lambda rows, job: rows.mapInArrow(job, sql_schema(COUNTS)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = count(docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL"), _letter_counts).toPandas()
     points = sorted({int(p) for p in pairs["a"]} | {ord(c) for c in "abcdefghijklmnopqrstuvwxyz"} - {0, 1})
     points = [p for p in points if p > 1]
     number = {0: 0, 1: 1} | {p: i for i, p in enumerate(points, 2)}
@@ -480,7 +523,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> Mode
         after[number[a], number[b]] += n
     model = LetterModel({chr(p): i for p, i in number.items() if p > 1}, np.log(after / after.sum(axis=1, keepdims=True)))
     letters = spark.sparkContext.broadcast(model)
-    words = count(_word_counts(letters)).groupBy("a").pivot("b", [0, 1, 2, 3]).agg(F.sum("n"))
+    words = count(rows, _word_counts(letters)).groupBy("a").pivot("b", [0, 1, 2, 3]).agg(F.sum("n"))
     words = words.fillna(0).where(F.col("0") + F.col("1") + F.col("2") + F.col("3") >= SUPPORT).toPandas().sort_values("a")
     keys, table = words["a"].to_numpy(), words[["0", "1", "2", "3"]].to_numpy(dtype=np.float64)
     texts = table[0] if len(keys) and keys[0] == -1 else np.zeros(4)

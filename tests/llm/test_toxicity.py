@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -98,3 +100,52 @@ def test_spaced_words_of_any_learned_length():
 
 def test_readings():
     assert set(tx.readings("aasshole")) == {"aasshole", "asshole", "aashole", "ashole"} and tx.readings("plain") == ["plain"]
+
+
+def test_letters_of_other_scripts(model):
+    plain = "the and of that with thing "
+    texts = [plain + "іdiot and mоrоn", plain + "stupіd", plain + "мир και"]
+    scores, hits = tx.score_texts(pa.array(texts), model)
+    assert min(scores[:2]) > 0.5 > scores[2]
+    assert {"idiot", "moron"} <= {h["word"] for h in hits[0]} and [h["word"] for h in hits[1]] == ["stupid"]
+
+
+def test_long_tokens_are_read_in_parts(model):
+    core = "1d10t.l0$er" * 120
+    start = time.process_time()
+    assert tx.restore([core], model.letters)[0] == "".join("".join(x) for x in tx._decode([core], model.letters))
+    scores, _ = tx.score_texts(pa.array(["x1y2.z3" * 15_000, " ".join("abcdefgh" * 2000)]), model)
+    assert all(map(math.isfinite, scores)) and time.process_time() - start < 30
+
+
+def test_letter_pairs_are_counted_over_all_words():
+    texts = ["the the b4d café, ми aaa", None, "", "The x", "?? 12"]
+    got = {}
+    for part in tx._letter_counts(iter([pa.record_batch({"text": pa.array(texts, pa.string())})])):
+        for row in part.to_pylist():
+            got[row["a"], row["b"]] = got.get((row["a"], row["b"]), 0) + row["n"]
+    want = Counter()
+    for word in ["the", "the", "café", "ми", "the", "x"]:
+        row = [0, *(ord(c) if ord(c) < tx.LETTERS else 1 for c in word), 0]
+        want.update(itertools.pairwise(row))
+    assert got == dict(want)
+    empty = list(tx._letter_counts(iter([pa.record_batch({"text": pa.array(["12", None], pa.string())})])))
+    assert sum(b.num_rows for b in empty) == 0
+
+
+def test_pieces_are_those_of_joined_texts():
+    rng = np.random.default_rng(7)
+    words = ["ab", "abc", "cab", "béa", "abcab", "abbéa", "cababc"]
+    keys = np.sort(np.array([tx.features_of(w)[0] for w in words]))
+    odds = tx.Odds(keys, np.full(len(keys), 5.0))
+    cores = ["a", "b", "c", "ab", "abc", "béa", "cab", "", "zzzzzzzzzz", "x"]
+    text = np.sort(rng.integers(0, 40, 3000))
+    codes = rng.integers(0, len(cores), 3000)
+    got = sorted((t, tuple(p)) for t, p in tx._pieces(text, codes, cores, odds))
+    want = []
+    for s in range(len(codes)):
+        for m in range(2, 7):
+            own = [cores[c] for c in codes[s : s + m]]
+            if len(own) == m and text[s] == text[s + m - 1] and all(own) and "".join(own) in words and set(own) - set(words) and any(len(x) > 1 for x in own):
+                want.append((int(text[s]), tuple(own)))
+    assert got == sorted(want) and want
