@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,42 @@ def test_layouts(wrapper):
     assert ht.main_texts([page], TREE) == [f"A title of six words here\n\n{BODY}\n\n{BODY} & é more\n\n{BODY}"]
 
 
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<iframe src=x>", "<button>", "<canvas/>", "<select>", "<textarea>", "<button><button>Send</button>", "<svg><path d='M0'/></svg>"])
+def test_elements_without_text_that_are_not_closed(odd):
+    page = f"<body><nav><a href=1>Home</a></nav><article><p>{BODY}</p>{odd}<p>{BODY}</p></article><p hidden>x</p></body>"
+    assert ht.main_texts([page], TREE) == [f"{BODY}\n\n{BODY}"]
+
+
+def test_open_scripts_take_the_rest():
+    page = f"<article><p>{BODY}</p><script/><p>{BODY}</p>"
+    assert ht.main_texts([page, page.replace("script/", "style")], TREE) == [BODY, BODY]
+
+
+@pytest.mark.parametrize("name", ["id='film-reviews'", "class='head-line-story'", "class='popular related'", "id=search-forms"])
+def test_names_of_the_whole_article_do_not_empty_it(name):
+    around = "<nav><a href=1>Home</a></nav><div %s><h1>A title of six words here</h1><p>" + BODY + "</p><p>" + BODY + "</p></div>%s<footer>&copy;</footer>"
+    want = f"A title of six words here\n\n{BODY}\n\n{BODY}"
+    assert ht.main_texts([around % (name, "")], TREE) == [want]
+    # Where the page has another article, or the part is the smaller one, the name is believed.
+    own = f"<article><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></article>"
+    assert ht.main_texts([around % (name, own)], TREE) == ["\n\n".join([BODY] * 3)]
+    own = f"<div><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p></div>"
+    assert ht.main_texts([around % (name, own)], TREE) == ["\n\n".join([BODY] * 3)]
+
+
+@pytest.mark.parametrize("heading", ["3 replies", "Comments (12)", "1 Kommentar", "Leave a reply"])
+def test_comments_told_by_their_heading(heading):
+    page = f"<article><h1>A title of six words here</h1><p>{BODY}</p></article><div><h3>{heading}</h3><div><p>{BODY}</p></div><p>{BODY}</p></div><div><p>{BODY}</p></div>"
+    assert ht.main_texts([page], TREE) == [f"A title of six words here\n\n{BODY}\n\n{BODY}"]
+
+
+def test_stray_tags_take_linear_time():
+    start = time.process_time()
+    page = "<div>" * 30_000 + "</ul>" * 30_000 + "<button>" * 30_000 + "<svg>" * 30_000 + f"<article><p>{BODY}</p>"
+    assert ht.main_texts([page], TREE) == [BODY]
+    assert time.process_time() - start < 10
+
+
 def test_edge_rows(spark):
     bad = ["<", "<p", "</x>", "<!-- open", "<script>var a", "<p title='>'>", "&", "<a href=x", "</div></div><nav>"]
     rows = [(1, None, None), (2, "u", ""), (None, "u", f"<article><p>{BODY}"), (3, "u", f"<article><p>{BODY}"), (3, "u", f"<article><p>{BODY}")]
