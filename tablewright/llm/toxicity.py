@@ -36,6 +36,8 @@ STRONG = 2.0
 TOP = 3
 # Longer cores of tokens are restored in parts of PART characters, each with CONTEXT more on both sides.
 LONG_CORE, PART, CONTEXT = 1000, 64, 32
+# Words of up to SEEN_LETTERS letters whose log-odds a task remembers; the others are worked out again.
+SEEN, SEEN_LETTERS = 100_000, 24
 # Single letters in a row that are read as spaced words, and the lengths of words sought in them besides those of strong features.
 SPACED = 2
 SPACED_WORDS = range(4, 13)
@@ -97,6 +99,11 @@ class Odds:
             return np.zeros(len(features), dtype=bool)
         return self.keys[np.minimum(np.searchsorted(self.keys, features), len(self.keys) - 1)] == features
 
+    @cached_property
+    def seen(self) -> dict[str, float]:
+        """The highest log-odds of words met before by this process; at most SEEN short words are kept."""
+        return {}
+
     @cached_property
     def lengths(self) -> list[int]:
         """Lengths of the words sought in spaced letters, ascending."""
@@ -240,7 +247,10 @@ def features_of(word: str) -> list[int]:
     n = len(word)
     if not n:
         return []
-    out = [crc32(word.encode(), WORD) | n << 32]
+    data = word.encode()
+    out = [crc32(data, WORD) | n << 32]
+    if len(data) == n >= 5:
+        return [*out, crc32(data[:4], FOUR) | 4 << 32, crc32(data[:5], FIVE) | 5 << 32]
     if n >= 4:
         out.append(crc32(word[:4].encode(), FOUR) | 4 << 32)
     if n >= 5:
@@ -396,13 +406,20 @@ def word_odds(token: str, word: str, odds: Odds, letters: LetterModel | None = N
 
 def doc_features(tokens: Tokens, odds: Odds, letters: LetterModel | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The highest log-odds of a text's distinct tokens, how many are strong among how many; and the log-odds of each token."""
-    own = [[f for r in readings(w, letters) for f in features_of(r)] if " " not in t else [] for t, w in zip(tokens.tokens, tokens.words, strict=True)]
-    sizes = np.fromiter(map(len, own), np.int64, len(own))
-    scored = np.zeros(len(own))
-    some = sizes > 0
-    if some.any():
+    words = [w if " " not in t else "" for t, w in zip(tokens.tokens, tokens.words, strict=True)]
+    seen = odds.seen
+    fresh = [w for w in dict.fromkeys(words) if w and w not in seen]
+    values = {"": 0.0}
+    if fresh:
+        own = [[f for r in readings(w, letters) for f in features_of(r)] for w in fresh]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
         of_feature = odds.of(np.fromiter((f for x in own for f in x), np.int64, int(sizes.sum())))
-        scored[some] = np.maximum.reduceat(of_feature, (np.cumsum(sizes) - sizes)[some])
+        values |= zip(fresh, np.maximum.reduceat(of_feature, np.cumsum(sizes) - sizes).tolist(), strict=True)
+    scored = np.fromiter((values[w] if w in values else seen[w] for w in words), np.float64, len(words))
+    short = [w for w in fresh if len(w) <= SEEN_LETTERS]
+    if len(seen) + len(short) > SEEN:
+        seen.clear()
+    seen.update((w, values[w]) for w in short[:SEEN])
     for i, token in enumerate(tokens.tokens):
         if " " in token:
             scored[i] = word_odds(token, tokens.words[i], odds, letters)[0]
