@@ -36,7 +36,7 @@ def flat_texts(texts: pa.Array) -> tuple[np.ndarray, bytes]:
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
-    return offsets - offsets[0], data.to_pybytes()[offsets[0] : offsets[-1]] if data is not None else b""
+    return offsets - offsets[0], data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data is not None else b""
 
 
 def pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
