@@ -94,6 +94,23 @@ def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array], column
     return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
+# A value is hot if more than this part of the rows have it, so that at most as many are.
+HOT_KEYS = 1024
+
+
+def join_hot(rows: DataFrame, of_key: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``of_key``, which has one row for each value of ``key``; null where there is none.
+
+    The rows of hot values, at most HOT_KEYS values, stay where they are and meet a broadcast; only the others are dealt by their value, and
+    those without a value not at all. ``rows`` should be a table.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    hot = counts.where(F.col("count") > rows.count() / HOT_KEYS).select(key)
+    few = F.broadcast(written(of_key.join(hot, key), "hot"))
+    others = rows.where(F.col(key).isNotNull()).join(few.select(key), key, "left_anti").join(of_key, key, "left")
+    return rows.join(few, key).unionByName(others).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 # A row's number holds within one scan. Spark may pack files anew in the next, so what applies numbers to another scan takes :func:`numbered`.
 ROW = "_row"
 MARK_BITS = 26

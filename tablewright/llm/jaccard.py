@@ -9,6 +9,10 @@ The groups need no link between documents that are connected already, so pairs a
 class against all its others, which a group of near copies of one text collapses under; when the pairs between unconnected classes have
 become few, or a round connects nothing more, all of them. No link between different groups is left out, and copies are never expanded.
 
+Texts are cut into n-grams twice, for the counters and for the prefixes; the sets of the classes that share a rare n-gram with others are
+written once, for all rounds. What many rows or pairs may share (a class, a group, the class at the centre of a round) is dealt by salted keys
+or broadcast, when so few keys can hold so many rows.
+
 N-grams are 64-bit hashes, sets 128-bit digests of them. The order of rarity comes from shared counters of fixed size filled from all documents:
 any one order finds all links, a finer count only makes fewer candidates.
 """
@@ -22,11 +26,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import packed, sql_schema, unpacked
-from tablewright.llm.common import MARK_BITS, ROW, bounded_batches, is_marked, lean_memory, mark_of, marks, numbered, split_rows, text_slices, with_row, written
+from tablewright.llm.common import ROW, bounded_batches, is_marked, join_hot, lean_memory, mark_of, marks, numbered, split_rows, text_slices, with_row, written
 from tablewright.llm.components import components
 from tablewright.llm.pretokens import distinct, flat_texts
 
@@ -35,12 +39,18 @@ PERCENT = 90
 SIZE = 3
 COUNTER_BITS = 24
 RANGES = 64
+COUNTER_PARTS = 64
 # All pairs between unconnected classes are formed once there are at most so many for each posting.
-PAIRS_PER_POSTING = 4
+PAIRS_PER_POSTING = 0.5
+# Pairs of one class that are verified in one group, about.
+PAIRS_AT_ONCE = 1024
 
-COUNTS = pa.schema({"part": pa.int32(), "at": pa.binary(), "n": pa.binary()})
 LEVELS = pa.schema({"part": pa.int32(), "levels": pa.binary()})
-MEMBERS = pa.schema({ROW: pa.int64(), "doc_id": pa.int64(), "key": pa.binary(), "n": pa.int32(), "ranges": pa.binary()})
+# A document's row has no ``part``; the other rows are counters.
+SEEN = pa.schema({
+    ROW: pa.int64(), "doc_id": pa.int64(), "hash": pa.int64(), "key": pa.binary(), "n": pa.int32(), "ranges": pa.binary(),
+    "part": pa.int32(), "at": pa.binary(), "times": pa.binary(),
+})
 PREFIXES = pa.schema({"bucket": pa.int32(), "grams": pa.binary(), "keys": pa.binary(), "sizes": pa.binary(), "places": pa.binary()})
 POSTINGS = pa.schema({"gram": pa.int64(), "key": pa.binary(), "n": pa.int32(), "pos": pa.int32()})
 SETS = pa.schema({"key": pa.binary(), "grams": pa.binary()})
@@ -104,20 +114,28 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _counts(bits: int, parts: int, size: int):
-    """How often each counter is met, in parts of the counters."""
+def _rows(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
+    """Columns not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _seen(bits: int, parts: int, size: int):
+    """One row for each document, and how often each counter is met, in parts of the counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2**bits // parts
-        for _, sets in _slices(batches, size):
+        for part, sets in _slices(batches, size):
+            ranges = [packed(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype("<u4")) for s in sets]
+            own = {name: part.column(name) for name in (ROW, "doc_id", "hash")}
+            yield _rows(SEEN, **own, key=pa.array(map(set_key, sets), pa.binary()), n=pa.array(map(len, sets), pa.int32()), ranges=pa.array(ranges, pa.binary()))
             grams = np.concatenate([np.empty(0, dtype=np.uint64), *sets])
             at, n = np.unique((grams >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
             ends = np.searchsorted(at, np.arange(parts + 1) * width)
-            rows = []
-            for p in np.flatnonzero(np.diff(ends)).tolist():
-                own = slice(ends[p], ends[p + 1])
-                rows.append((p, packed(np.diff(at[own] - p * width, prepend=0)), packed(n[own])))
-            yield _batch(COUNTS, rows)
+            met = np.flatnonzero(np.diff(ends)).tolist()
+            places = [packed(np.diff(at[ends[p] : ends[p + 1]] - p * width, prepend=0)) for p in met]
+            times = [packed(n[ends[p] : ends[p + 1]]) for p in met]
+            yield _rows(SEEN, part=pa.array(met, pa.int32()), at=pa.array(places, pa.binary()), times=pa.array(times, pa.binary()))
 
     return run
 
@@ -129,17 +147,15 @@ def _levels(width: int):
         lean_memory()
         total = np.zeros(width, dtype=np.float64)
         for row in group.to_pylist():
-            total[np.cumsum(unpacked(row["at"]), dtype=np.int64)] += unpacked(row["n"])
+            total[np.cumsum(unpacked(row["at"]), dtype=np.int64)] += unpacked(row["times"])
         levels = np.minimum(np.log2(total + 1) * 8, 255).astype(np.uint8)
         return pa.table([[group.column("part")[0].as_py()], [levels.tobytes()]], schema=LEVELS)
 
     return run
 
 
-def rarity(texts: DataFrame, bits: int = COUNTER_BITS, size: int = SIZE) -> np.ndarray:
+def rarity(counted: DataFrame, bits: int = COUNTER_BITS, parts: int = COUNTER_PARTS) -> np.ndarray:
     """One byte for each of ``2^bits`` counters: how frequent the shingles are whose hashes begin with it. 16 MB by default, at any input size."""
-    parts = 64
-    counted = texts.mapInArrow(_counts(bits, parts, size), sql_schema(COUNTS))
     levels = counted.groupBy("part").applyInArrow(_levels(2**bits // parts), sql_schema(LEVELS)).collect()
     out = np.zeros((parts, 2**bits // parts), dtype=np.uint8)
     for row in levels:
@@ -156,16 +172,6 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _members(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches, size):
-            ranges = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype("<u4") for s in sets]
-            columns = [part.column(ROW), part.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([packed(r) for r in ranges], pa.binary())], schema=MEMBERS)
-
-    return run
-
-
 def _prefixes(levels, buckets: int, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - int(len(levels.value)).bit_length() + 1)
@@ -252,27 +258,14 @@ def _has_partner(sizes: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int
     return able
 
 
-def _mark(key: bytes, doc_id: int | None) -> int:
-    """As :func:`class_marks` has it: Spark's xxhash64 starts from 42."""
-    return xxhash.xxh64_intdigest(key + (b"" if doc_id is None else str(doc_id).encode()), 42) >> (64 - MARK_BITS)
-
-
-def class_marks(classes: DataFrame) -> np.ndarray:
-    """Marks of every ``key`` with the ``doc`` that stands for it. Others that share a mark only cost their transport."""
-    named = F.xxhash64(F.concat("key", F.encode(F.coalesce(F.col("doc").cast("string"), F.lit("")), "utf-8")))
-    return marks(classes.select(mark_of(named).alias("at")))
-
-
 def _sets(asked, size: int):
+    """The sets of the documents whose hash is marked; the others' texts are not cut."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches, size):
-            found = {}
-            for doc_id, own in zip(part.column("doc_id").to_pylist(), sets, strict=True):
-                if len(own):
-                    key = set_key(own)
-                    if is_marked(asked.value, np.array([_mark(key, doc_id)]))[0]:
-                        found[key] = own.tobytes()
-            yield _batch(SETS, list(found.items()))
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index("at")).to_numpy()
+            for _, sets in _slices(iter([batch.filter(pa.array(is_marked(asked.value, at)))]), size):
+                yield _batch(SETS, list({set_key(s): s.tobytes() for s in sets if len(s)}.items()))
 
     return run
 
@@ -301,7 +294,7 @@ def _verify(percent: int):
             return PAIR.empty_table()
         mine = np.frombuffer(own.column("grams")[0].as_py(), dtype=np.uint64)
         rows = []
-        for a, b, grams in zip(others.column("a").to_pylist(), others.column("b").to_pylist(), others.column("theirs"), strict=True):
+        for a, b, grams in zip(others.column("of").to_pylist(), others.column("b").to_pylist(), others.column("theirs"), strict=True):
             theirs = np.frombuffer(grams.as_py(), dtype=np.uint64)
             shared = len(np.intersect1d(mine, theirs, assume_unique=True))
             if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
@@ -319,33 +312,39 @@ class Classes:
     labels: DataFrame
 
 
-def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of unconnected classes that share a shingle and pass the length and positional filters there."""
+def _able(x: DataFrame, y: DataFrame, percent: int, once: Column) -> DataFrame:
+    """Distinct pairs ``a`` of x and ``b`` of y, unconnected classes that share a shingle and pass the length and positional filters there."""
     both = x.alias("x").join(y.alias("y"), F.col("x.gram") == F.col("y.gram"))
     size = F.col("x.n") + F.col("y.n")
     shared = F.ceil(size * percent / (100 + percent))
     long_enough = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     in_place = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= shared
-    kept = both.where((F.col("x.label") != F.col("y.label")) & long_enough & in_place)
-    return kept.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    kept = both.where((F.col("x.label") != F.col("y.label")) & once & long_enough & in_place)
+    return kept.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Classes:
     """The classes of equal sets of ``docs``, which have row numbers, and which of them links connect."""
     texts = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Known by what they hold, rows are found again however a later scan deals them.
+    texts = texts.withColumn("hash", F.xxhash64("doc_id", "text"))
     bounded_batches(texts)
     spark, buckets = docs.sparkSession, 2 * max(1, texts.rdd.getNumPartitions())
-    members = written(texts.mapInArrow(_members(size), sql_schema(MEMBERS)), "members")
-    levels = spark.sparkContext.broadcast(rarity(texts, size=size))
-    prefixes = texts.mapInArrow(_prefixes(levels, buckets, size, percent), sql_schema(PREFIXES))
+    seen = written(texts.mapInArrow(_seen(COUNTER_BITS, COUNTER_PARTS, size), sql_schema(SEEN)), "members")
+    members = seen.where("part IS NULL").select(ROW, "doc_id", "hash", "key", "n", "ranges")
+    levels = spark.sparkContext.broadcast(rarity(seen.where("part IS NOT NULL").select("part", "at", "times")))
+    prefixes = texts.select("text").mapInArrow(_prefixes(levels, buckets, size, percent), sql_schema(PREFIXES))
     postings = written(prefixes.groupBy("bucket").applyInArrow(_shared(percent), sql_schema(POSTINGS)), "postings")
-    classes = members.join(postings.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("ranges").alias("ranges"))
+    levels.unpersist()
+    own = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.min("hash").alias("hash"), F.first("ranges").alias("ranges"))
     # Numbers take less room than digests in all that follows.
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = own.join(postings.select("key").distinct(), "key", "left_semi").withColumn("id", F.monotonically_increasing_id())
+    classes = written(classes, "classes")
     labels = classes.select("id", F.col("id").alias("label"))
     live = written(postings.join(classes.select("key", "id", "doc"), "key").drop("key"), "live")
+    sets = None if live.isEmpty() else _class_sets(texts, classes, size)
     links, last = None, False
-    while True:
+    while sets is not None:
         labelled = written(live.join(labels, "id"), "labelled")
         sizes = labelled.groupBy("gram", "label").count().groupBy("gram").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
         work = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
@@ -353,12 +352,12 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> C
             break
         last = last or work[1] <= PAIRS_PER_POSTING * work[0]
         if last:
-            pairs = _pairs(labelled, labelled, percent)
+            pairs = _able(labelled, labelled, percent, F.col("x.id") < F.col("y.id"))
         else:
             first = labelled.groupBy("gram").agg(F.min(F.struct("doc", "id", "n", "pos", "label")).alias("p")).select("gram", "p.*")
-            pairs = _pairs(first, labelled, percent)
+            pairs = _able(first, labelled, percent, F.lit(True))
             live = written(labelled.join(first.select("gram", "id"), ["gram", "id"], "left_anti").drop("label"), "live")
-        found = _linked(texts, classes, pairs, size, percent)
+        found = _linked(sets, classes, pairs, percent)
         if found is not None:
             links = found if links is None else links.unionAll(found)
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -370,27 +369,31 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> C
     return Classes(members, classes.select("key", "id").join(labels, "id").select("key", "label"))
 
 
-def _linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """The pairs that link, by the suffix filter and then the whole sets, which are read again for the classes still asked for."""
-    ranges = lambda side: classes.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}"), F.col("ranges").alias(f"ranges_{side}"))
-    able = written(pairs.join(ranges("a"), "a").join(ranges("b"), "b").mapInArrow(_suffix_filter(percent), sql_schema(PAIR)), "pairs")
-    if able.isEmpty():
-        return None
-    asked = classes.join(able.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    marked = texts.sparkSession.sparkContext.broadcast(class_marks(asked))
-    sets = written(texts.mapInArrow(_sets(marked, size), sql_schema(SETS)), "sets")
-    keys = lambda side: classes.select(F.col("id").alias(side), F.col("key").alias(f"key_{side}"))
-    carried = able.join(keys("a"), "a").join(keys("b"), "b").join(sets.select(F.col("key").alias("key_b"), F.col("grams").alias("theirs")), "key_b")
-    found = sets.groupBy("key").cogroup(carried.select("key_a", "a", "b", "theirs").groupBy("key_a")).applyInArrow(_verify(percent), sql_schema(PAIR))
-    found = written(found.distinct(), "links")
-    return None if found.isEmpty() else found
+def _class_sets(texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """``id, grams`` of the classes, each from one of its documents, whose text is read again."""
+    marked = texts.sparkSession.sparkContext.broadcast(marks(classes.select(mark_of(F.col("hash")).alias("at"))))
+    read = texts.select("text", mark_of(F.col("hash")).alias("at")).mapInArrow(_sets(marked, size), sql_schema(SETS))
+    one = read.groupBy("key").agg(F.first("grams").alias("grams"))
+    sets = written(one.join(classes.select("key", "id"), "key").select("id", "grams"), "sets")
+    marked.unpersist()
+    return sets
 
 
-def labelled_members(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``_row, doc_id, n, label`` of ``docs``, which have row numbers: rows with one label are connected; rows without words have none."""
-    classes = link_classes(docs, size, percent)
-    labelled = classes.members.select(ROW, "doc_id", "key", "n").join(classes.labels, "key", "left")
-    return labelled.select(ROW, "doc_id", "n", F.coalesce(F.concat(F.lit("c"), F.col("label").cast("string")), F.hex("key")).alias("label"))
+def _linked(sets: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame | None:
+    """The pairs that link, by the suffix filter and then the whole sets. Many pairs may share ``a``."""
+    ranges = lambda side: classes.select(F.col("id").alias(side), F.col("ranges").alias(f"ranges_{side}"))
+    carried = join_hot(written(pairs, "candidates"), ranges("a"), "a").join(ranges("b"), "b")
+    able = written(carried.select("a", "b", "ranges_a", "ranges_b").mapInArrow(_suffix_filter(percent), sql_schema(PAIR)), "pairs")
+    count = able.count()
+    if not count:
+        return None
+    dealt = able.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(1 + count // PAIRS_AT_ONCE)))
+    mine = dealt.select("a", "deal").distinct().join(sets.withColumnRenamed("id", "a"), "a")
+    theirs = dealt.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("theirs")), "b")
+    theirs = theirs.select(F.col("a").alias("of"), F.col("deal").alias("dealt"), "b", "theirs")
+    found = mine.groupBy("a", "deal").cogroup(theirs.groupBy("of", "dealt")).applyInArrow(_verify(percent), sql_schema(PAIR))
+    found = written(found, "links")
+    return None if found.isEmpty() else found
 
 
 def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -400,10 +403,14 @@ def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     linked with nothing and keep their own id. Rows that share an id are judged one by one; a missing id is never the smallest unless
     a group has no other. ``docs`` must be a stable scan, since texts are read again rather than stored.
     """
-    labelled = labelled_members(with_row(docs), size, percent)
-    least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    found = link_classes(with_row(docs), size, percent)
+    members = found.members.select("doc_id", "key", "n")
+    own = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"))
+    groups = own.join(found.labels, "key").groupBy("label").agg(F.min("doc").alias("least"))
+    grouped = join_hot(found.labels, groups, "label").select("key", "least")
+    least = written(own.join(grouped, "key", "left").select("key", F.coalesce("least", "doc").alias("least")), "least")
+    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return join_hot(members, least, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -412,9 +419,11 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     Rows without words are no copies of each other and stay.
     """
     rows = numbered(docs)
-    labelled = labelled_members(rows, size, percent).where("label IS NOT NULL")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
-    kept = labelled.groupBy("label").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    dropped = written(labelled.select(ROW).join(kept, ROW, "left_anti"), "dropped")
+    found = link_classes(rows, size, percent)
+    worded = found.members.where("key IS NOT NULL")
+    firsts = worded.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    group = F.coalesce(F.concat(F.lit("c"), F.col("label").cast("string")), F.hex("key"))
+    kept = firsts.join(found.labels, "key", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    dropped = written(worded.select(ROW).join(kept, ROW, "left_anti"), "dropped")
     doubtful, others = split_rows(rows, dropped)
     return others.select(*docs.columns).unionAll(doubtful.join(dropped, ROW, "left_anti").select(*docs.columns))
