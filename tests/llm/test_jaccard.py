@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tablewright.llm import jaccard
+from tablewright.llm import common, jaccard
 from tablewright.llm.components import components
 from tablewright.llm.queries import op4_ngram_jaccard
 from tests.llm.test_pipeline import groups, shingles
@@ -107,3 +107,20 @@ def test_all_links_are_found_at_other_thresholds(spark, monkeypatch, most):
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.component_id for r in jaccard.similar_documents(docs, 5, 80).orderBy("doc_id").collect()] == root
+
+
+def test_a_centre_of_many_pairs_is_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 4)
+    rows = near_copies(5, 1, 40, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar_documents(docs).collect()) == brute(rows)
+
+
+def test_join_of_hot_keys(spark, monkeypatch):
+    """Hot, rare, unknown and missing keys, and no rows at all, against a plain left join."""
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else None if i % 3 else f"k{i}") for i in range(60)], "i int, key string")
+    of_key = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(0, 60, 12))], "key string, v int")
+    plain = lambda df: sorted(map(str, df.select("i", "key", "v").collect()))
+    assert plain(common.join_hot(rows, of_key, "key")) == plain(rows.join(of_key, "key", "left"))
+    assert plain(common.join_hot(rows.where("false"), of_key, "key")) == []
