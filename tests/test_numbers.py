@@ -63,3 +63,28 @@ def test_text_rules(spark):
     assert values(spark, ["Émile's 2nd—try_1!?"], text.tokens) == [["émile", "'", "s", "2nd", "—", "try_1", "!?"]]
     assert values(spark, [r"a\nb|c\pd\\e"], text.unescape_list) == [["a\nb", "c|d\\e"]]
     assert values(spark, ["select * from w where c not null"], text.clean_query_text) == ["select id from w where c is not null"]
+
+
+def test_float_pattern_gives_nothing_back(spark):
+    texts = ["1_2_3.4_5e6_7", "1_2_", "1._5", "infinity", "Infinit", "\t1.\n", "1e+", "+.5E-3", "1..2", "12e5x", "__1", ".", "5\n\n", "9" * 400 + "x"]
+    assert [str(v) for v in values(spark, texts, numbers.to_float)] == [str(python_float(t)) for t in texts]
+
+
+def test_a_cell_is_read_as_a_number_once(spark):
+    from tablewright.operators.typing import identify_cells
+
+    cells = spark.createDataFrame([(t,) for t in [*TEXTS, None]], "raw string").repartition(2)
+    typed = identify_cells(cells)
+    assert typed.columns == ["raw", "kind", "num", "value"]
+    assert typed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    got = {r["raw"]: str(r["num"]) for r in typed.collect()}
+    assert all(got[t] == str(python_float(t)) for t in TEXTS) and got[None] == "None"
+
+
+def test_only_cells_with_a_mark_of_dates_are_parsed(spark):
+    from tablewright.operators.typing import to_timestamp
+
+    texts = ["2001-02-03", " 2001/2/3 ", "3 Mar 2001", "Mar 2001", "2001-02-03T04:05", "20010203", "12345678.25", "1,234,567", "abcdefgh ij"]
+    plan = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_timestamp(F.col("t")).alias("at"))
+    assert "contains(t" in plan._jdf.queryExecution().analyzed().toString().lower()
+    assert [r["t"] for r in plan.collect() if r["at"] is not None] == texts[:5]
