@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.bpe import sql_schema
 from tablewright.llm.common import bounded_batches, filtered, text_slices
 from tablewright.llm.jaccard import words_of
-from tablewright.llm.pretokens import distinct
+from tablewright.llm.pretokens import distinct, flat_texts
 
 # Labelled documents that a model is learned from, about; they are chosen by a hash of their id.
 TRAINING_DOCS = 20_000
@@ -38,6 +38,8 @@ TOP = 3
 LONG_CORE, PART, CONTEXT = 1000, 64, 32
 # Words of up to SEEN_LETTERS letters whose log-odds a task remembers; the others are worked out again.
 SEEN, SEEN_LETTERS = 100_000, 24
+# Words of up to so many letters a to z are read all at once, as bytes.
+SIMPLE = 32
 # Single letters in a row that are read as spaced words, and the lengths of words sought in them besides those of strong features.
 SPACED = 2
 SPACED_WORDS = range(4, 13)
@@ -270,9 +272,139 @@ def readings(word: str, letters: LetterModel | None = None) -> list[str]:
     return ["".join(x) for x in product(*runs)]
 
 
+# What a zero byte does to a crc32, by its lowest byte.
+CRC_STEPS = np.array([crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], dtype=np.uint32)
+
+
+def _crc_after(first: np.ndarray) -> np.ndarray:
+    """A crc32 register after one more zero byte."""
+    return (first >> np.uint32(8)) ^ CRC_STEPS[first & np.uint32(0xFF)]
+
+
+def _crc_tables(sizes: int) -> np.ndarray:
+    """What 0, 1, ... zero bytes do to each byte of a crc32: a row of 4 times 256 values for each number of them. The bytes' shares add up by xor."""
+    rows = [(np.arange(256, dtype=np.uint32)[None, :] << np.uint32(8) * np.arange(4, dtype=np.uint32)[:, None]).reshape(-1)]
+    for _ in range(sizes):
+        rows.append(_crc_after(rows[-1]))
+    return np.concatenate(rows)
+
+
+# Texts of up to so many bytes are appended in one step.
+CRC_SIZES = 64
+CRC_TABLES = _crc_tables(CRC_SIZES)
+
+
+def _crc_joined(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The crc32 of texts with others appended, from the crc32 of both; ``sizes`` are the bytes appended."""
+    left, first = sizes.copy(), first.copy()
+    while (rows := np.flatnonzero(left > CRC_SIZES)).size:
+        first[rows] = _crc_moved(first[rows], np.full(len(rows), CRC_SIZES))
+        left[rows] -= CRC_SIZES
+    return _crc_moved(first, left) ^ second
+
+
+def _crc_moved(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    at, low = sizes * 1024, np.uint32(0xFF)
+    out = CRC_TABLES[at + (first & low)]
+    for byte in (1, 2, 3):
+        out ^= CRC_TABLES[at + byte * 256 + ((first >> np.uint32(8 * byte)) & low)]
+    return out
+
+
+def _crc_of(raw: np.ndarray, first: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """The crc32 of the bytes of ``raw`` from each place on, ``sizes`` of them."""
+    order = np.argsort(-sizes, kind="stable")
+    at, longer = first[order], np.cumsum(np.bincount(sizes, minlength=1)[::-1])[::-1]
+    own = np.full(len(sizes), seed ^ 0xFFFFFFFF, dtype=np.uint32)
+    for size in range(int(sizes.max(initial=0))):
+        n = int(longer[size + 1])
+        own[:n] = _crc_after(own[:n] ^ raw[at[:n] + size])
+    out = np.empty_like(own)
+    out[order] = own ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
+@dataclass
+class Spellings:
+    """Tokens with their cores. ``simple`` cores are plain ones of 1 to SIMPLE letters a to z: so many bytes of ``raw`` as they have letters, from ``first`` on."""
+
+    tokens: list[str]
+    cores: list[str]
+    plain: np.ndarray
+    simple: np.ndarray
+    single: np.ndarray
+    sizes: np.ndarray
+    raw: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, known: pa.Array) -> Spellings:
+        """Of distinct tokens, by rules on bytes where all characters are ASCII, by :func:`core_of` and :func:`is_plain` for the others."""
+        tokens = known.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        bounds, data = flat_texts(known)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        begin, end = bounds[:-1].astype(np.int64), bounds[1:].astype(np.int64)
+        before = lambda x: np.concatenate([[0], np.cumsum(x)])
+        letter = (raw >= 97) & (raw <= 122)
+        inner = letter | ((raw >= 48) & (raw <= 57)) | np.isin(raw, [ord(c) for c in KEPT_AT_EDGES])
+        other = before((raw >= 128) | ((raw >= 65) & (raw <= 90)))
+        places = np.flatnonzero(inner)
+        low, high = np.searchsorted(places, begin), np.searchsorted(places, end)
+        easy = (other[end] == other[begin]) & (high > low)
+        first, last = begin.copy(), end.copy()
+        first[easy], last[easy] = places[low[easy]], places[high[easy] - 1] + 1
+        cores = tokens.copy()
+        for i in np.flatnonzero(easy & ((first > begin) | (last < end))).tolist():
+            cores[i] = tokens[i][first[i] - begin[i] : last[i] - begin[i]]
+        for i in np.flatnonzero(~easy).tolist():
+            cores[i] = core_of(tokens[i])
+        alike = np.zeros(len(raw) + 1, dtype=bool)
+        alike[2:-1] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
+        letters, alike = before(letter), before(alike)
+        # Places from the third letter of the core on.
+        sizes = last - first
+        simple = easy & (sizes <= SIMPLE) & (letters[last] - letters[first] == sizes) & (alike[last] == alike[np.minimum(first + 2, last)])
+        plain = simple.copy()
+        rest = np.flatnonzero(~simple).tolist()
+        plain[rest] = [is_plain(cores[i]) for i in rest]
+        sizes[rest] = [len(cores[i]) for i in rest]
+        return cls(tokens, cores, plain, simple, sizes == 1, sizes, raw, first)
+
+    @classmethod
+    def listed(cls, cores: list[str]) -> Spellings:
+        """Of given cores, none taken as simple."""
+        none = np.zeros(len(cores), dtype=bool)
+        sizes = np.fromiter(map(len, cores), np.int64, len(cores))
+        return cls(cores, cores, none, none, sizes == 1, sizes, np.empty(0, dtype=np.uint8), np.zeros(len(cores), dtype=np.int64))
+
+    def crcs(self, rows: np.ndarray, seed: int) -> np.ndarray:
+        """The crc32 of the cores at ``rows``."""
+        out = np.zeros(len(rows), dtype=np.uint32)
+        simple = self.simple[rows]
+        own = rows[simple]
+        out[simple] = _crc_of(self.raw, self.first[own], self.sizes[own], seed)
+        out[~simple] = [crc32(self.cores[i].encode(), seed) for i in rows[~simple].tolist()]
+        return out
+
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Simple cores without doubled letters, which have one reading, and their :func:`features_of` in rows of three; -2 where there are fewer."""
+        double = np.zeros(len(self.raw) + 1, dtype=np.int64)
+        double[2:] = np.cumsum(self.raw[1:] == self.raw[:-1])
+        rows = np.flatnonzero(self.simple)
+        first, sizes = self.first[rows], self.sizes[rows]
+        once = double[first + sizes] == double[first + 1]
+        rows, first, sizes = rows[once], first[once], sizes[once]
+        out = np.full((len(rows), 3), -2, dtype=np.int64)
+        out[:, 0] = self.crcs(rows, WORD).astype(np.int64) | sizes << 32
+        for column, (letters, seed) in enumerate(((4, FOUR), (5, FIVE)), 1):
+            own = sizes >= letters
+            out[own, column] = _crc_of(self.raw, first[own], np.full(int(own.sum()), letters), seed).astype(np.int64) | letters << 32
+        return rows, out
+
+
 @dataclass
 class Tokens:
-    """The tokens of several texts as codes, texts' ends, and for each distinct token its text, its restored word and its feature numbers.
+    """The tokens of several texts as codes, texts' ends, and for each distinct token its text and its restored word; ``spelled`` are those of the texts.
 
     Letters set apart by blanks are added to their text as one more token, and so are pieces of a learned word.
     """
@@ -281,51 +413,42 @@ class Tokens:
     counts: np.ndarray
     tokens: list[str]
     words: list[str]
+    spelled: Spellings
 
 
-# What a zero byte does to a crc32, by its lowest byte.
-CRC_STEPS = np.array([crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], dtype=np.uint32)
-
-
-def _crc_joined(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The crc32 of texts with others appended, from the crc32 of both; ``sizes`` are the bytes appended."""
-    first = first.copy()
-    rows = np.arange(len(first))
-    for size in range(int(sizes.max(initial=0))):
-        rows = rows[sizes[rows] > size]
-        own = first[rows]
-        first[rows] = (own >> np.uint32(8)) ^ CRC_STEPS[own & np.uint32(0xFF)]
-    return first ^ second
-
-
-def _pieces(text: np.ndarray, codes: np.ndarray, cores: list[str], odds: Odds) -> Iterator[tuple[int, list[str]]]:
+def _pieces(text: np.ndarray, codes: np.ndarray, cores: list[str], odds: Odds, spelled: Spellings | None = None) -> Iterator[tuple[int, list[str]]]:
     """Tokens in a row, with the number of their text, that are learned words when joined, though not each is one alone.
 
     What is joined is known by its feature number alone, which follows from those of the pieces; only learned words are put together.
     """
+    spelled = spelled or Spellings.listed(cores)
+    sizes = spelled.sizes
     strong = odds.keys[odds.values > STRONG] >> 32
     longest = int(strong.max()) if len(strong) else 0
-    sizes = np.fromiter(map(len, cores), np.int64, len(cores))
-    encoded = [c.encode() if n < longest else b"" for c, n in zip(cores, sizes.tolist(), strict=True)]
-    width = np.fromiter(map(len, encoded), np.int64, len(cores))
-    alone = np.fromiter(map(crc32, encoded), np.uint32, len(cores))
-    as_word = np.fromiter((crc32(e, WORD) for e in encoded), np.uint32, len(cores))
+    short = np.flatnonzero(sizes < longest)
+    width = np.where(sizes < longest, sizes, 0)
+    uneven = short[~spelled.simple[short]].tolist()
+    width[uneven] = [len(cores[i].encode()) for i in uneven]
+    alone, as_word = np.zeros(len(cores), dtype=np.uint32), np.full(len(cores), WORD, dtype=np.uint32)
+    alone[short], as_word[short] = spelled.crcs(short, 0), spelled.crcs(short, WORD)
     ordinary = odds.known(np.where((sizes > 0) & (sizes < longest), as_word.astype(np.int64) | sizes << 32, -2))
     fits = np.zeros(longest + 1, dtype=bool)
     fits[strong] = True
     sum_of = lambda x: np.concatenate([[0], np.cumsum(x[codes])])
     ends, strange, several = sum_of(sizes), sum_of(~ordinary), sum_of(sizes != 1)
-    blank = sum_of(sizes == 0)
+    # Where the tokens that may be joined with each one end: at most ``longest`` letters of one text, up to a token without any.
+    blanks = np.append(np.flatnonzero(sizes[codes] == 0), len(codes))
     at = np.arange(len(codes))
-    crc = as_word[codes]
+    until = np.minimum(np.searchsorted(ends, ends[:-1] + longest, side="right") - 1, np.searchsorted(text, text, side="right"))
+    until = np.minimum(until, blanks[np.searchsorted(blanks, at)])
+    at = at[(until - at >= 2) & (strange[until] > strange[at]) & (several[until] > several[at])]
+    until, crc = until[at], as_word[codes[at]]
     for m in range(2, longest + 1):
-        over = lambda x: x[at + m] - x[at]  # noqa: B023, E731
-        inside = at + m <= len(codes)
-        at, crc = at[inside], crc[inside]
-        inside = (over(ends) <= longest) & (over(blank) == 0) & (text[at] == text[at + m - 1])
-        at, crc = at[inside], crc[inside]
+        inside = at + m <= until
+        at, until, crc = at[inside], until[inside], crc[inside]
         if not len(at):
             break
+        over = lambda x: x[at + m] - x[at]  # noqa: B023, E731
         last = codes[at + m - 1]
         crc = _crc_joined(crc, alone[last], width[last])
         joined = over(ends)
@@ -339,21 +462,26 @@ def tokens_of(texts: pa.Array, letters: LetterModel | None, odds: Odds | None =
     """Without a letter model (while it is learned) only plain tokens have words; pieces of words are joined where log-odds are known."""
     words, counts = words_of(texts)
     codes, known = distinct(words)
-    tokens = known.cast(pa.large_string()).to_pylist()
-    cores = [core_of(t) for t in tokens]
-    single = np.fromiter((len(c) == 1 for c in cores), bool, len(cores))[codes] if len(codes) else np.empty(0, dtype=bool)
+    spelled = Spellings.of(known)
+    tokens, cores = spelled.tokens.copy(), spelled.cores
+    single = spelled.single[codes]
     text = np.repeat(np.arange(len(counts)), counts)
     edges = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
     spaced: list[tuple[int, list[str]]] = []
-    for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    several = end - begin >= SPACED
+    for a, b in zip(begin[several].tolist(), end[several].tolist(), strict=True):
         for lo, hi in _within_texts(text, a, b):
             if hi - lo >= SPACED:
                 spaced.append((int(text[lo]), [cores[c] for c in codes[lo:hi]]))
     if odds is not None:
-        spaced += _pieces(text, codes, cores, odds)
-    result = [c if is_plain(c) else "" for c in cores]
+        spaced += _pieces(text, codes, cores, odds, spelled)
+    result = cores.copy()
+    rest = np.flatnonzero(~spelled.plain).tolist()
+    for i in rest:
+        result[i] = ""
     if letters is not None:
-        odd = [i for i, c in enumerate(cores) if c and not result[i] and not c.isdigit()]
+        odd = [i for i in rest if cores[i] and not cores[i].isdigit()]
         for i, word in zip(odd, restore([cores[i] for i in odd], letters), strict=True):
             result[i] = word
         seen: dict[str, int] = {}
@@ -375,7 +503,7 @@ def tokens_of(texts: pa.Array, letters: LetterModel | None, odds: Odds | None =
             restored = restore(joined_of, letters)
             for apart, word in zip(seen, restored, strict=True):
                 result[seen[apart]] = word
-    return Tokens(codes, counts, tokens, result)
+    return Tokens(codes, counts, tokens, result, spelled)
 
 
 def _within_texts(text: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -406,7 +534,17 @@ def word_odds(token: str, word: str, odds: Odds, letters: LetterModel | None = N
 
 def doc_features(tokens: Tokens, odds: Odds, letters: LetterModel | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The highest log-odds of a text's distinct tokens, how many are strong among how many; and the log-odds of each token."""
-    words = [w if " " not in t else "" for t, w in zip(tokens.tokens, tokens.words, strict=True)]
+    scored = np.zeros(len(tokens.tokens))
+    rows, features = tokens.spelled.features()
+    scored[rows] = odds.of(features.reshape(-1)).reshape(-1, 3).max(axis=1) if len(rows) else 0.0
+    # A feature that a short word does not have is no value of 0 beside the others.
+    for n in (1, 2):
+        fewer = (features >= 0).sum(axis=1) == n
+        scored[rows[fewer]] = odds.of(features[fewer, :n].reshape(-1)).reshape(-1, n).max(axis=1)
+    left = np.ones(len(scored), dtype=bool)
+    left[rows] = False
+    others = np.flatnonzero(left)
+    words = [tokens.words[i] if " " not in tokens.tokens[i] else "" for i in others.tolist()]
     seen = odds.seen
     fresh = [w for w in dict.fromkeys(words) if w and w not in seen]
     values = {"": 0.0}
@@ -415,14 +553,14 @@ def doc_features(tokens: Tokens, odds: Odds, letters: LetterModel | None = None)
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         of_feature = odds.of(np.fromiter((f for x in own for f in x), np.int64, int(sizes.sum())))
         values |= zip(fresh, np.maximum.reduceat(of_feature, np.cumsum(sizes) - sizes).tolist(), strict=True)
-    scored = np.fromiter((values[w] if w in values else seen[w] for w in words), np.float64, len(words))
+    scored[others] = [values[w] if w in values else seen[w] for w in words]
     short = [w for w in fresh if len(w) <= SEEN_LETTERS]
     if len(seen) + len(short) > SEEN:
         seen.clear()
     seen.update((w, values[w]) for w in short[:SEEN])
-    for i, token in enumerate(tokens.tokens):
-        if " " in token:
-            scored[i] = word_odds(token, tokens.words[i], odds, letters)[0]
+    for i in others.tolist():
+        if " " in tokens.tokens[i]:
+            scored[i] = word_odds(tokens.tokens[i], tokens.words[i], odds, letters)[0]
     out = np.zeros((len(tokens.counts), TOP + 2))
     stop = 0
     for row, count in enumerate(tokens.counts.tolist()):
@@ -442,8 +580,8 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for part in text_slices(batch, "text"):
             codes, known = distinct(words_of(part.column("text"))[0])
             times = np.bincount(codes, minlength=len(known))
-            cores = [core_of(t) for t in known.cast(pa.large_string()).to_pylist()]
-            plain = np.fromiter(map(is_plain, cores), bool, len(cores))
+            spelled = Spellings.of(known)
+            cores, plain = spelled.cores, spelled.plain
             words = "\0".join(["", *(c for c, p in zip(cores, plain.tolist(), strict=True) if p), ""])
             points = np.frombuffer(words.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
             points[points >= LETTERS] = 1
@@ -561,9 +699,9 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[di
     scores = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
     hits, stop = [], 0
     for count in tokens.counts.tolist():
-        own = np.unique(tokens.codes[stop : stop + count])
+        own = tokens.codes[stop : stop + count]
         stop += count
-        strong = own[scored[own] > STRONG].tolist() if count else []
+        strong = np.unique(own[scored[own] > STRONG]).tolist() if count else []
         hits.append([{"token": tokens.tokens[c], "word": word_odds(tokens.tokens[c], tokens.words[c], model.odds, model.letters)[1]} for c in strong])
     return scores, hits
 

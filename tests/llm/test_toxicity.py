@@ -149,3 +149,40 @@ def test_pieces_are_those_of_joined_texts():
             if len(own) == m and text[s] == text[s + m - 1] and all(own) and "".join(own) in words and set(own) - set(words) and any(len(x) > 1 for x in own):
                 want.append((int(text[s]), tuple(own)))
     assert got == sorted(want) and want
+
+
+def test_simple_words_are_read_as_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    simple = ["".join(rng.choice(list("abcdexyz"), rng.integers(1, 12)).tolist()) for _ in range(3000)]
+    odd = ["", "..", "@", "a@", "(b4d)", "aaab", "baaa", "xaab", "béa", "İs", "мир", "b" * 40, "ab" * 16, "ab" * 17, "1", "$$$", "-aa-", "...ab,", "a.b", "ﬁx.", "aa.a", "a_", "ab" * 3000]
+    tokens = list(dict.fromkeys([*odd, *simple, *(f"({w})," for w in simple[:500])]))
+    words = [tx.core_of(t) for t in tokens]
+    keys = np.unique([f for w in words[::3] for f in tx.features_of(w)])
+    odds = tx.Odds(keys, rng.normal(0, 3, len(keys)))
+    spelled = tx.Spellings.of(pa.array([t.encode() for t in tokens], pa.large_binary()))
+    assert spelled.cores == words and spelled.plain.tolist() == [tx.is_plain(w) for w in words] and spelled.sizes.tolist() == [len(w) for w in words]
+    rows, features = spelled.features()
+    assert len(rows) > 1000
+    for row, own in zip(rows.tolist(), features.tolist(), strict=True):
+        assert [f for f in own if f >= 0] == tx.features_of(words[row]) and tx.readings(words[row]) == [words[row]]
+    letters = tx.LetterModel({c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz", 2)}, np.zeros((28, 28)))
+    got = tx.tokens_of(pa.array([" ".join(t for t in tokens if t)]), letters)
+    _, scored = tx.doc_features(got, odds, letters)
+    assert scored.tolist() == [tx.word_odds(t, w, odds, letters)[0] for t, w in zip(got.tokens, got.words, strict=True)]
+
+    def refused(*_):
+        raise AssertionError("a simple word was read one by one")
+
+    for name in ("core_of", "is_plain", "features_of", "readings"):
+        monkeypatch.setattr(tx, name, refused)
+    simple = [w for w in simple if len(w) > 1 and not tx.TWO_ALIKE.search(w)]
+    weak = tx.Odds(keys, np.ones(len(keys)))
+    tx.doc_features(tx.tokens_of(pa.array([" ".join(simple)]), letters, weak), weak, letters)
+
+
+def test_crcs_of_joined_bytes():
+    rng = np.random.default_rng(5)
+    pairs = [(rng.bytes(int(rng.integers(0, 9))), rng.bytes(int(n))) for n in [0, 1, 63, 64, 65, 128, 200, *rng.integers(0, 70, 50)]]
+    first, second = (np.array([tx.crc32(x) for x in side], dtype=np.uint32) for side in zip(*pairs, strict=True))
+    got = tx._crc_joined(first, second, np.array([len(b) for _, b in pairs]))
+    assert got.tolist() == [tx.crc32(a + b) for a, b in pairs]
