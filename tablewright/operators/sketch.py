@@ -102,7 +102,10 @@ def matches(sketches: DataFrame, rows: DataFrame) -> DataFrame:
     looked = F.array(place(at["col"], no, _value_hash(at["is_real"], at["num"], at["words"])), place(at["col"], yes, none))
     posts = probed.select("*", F.inline(F.when(at.isNull(), F.array(whole)).otherwise(looked))).drop("lookup")
     wanted = F.collect_set(F.struct(at["col"].alias("col"), at["is_real"].alias("is_real")))
-    columns = probed.groupBy("table_id").agg(F.filter(wanted, lambda c: c["col"].isNotNull()).alias("wanted"), F.bool_or(at.isNull()).alias("scanned"))
+    read = F.collect_set(F.sort_array(F.array_distinct(F.array_append(F.transform("bound", lambda c: c["col"]), F.col("sel")))))
+    columns = probed.groupBy("table_id").agg(
+        F.filter(wanted, lambda c: c["col"].isNotNull()).alias("wanted"), F.bool_or(at.isNull()).alias("scanned"), F.array_distinct(F.flatten(read)).alias("read")
+    )
 
     def posted(c: Column) -> Column:
         cell = F.get("cells", c["col"])
@@ -111,7 +114,9 @@ def matches(sketches: DataFrame, rows: DataFrame) -> DataFrame:
 
     under = F.concat(F.transform("wanted", posted), F.when(F.col("scanned"), F.array(whole)).otherwise(F.array().cast("array<struct<probe_col:int,unread:boolean,value_hash:bigint>>")))
     # The rows are the large side: they are never broadcast.
-    postings = rows.hint("merge").join(columns, "table_id").select("table_id", "row_pos", "cells", F.inline(under))
+    # Only the cells that some sketch of the table reads move on with a row.
+    needed = F.transform("cells", lambda cell, i: F.when(F.array_contains("read", i), cell))
+    postings = rows.hint("merge").join(columns, "table_id").select("table_id", "row_pos", "cells", "read", F.inline(under)).withColumn("cells", needed).drop("read")
     return postings.join(posts, PROBE)
 
 
