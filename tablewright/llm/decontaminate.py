@@ -174,7 +174,7 @@ def _find_spans(docs: DataFrame, phrases: DataFrame, chunk_bytes: int = CHUNK_BY
     phrases = written(phrases, "phrases")
     size = phrases.agg(F.sum(F.octet_length("phrase") + 8 * F.size("items") + 50)).first()[0] or 0
     chunks = -(-size // chunk_bytes)
-    hits = docs.sparkSession.createDataFrame([], sql_schema(HITS))
+    hits = docs.sparkSession.createDataFrame(HITS.empty_table())  # from Arrow: a list would start Python workers of another kind
     for chunk in range(chunks):
         part = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(chunks)) == chunk).collect()
         shared = docs.sparkSession.sparkContext.broadcast(([r["phrase"] for r in part], [r["items"] for r in part]))
@@ -212,6 +212,8 @@ def cut_spans(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     rows = numbered(docs)
     hit = written(_find_spans(rows, phrases).where(F.size("spans") > 0).select(ROW, "spans", "n_words"), "spans")
     doubtful, clean = split_rows(rows, hit)
+    # Written, these few rows are chosen once, and no task needs one Python worker to choose and another to cut.
+    doubtful = written(doubtful, "doubtful")
     joined = doubtful.join(hit, ROW, "left")
     passed = joined.where("spans IS NULL").select(*docs.columns)
     dirty = joined.where("spans IS NOT NULL").select(*docs.columns, "spans", "n_words")

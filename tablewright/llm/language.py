@@ -22,7 +22,10 @@ from tablewright.llm.pretokens import LETTER, character_classes, flat_texts
 
 # Documents that a model is learned from, about; they are chosen by a hash of their id.
 TRAINING_DOCS = 8000
-TRIGRAM_BITS = 16
+TRIGRAM_BITS = 16  # trigrams are held as 16-bit numbers
+BLANK = np.uint32(32)
+# Letters whose scores in all languages are gathered at once.
+LETTERS_AT_ONCE = 1 << 17
 # A change of language costs as much as this many nats of evidence.
 SWITCH_PENALTY = 15.0
 # A language is a candidate in every script that holds at least this share of its letters.
@@ -105,20 +108,27 @@ def words_of(texts: pa.Array) -> Words:
     after = np.zeros(n, dtype=bool)
     after[:-1] = letter[1:] & ~edge[1:n]
     ends = np.flatnonzero(letter & ~after) + 1
-    low = lower_case()[points].astype(np.uint64)
-    blank = np.uint64(32)
-    last = np.concatenate([[blank], low[:-1]]) if n else low
-    following = np.concatenate([low[1:], [blank]]) if n else low
+    low = lower_case()[points]
+    del points
     where = np.flatnonzero(letter)
-    left = np.where(before[where], last[where], blank)
-    right = np.where(after[where], following[where], blank)
-    mixed = (left * np.uint64(0x9E3779B97F4A7C15) + low[where] * np.uint64(0xC2B2AE3D27D4EB4F) + right * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
+    # Left neighbour, letter and right neighbour, one after another; a place outside stands for no neighbour and is not used.
+    mixed = np.where(before[where], low[where - 1], BLANK).astype(np.uint64)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    term = low[where].astype(np.uint64)
+    term *= np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed += term
+    term = np.where(after[where], low.take(where + 1, mode="wrap"), BLANK).astype(np.uint64)
+    term *= np.uint64(0x165667B19E3779F9)
+    mixed += term
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    del term, where, low, before, after
+    mixed >>= np.uint64(64 - TRIGRAM_BITS)
     first = np.concatenate([[0], np.cumsum(ends - starts)[:-1]]).astype(np.int64) if len(starts) else np.empty(0, dtype=np.int64)
     text = np.searchsorted(text_starts, starts, side="right") - 1
     # Empty texts share their start with the next one, which is the last of them in this search.
     counts = np.bincount(text, minlength=len(texts)) if len(texts) else np.empty(0, dtype=np.int64)
     offset = text_starts[text]
-    return Words(starts - offset, ends - offset, script[starts], (mixed >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64), first, counts)
+    return Words(starts - offset, ends - offset, script[starts], mixed.astype(np.uint16), first, counts)
 
 
 @dataclass
@@ -176,7 +186,9 @@ def learn(labelled: DataFrame, most: int = TRAINING_DOCS) -> Model:
     held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     part = equal_part(list(held.values()), most)
     shares = [(lang, int(np.ceil(min(1.0, part / n) * SHARE_STEPS))) for lang, n in held.items()]
-    wanted = rows.sparkSession.createDataFrame(shares, "lang string, share long")
+    # From Arrow the JVM makes the rows; a list would start Python workers of another kind on the executors, which then stay.
+    names, parts = zip(*shares, strict=True) if shares else ((), ())
+    wanted = rows.sparkSession.createDataFrame(pa.table([pa.array(names, pa.string()), pa.array(parts, pa.int64())], ["lang", "share"]))
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SHARE_STEPS))
     chosen = rows.join(F.broadcast(wanted), "lang").where(hashed < F.col("share"))
     counted = bounded_batches(chosen).select("text", "lang").mapInArrow(_counts, sql_schema(COUNTS))
@@ -196,6 +208,19 @@ def learn(labelled: DataFrame, most: int = TRAINING_DOCS) -> Model:
     return Model(langs, smoothed.astype(np.float32), candidates & (scripts > 0))
 
 
+def _emitted(words: Words, scores: np.ndarray) -> np.ndarray:
+    """The score of every word in every language, from bounded runs of whole words."""
+    out = np.empty((len(words.first), scores.shape[1]), dtype=scores.dtype)
+    ends = np.append(words.first[1:], len(words.trigrams))
+    lo = 0
+    while lo < len(ends):
+        begin = words.first[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + LETTERS_AT_ONCE, side="right")))
+        out[lo:hi] = np.add.reduceat(scores[words.trigrams[begin : ends[hi - 1]]], words.first[lo:hi] - begin, axis=0)
+        lo = hi
+    return out
+
+
 def _labels(words: Words, model: Model, penalty: float) -> np.ndarray:
     """The language of every word by Viterbi, all texts a word at a time, longest texts first."""
     total = len(words.start)
@@ -204,8 +229,8 @@ def _labels(words: Words, model: Model, penalty: float) -> np.ndarray:
         return np.empty(0, dtype=label)
     narrowed = model.candidates[words.script]
     narrowed |= ~narrowed.any(axis=1, keepdims=True)  # a script that no language was learned in tells nothing
-    emitted = np.add.reduceat(model.scores[words.trigrams], words.first, axis=0)
-    emitted = np.where(narrowed, emitted, np.float32(IMPOSSIBLE))
+    emitted = _emitted(words, model.scores)
+    emitted[~narrowed] = IMPOSSIBLE
     order = np.argsort(-words.counts, kind="stable")
     counts = words.counts[order]
     starts = (np.cumsum(words.counts) - words.counts)[order]
