@@ -20,6 +20,8 @@ from tablewright.skew import ensure_checkpoint_dir as shared_folder
 BATCH_CHARS = 2_000_000
 # For operators whose traffic falls with larger steps.
 LARGE_BATCH_CHARS = 4_000_000
+# A row group of a scratch table, in bytes. Spark holds the row groups and pages that a task writes or reads whole, on and off the heap.
+GROUP_BYTES = 8 << 20
 # Names of settings in the C library.
 MALLOC_TRIM_THRESHOLD, MALLOC_MMAP_THRESHOLD = -1, -3
 
@@ -29,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, and safe from lost executors."""
+    """The rows as a Parquet table in the shared folder: computed once, and safe from lost executors.
+
+    Parquet looks at sizes only after 100 rows by default, so rows of several MB would all be one page of one row group.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,11 +1,13 @@
-"""Memory that the stages of the pipeline take in Python."""
+"""Memory that the stages of the pipeline take, in Python and in Parquet's readers and writers."""
 
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate
+from tablewright.llm import common, decontaminate
 from tablewright.llm import language as lg
 
 
@@ -50,3 +52,29 @@ def test_language_of_a_step_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120e6, peak
+
+
+def test_scratch_tables_of_large_rows_have_bounded_row_groups(spark):
+    """Rows of 1 MB, of which 100 would be one page of one row group."""
+    noise = np.random.default_rng(0)
+    values = pa.table({"id": [i if i % 7 else None for i in range(30)], "data": pa.array([noise.bytes(1 << 20) if i % 5 else None for i in range(30)], pa.binary())})
+    rows = spark.createDataFrame(values).coalesce(1)
+    table = common.written(rows, "large")
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in table.inputFiles()]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 30 and max(g.total_byte_size for g in groups) < common.GROUP_BYTES + (2 << 20)
+    assert sorted((str(r.id), bytes(r.data or b"")) for r in table.collect()) == sorted((str(i), d or b"") for i, d in zip(*(c.to_pylist() for c in values.columns), strict=True))
+
+
+def test_indexes_of_many_shards_are_read_a_few_at_a_time(spark, monkeypatch):
+    """All shards of a task, which come in one file, lay in one row group before."""
+    kept = []
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: kept.append(common.written(df, name)) or kept[-1])
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(20_000)), lambda i: F.sha2((i + F.col("id") * 100_000).cast("string"), 256)))
+    docs = spark.range(0, 20, 1, 1).select(F.col("id").alias("doc_id"), F.concat(text, F.lit(" leaked words here")).alias("text"))
+    items = spark.createDataFrame([(1, "Leaked words here")], "item_id long, text string")
+    found = decontaminate.find_spans(docs, decontaminate.windows(items)).collect()
+    assert sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in found) == [(i, 20_004, [(20_001, 20_004)], [1]) for i in range(20)]
+    (file,) = kept[0].inputFiles()
+    metadata = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert metadata.num_rows == 20 and max(metadata.row_group(i).num_rows for i in range(metadata.num_row_groups)) <= 8
