@@ -1,6 +1,7 @@
 """Memory that the stages of the pipeline take, in Python and in Parquet's readers and writers."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -78,3 +79,13 @@ def test_indexes_of_many_shards_are_read_a_few_at_a_time(spark, monkeypatch):
     (file,) = kept[0].inputFiles()
     metadata = pq.ParquetFile(file.removeprefix("file://")).metadata
     assert metadata.num_rows == 20 and max(metadata.row_group(i).num_rows for i in range(metadata.num_row_groups)) <= 8
+
+
+def test_scratch_tables_of_texts_take_less_room_than_by_default(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in np.random.default_rng(k).zipf(1.3, 2000) % 5000) for k in range(400)]
+    rows = spark.createDataFrame(pa.table({"text": [*texts, None, ""]})).coalesce(1)
+    rows.write.parquet(f"{tmp_path}/plain")
+    table = common.written(rows, "texts")
+    size = lambda df: sum(Path(f.removeprefix("file://")).stat().st_size for f in df.inputFiles())
+    assert size(table) < 0.8 * size(spark.read.parquet(f"{tmp_path}/plain"))
+    assert sorted(str(r.text) for r in table.collect()) == sorted([*texts, "None", ""])
