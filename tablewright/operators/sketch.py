@@ -3,7 +3,8 @@
 ``examples(example_id, table_id, sel INT, agg INT, conds ARRAY<STRUCT<col INT, op INT, value STRING>>)``.
 Aggregate codes: 0 none, 1 max, 2 min, 3 count, 4 sum, 5 average. Operator codes: 0 ``=``, 1 ``>``, 2 ``<``.
 
-Examples that ask the same are one sketch and answered once. A sketch with an ``=`` condition meets only rows whose cell has the
+Examples that ask the same are one sketch and answered once. The few sketches of a table that is asked seldom meet its rows where
+these lie, and no row moves. In other tables a sketch with an ``=`` condition meets only rows whose cell has the
 same value: both sides are joined on (table, column, hash of the value), and rows are posted under a column only where some sketch of
 their table asks for it. Sketches without such a condition meet the rows of their table; those without any condition are at most
 one for each column. What matches is aggregated by sketch and block of rows, so long tables and much asked ones spread over
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tablewright.corpus import Corpus
 from tablewright.functions.numbers import float_text, loose_float
 from tablewright.functions.text import SPAN_DELIMITER, tokens
-from tablewright.skew import BLOCK_ROWS, block_of, in_order
+from tablewright.skew import BLOCK_ROWS, HOT_ROWS, block_of, has_larger_group, in_order
 
 # Codes and printed names of the sketch aggregates and operators.
 NONE, MAX, MIN, COUNT, SUM, AVG = 0, 1, 2, 3, 4, 5
@@ -31,6 +32,8 @@ EMPTY_ANSWER = "none"
 KEY = ["key1", "key2"]
 # Where a row and a sketch may meet. Column -1 is the whole table.
 PROBE = ["table_id", "probe_col", "unread", "value_hash"]
+# Every row of a table meets every sketch of it where no more examples than this ask the table.
+FEW_EXAMPLES = 16
 
 
 def keyed(examples: DataFrame) -> DataFrame:
@@ -40,8 +43,8 @@ def keyed(examples: DataFrame) -> DataFrame:
     return rows.select("*", *[F.xxhash64(F.lit(seed), "table_id", "sel", "asked").alias(k) for seed, k in enumerate(KEY)])
 
 
-def bind_sketches(asked: DataFrame, meta: DataFrame) -> DataFrame:
-    """Every sketch once, with the type of its column and the typed value of every condition."""
+def bind_sketches(asked: DataFrame, meta: DataFrame, **more: Column) -> DataFrame:
+    """Every sketch once, with the type of its column, the typed value of every condition, and further aggregates of its examples."""
     kind = lambda c: F.get("types", c["col"])
     bound = F.transform(
         "asked",
@@ -55,9 +58,9 @@ def bind_sketches(asked: DataFrame, meta: DataFrame) -> DataFrame:
     )
     is_text = F.get("types", "sel") == "text"
     lists, sums = F.bool_or(F.col("agg") == NONE).alias("lists"), F.bool_or(F.col("agg").isin(SUM, AVG)).alias("sums")
-    once = asked.groupBy("table_id", "sel", "asked", *KEY).agg(lists, sums)
+    once = asked.groupBy("table_id", "sel", "asked", *KEY).agg(lists, sums, *[c.alias(k) for k, c in more.items()])
     return once.join(meta.select("table_id", "types"), "table_id").select(
-        "table_id", *KEY, "sel", is_text.alias("is_text"), (F.col("lists") | (F.col("sums") & F.coalesce(is_text, F.lit(False)))).alias("lists"), bound.alias("bound")
+        "table_id", *KEY, "sel", is_text.alias("is_text"), (F.col("lists") | (F.col("sums") & F.coalesce(is_text, F.lit(False)))).alias("lists"), bound.alias("bound"), *more
     )
 
 
@@ -120,29 +123,23 @@ def matches(sketches: DataFrame, rows: DataFrame) -> DataFrame:
     return postings.join(posts, PROBE)
 
 
-def _block_answers(sketches: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
-    """Per sketch and block of rows: counts, sums, extremes and, where needed, the listed cells. Every sketch has a block 0."""
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Rows beside sketches: whether the sketch ``holds`` there, and its cell."""
     held = F.transform("bound", lambda c: condition_holds(F.get("cells", c["col"]), c))
-    judged = matches(sketches, rows).select(
-        *KEY,
-        "is_text",
-        "lists",
-        block_of(F.col("row_pos"), block_rows).alias("block"),
-        "row_pos",
-        # A comparison without a result spoils the sketch, unless another condition fails for the row.
-        F.aggregate(held, F.lit(True), lambda a, b: a & b).alias("holds"),
-        F.get("cells", "sel").alias("target"),
-    )
-    cell = "struct<raw:string,num:double>"
-    empty = sketches.select(*KEY, "is_text", "lists", F.lit(0).cast("long").alias("block"), F.lit(None).cast("long").alias("row_pos"), F.lit(False).alias("holds"), F.lit(None).cast(cell).alias("target"))
-    kept = judged.withColumn("target", F.col("target").cast(cell)).unionByName(empty).select(
+    # A comparison without a result spoils the sketch, unless another condition fails for the row.
+    return pairs.withColumns({"holds": F.aggregate(held, F.lit(True), lambda a, b: a & b), "target": F.get("cells", "sel").cast("struct<raw:string,num:double>")})
+
+
+def _block_answers(judged: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+    """Per sketch and block of rows: counts, sums, extremes and, where needed, the listed cells."""
+    kept = judged.select(
         "*", F.col("holds").isNull().alias("clash"), F.coalesce("holds", F.lit(False)).alias("hit"), F.col("target.raw").alias("raw"), F.when(~F.col("is_text"), F.col("target.num")).alias("num")
     )
     hit = F.col("hit")
     ranked = F.struct("num", F.when(F.col("is_text"), F.col("raw")).alias("word"), "row_pos", "raw")
     number = F.when(hit, F.col("num"))
     exact = number.try_cast("decimal(28,6)")
-    return kept.groupBy(*KEY, "block").agg(
+    return kept.groupBy(*keys, "block").agg(
         F.bool_or("is_text").alias("is_text"),
         F.bool_or("lists").alias("lists"),
         F.count_if(hit).alias("n"),
@@ -154,19 +151,13 @@ def _block_answers(sketches: DataFrame, rows: DataFrame, block_rows: int) -> Dat
         F.min(F.when(hit, ranked)).alias("least"),
         F.max(F.when(hit, ranked)).alias("most"),
         F.collect_list(F.when(hit & F.col("lists"), F.struct("row_pos", "raw"))).alias("listed"),
+        *[c.alias(k) for k, c in more.items()],
     )
 
 
-def answer_sketches(examples: DataFrame, corpus: Corpus, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Answer every example: ``(table_id, example_id, segment, answer, status)``.
-
-    An answer that lists the cells of more than one block of rows comes in segments, to be joined
-    with ``", "`` in segment order; every other answer is segment 0. A type mismatch gives
-    ``status = 'type_error'`` and no answer. Examples of a table that is not in the corpus have no answer.
-    """
-    asked = keyed(examples)
-    blocks = _block_answers(bind_sketches(asked, corpus.meta), corpus.rows, block_rows)
-    every = W.partitionBy(*KEY)
+def _totals(blocks: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The blocks of every sketch, each with the totals over all of them."""
+    every = W.partitionBy(*keys)
     whole = {
         "total": F.when(F.bool_and("is_exact").over(every), F.sum("exact").over(every).cast("double")).otherwise(F.sum("inexact").over(every)),
         "found": F.sum("n").over(every),
@@ -175,13 +166,62 @@ def answer_sketches(examples: DataFrame, corpus: Corpus, block_rows: int = BLOCK
         "unread": F.sum("unread").over(every),
         "least": F.min("least").over(every),
         "most": F.max("most").over(every),
+        "first_block": F.min("block").over(every),
     }
     text = F.array_join(in_order(F.col("listed"), "raw"), SPAN_DELIMITER, EMPTY_ANSWER).alias("listed_text")
-    totals = blocks.select(*KEY, "block", "is_text", "n", text, *[c.alias(k) for k, c in whole.items()])
-    joined = asked.select("table_id", "example_id", "agg", *KEY).join(totals, KEY)
+    return blocks.select(*keys, "block", "is_text", "n", text, *more, *[c.alias(k) for k, c in whole.items()])
+
+
+def _seldom_asked(examples: DataFrame, corpus: Corpus, block_rows: int) -> DataFrame:
+    """Examples beside the totals of their sketch, for tables with few examples: all is done where the rows of the table lie."""
+    keys = ["table_id", *KEY]
+    sketches = bind_sketches(keyed(examples), corpus.meta, askers=F.collect_list(F.struct("example_id", "agg")))
+    # The rows are the large side: they are never broadcast. A sketch of a table without rows stands alone.
+    pairs = _judged(sketches.join(corpus.rows.withColumn("met", F.lit(True)).hint("merge"), "table_id", "left"))
+    block = F.when(F.col("met"), block_of(F.col("row_pos"), block_rows)).otherwise(F.lit(0).cast("long"))
+    holds = F.when(F.col("met"), F.col("holds")).otherwise(F.lit(False))
+    judged = pairs.select(*keys, "is_text", "lists", "askers", block.alias("block"), "row_pos", holds.alias("holds"), "target")
+    blocks = _block_answers(judged, keys, askers=F.first("askers"))
+    return _totals(blocks, keys, "askers").select("*", F.inline("askers")).drop("askers")
+
+
+def _often_asked(examples: DataFrame, corpus: Corpus, block_rows: int) -> DataFrame:
+    """Examples beside the totals of their sketch, for tables with many examples: rows and sketches meet by value."""
+    asked = keyed(examples)
+    sketches = bind_sketches(asked, corpus.meta)
+    place = block_of(F.col("row_pos"), block_rows).alias("block")
+    judged = _judged(matches(sketches, corpus.rows)).select(*KEY, "is_text", "lists", place, "row_pos", "holds", "target")
+    # Every sketch has a block 0.
+    none = {"block": F.lit(0).cast("long"), "row_pos": F.lit(None).cast("long"), "holds": F.lit(False), "target": F.lit(None).cast("struct<raw:string,num:double>")}
+    empty = sketches.select(*KEY, "is_text", "lists", *[c.alias(k) for k, c in none.items()])
+    totals = _totals(_block_answers(judged.unionByName(empty), KEY), KEY)
+    return asked.select("table_id", "example_id", "agg", *KEY).join(totals, KEY)
+
+
+def has_hot_table(examples: DataFrame, corpus: Corpus) -> bool:
+    """Whether some table has more rows and examples than one task should get."""
+    return has_larger_group(corpus.rows.select("table_id").union(examples.select("table_id")).where("table_id IS NOT NULL"), ["table_id"], HOT_ROWS)
+
+
+def answer_sketches(examples: DataFrame, corpus: Corpus, block_rows: int = BLOCK_ROWS, hot: bool | None = None) -> DataFrame:
+    """Answer every example: ``(table_id, example_id, segment, answer, status)``.
+
+    An answer that lists the cells of more than one block of rows comes in segments, to be joined
+    with ``", "`` in segment order; every other answer is segment 0. A type mismatch gives
+    ``status = 'type_error'`` and no answer. Examples of a table that is not in the corpus have no answer.
+    ``hot`` is what :func:`has_hot_table` says, where that is known: no table then has to fit one task.
+    """
+    if has_hot_table(examples, corpus) if hot is None else hot:
+        joined = _often_asked(examples, corpus, block_rows)
+    else:
+        times = F.count(F.lit(1)).over(W.partitionBy("table_id"))
+        counted = examples.where("table_id IS NOT NULL").withColumn("times", times)
+        few, many = counted.where(F.col("times") <= FEW_EXAMPLES).drop("times"), counted.where(F.col("times") > FEW_EXAMPLES).drop("times")
+        # Examples of often asked tables are dealt out first: where there are none, Spark sees it before any row of the tables is posted.
+        joined = _seldom_asked(few, corpus, block_rows).unionByName(_often_asked(many.repartition("table_id", "example_id"), corpus, block_rows))
     wants_list = (F.col("agg") == NONE) | (F.col("agg").isin(SUM, AVG) & F.col("is_text"))
     is_list = wants_list & (F.col("found") > 1) & ~F.col("clash")
-    shown = F.when(is_list, F.col("n") > 0).otherwise(F.col("block") == 0)
+    shown = F.when(is_list, F.col("n") > 0).otherwise(F.col("block").eqNullSafe(F.col("first_block")))
     # A list that lies in one block is one segment, whichever block that is.
     segment = F.when(is_list & (F.col("blocks") > 1), F.col("block")).otherwise(0).cast("long")
     return _finish(joined.where(shown).withColumn("segment", segment).withColumn("wants_list", wants_list).drop("n").withColumnRenamed("found", "n"), F.col("listed_text"))

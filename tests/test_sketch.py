@@ -61,6 +61,30 @@ def test_answers_by_every_route(spark, corpus, limits):
     assert got == [a for _, a in CASES]
 
 
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 2}, {"hot": True}, {"hot": True, "block_rows": 1}])
+@pytest.mark.parametrize("times", [1, 2])
+def test_answers_of_tables_asked_seldom_and_often(spark, corpus, times, limits):
+    """With each example twice table 1 is asked too often for its sketches to meet its rows where they lie."""
+    got = answers(spark, corpus, *[c for c, _ in CASES] * times, **limits)
+    assert got == [a for _, a in CASES] * times
+
+
+def test_described_twice_by_every_route(spark, corpus):
+    """A table that is described twice meets its rows twice, however it is answered."""
+    twice = Corpus(corpus.rows, corpus.meta.union(corpus.meta))
+    asked = [(1, 0, 3, []), (1, 0, 3, [(1, 0, "old town")]), (1, 0, 3, []), (3, 0, 3, []), (2, 1, 0, [])]
+    expected = ["8.0", "4.0", "8.0", "0.0", "x, x"]
+    assert [answers(spark, twice, *asked, hot=hot) for hot in (False, True)] == [expected] * 2
+
+
+def test_rows_of_seldom_asked_tables_stay(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    got = answer_sketches(order_sketches(spark, sf_dir), order_corpus(spark, sf_dir))
+    assert got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "l_orderkey" in final and "probe_col" not in final
+
+
 def test_ties_pick_first_minimum_and_last_maximum(spark):
     rows = spark.createDataFrame(
         [(1, 1, [("5.0", 5.0)]), (1, 2, [("5", 5.0)])], "table_id long, row_pos long, cells array<struct<raw:string,num:double>>"

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
+from tablewright import skew
 from tablewright.operators import relational as rel
 from tablewright.operators.linear import delinearize, linearize
-from tablewright.skew import row_positions
+from tablewright.skew import has_larger_group, row_positions
 from tablewright.sources.driver_tables import LINE_ORDER, order_corpus, table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -53,3 +54,15 @@ def test_group_lists_blocks_hold_everything(spark):
     for key in (0, 1):
         flat = [v for r in got if r["k"] == key for v in r["values"]]
         assert flat == [i if i % 5 else None for i in range(key, 100, 2)]
+
+
+def test_larger_groups_are_found_by_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 50 or None, i) for i in range(1000)] + [(7, i) for i in range(5)], "k int, v int")
+    for buckets in (1, 4096):
+        monkeypatch.setattr(skew, "BUCKETS", buckets)
+        assert [has_larger_group(df, ["k"], n) for n in (0, 19, 24, 25, 2000)] == [True, True, True, False, False]
+    # Where no bucket holds more, groups are not counted one by one.
+    counted = []
+    monkeypatch.setattr(skew, "largest_group", lambda df, keys: counted.append(keys) or 5)
+    assert not has_larger_group(df, ["k"], 5) and counted == [["bucket"]]
+    assert not has_larger_group(df.limit(0), ["k"], 5)
