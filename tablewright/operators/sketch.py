@@ -198,20 +198,16 @@ def _often_asked(examples: DataFrame, corpus: Corpus, block_rows: int) -> DataFr
     return asked.select("table_id", "example_id", "agg", *KEY).join(totals, KEY)
 
 
-def has_hot_table(examples: DataFrame, corpus: Corpus) -> bool:
-    """Whether some table has more rows and examples than one task should get."""
-    return has_larger_group(corpus.rows.select("table_id").union(examples.select("table_id")).where("table_id IS NOT NULL"), ["table_id"], HOT_ROWS)
-
-
-def answer_sketches(examples: DataFrame, corpus: Corpus, block_rows: int = BLOCK_ROWS, hot: bool | None = None) -> DataFrame:
+def answer_sketches(examples: DataFrame, corpus: Corpus, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Answer every example: ``(table_id, example_id, segment, answer, status)``.
 
     An answer that lists the cells of more than one block of rows comes in segments, to be joined
     with ``", "`` in segment order; every other answer is segment 0. A type mismatch gives
     ``status = 'type_error'`` and no answer. Examples of a table that is not in the corpus have no answer.
-    ``hot`` is what :func:`has_hot_table` says, where that is known: no table then has to fit one task.
+    Tables of up to ``hot_rows`` rows and examples may lie in one task each; with a larger one, no table has to.
     """
-    if has_hot_table(examples, corpus) if hot is None else hot:
+    sizes = corpus.rows.select("table_id").union(examples.select("table_id")).where("table_id IS NOT NULL")
+    if has_larger_group(sizes, ["table_id"], hot_rows):
         joined = _often_asked(examples, corpus, block_rows)
     else:
         times = F.count(F.lit(1)).over(W.partitionBy("table_id"))

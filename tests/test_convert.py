@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.corpus import Corpus, type_rows
-from tablewright.operators import convert
 from tablewright.operators.convert import convert_sketches
 from tablewright.queries.conversions import convert_order_sketches
 
@@ -54,14 +53,13 @@ def test_printed_rows_stay_where_the_table_lies(spark):
     assert dealt and not any(re.search(r"segment|probe_col", x) for x in dealt)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_long_tables_go_on_in_segments(spark, monkeypatch, hot):
-    monkeypatch.setattr(convert, "has_hot_table", lambda *_: hot)
+@pytest.mark.parametrize("placed_rows", [9000, 8999])
+def test_long_tables_go_on_in_segments(spark, placed_rows):
     cell = lambda n: F.struct(n.cast("string").alias("raw"), n.cast("double").alias("num"))
     rows = spark.range(1, 9001).select(F.lit(1).cast("long").alias("table_id"), F.col("id").alias("row_pos"), F.array(cell(F.col("id"))).alias("cells"))
     meta = spark.createDataFrame([(1, ["a"], ["real"])], META)
     examples = spark.createDataFrame([(10, 1, 0, 0, []), (10, 1, 0, 0, []), (11, 1, 0, 3, []), (12, 1, 0, 0, [(0, 1, "8999")])], EXAMPLE)
-    got = convert_sketches(examples, Corpus(rows, meta), meta).orderBy("example_id", "segment").collect()
+    got = convert_sketches(examples, Corpus(rows, meta), meta, placed_rows=placed_rows).orderBy("example_id", "segment").collect()
     # An example that comes twice meets its answers, and there are two of each.
     assert [(r["example_id"], r["segment"]) for r in got] == [(10, s) for s in (0, 1, 2) for _ in range(4)] + [(e, s) for e in (11, 12) for s in (0, 1, 2)]
     assert ", ".join(r["answer"] for r in got[:12:4]) == ", ".join(map(str, range(1, 9001)))

@@ -61,7 +61,7 @@ def test_answers_by_every_route(spark, corpus, limits):
     assert got == [a for _, a in CASES]
 
 
-@pytest.mark.parametrize("limits", [{}, {"block_rows": 2}, {"hot": True}, {"hot": True, "block_rows": 1}])
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 2}, {"hot_rows": 0}, {"hot_rows": 0, "block_rows": 1}])
 @pytest.mark.parametrize("times", [1, 2])
 def test_answers_of_tables_asked_seldom_and_often(spark, corpus, times, limits):
     """With each example twice table 1 is asked too often for its sketches to meet its rows where they lie."""
@@ -74,7 +74,7 @@ def test_described_twice_by_every_route(spark, corpus):
     twice = Corpus(corpus.rows, corpus.meta.union(corpus.meta))
     asked = [(1, 0, 3, []), (1, 0, 3, [(1, 0, "old town")]), (1, 0, 3, []), (3, 0, 3, []), (2, 1, 0, [])]
     expected = ["8.0", "4.0", "8.0", "0.0", "x, x"]
-    assert [answers(spark, twice, *asked, hot=hot) for hot in (False, True)] == [expected] * 2
+    assert [answers(spark, twice, *asked, hot_rows=n) for n in (1000, 0)] == [expected] * 2
 
 
 def test_rows_of_seldom_asked_tables_stay(spark):
