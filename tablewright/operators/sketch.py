@@ -3,8 +3,8 @@
 ``examples(example_id, table_id, sel INT, agg INT, conds ARRAY<STRUCT<col INT, op INT, value STRING>>)``.
 Aggregate codes: 0 none, 1 max, 2 min, 3 count, 4 sum, 5 average. Operator codes: 0 ``=``, 1 ``>``, 2 ``<``.
 
-Examples that ask the same are one sketch and answered once. The few sketches of a table that is asked seldom meet its rows where
-these lie, and no row moves. In other tables a sketch with an ``=`` condition meets only rows whose cell has the
+Examples that ask the same are one sketch and answered once. The few sketches of a table that is asked seldom are held against its rows
+where these lie, and no row moves. In other tables a sketch with an ``=`` condition meets only rows whose cell has the
 same value: both sides are joined on (table, column, hash of the value), and rows are posted under a column only where some sketch of
 their table asks for it. Sketches without such a condition meet the rows of their table; those without any condition are at most
 one for each column. What matches is aggregated by sketch and block of rows, so long tables and much asked ones spread over
@@ -32,8 +32,8 @@ EMPTY_ANSWER = "none"
 KEY = ["key1", "key2"]
 # Where a row and a sketch may meet. Column -1 is the whole table.
 PROBE = ["table_id", "probe_col", "unread", "value_hash"]
-# Every row of a table meets every sketch of it where no more examples than this ask the table.
-FEW_EXAMPLES = 16
+# Every row of a table is held against every sketch of it where no more examples than this ask the table.
+FEW_EXAMPLES = 4
 
 
 def keyed(examples: DataFrame) -> DataFrame:
@@ -123,11 +123,15 @@ def matches(sketches: DataFrame, rows: DataFrame) -> DataFrame:
     return postings.join(posts, PROBE)
 
 
+def _holds() -> Column:
+    """Whether a sketch holds for a row; a comparison without a result spoils the sketch, unless another condition fails for the row."""
+    held = F.transform("bound", lambda c: condition_holds(F.get("cells", c["col"]), c))
+    return F.aggregate(held, F.lit(True), lambda a, b: a & b)
+
+
 def _judged(pairs: DataFrame) -> DataFrame:
     """Rows beside sketches: whether the sketch ``holds`` there, and its cell."""
-    held = F.transform("bound", lambda c: condition_holds(F.get("cells", c["col"]), c))
-    # A comparison without a result spoils the sketch, unless another condition fails for the row.
-    return pairs.withColumns({"holds": F.aggregate(held, F.lit(True), lambda a, b: a & b), "target": F.get("cells", "sel").cast("struct<raw:string,num:double>")})
+    return pairs.withColumns({"holds": _holds(), "target": F.get("cells", "sel").cast("struct<raw:string,num:double>")})
 
 
 def _block_answers(judged: DataFrame, keys: list[str], **more: Column) -> DataFrame:
@@ -176,8 +180,9 @@ def _seldom_asked(examples: DataFrame, corpus: Corpus, block_rows: int) -> DataF
     """Examples beside the totals of their sketch, for tables with few examples: all is done where the rows of the table lie."""
     keys = ["table_id", *KEY]
     sketches = bind_sketches(keyed(examples), corpus.meta, askers=F.collect_list(F.struct("example_id", "agg")))
-    # The rows are the large side: they are never broadcast. A sketch of a table without rows stands alone.
-    pairs = _judged(sketches.join(corpus.rows.withColumn("met", F.lit(True)).hint("merge"), "table_id", "left"))
+    # The rows are the large side: they are never broadcast. Rows for which a sketch does not hold go no further; a sketch without others stands alone.
+    rows = corpus.rows.select(F.col("table_id").alias("row_table"), "row_pos", "cells", F.lit(True).alias("met"))
+    pairs = _judged(sketches.join(rows.hint("merge"), (F.col("table_id") == F.col("row_table")) & F.coalesce(_holds(), F.lit(True)), "left"))
     block = F.when(F.col("met"), block_of(F.col("row_pos"), block_rows)).otherwise(F.lit(0).cast("long"))
     holds = F.when(F.col("met"), F.col("holds")).otherwise(F.lit(False))
     judged = pairs.select(*keys, "is_text", "lists", "askers", block.alias("block"), "row_pos", holds.alias("holds"), "target")
