@@ -209,15 +209,14 @@ def answer_sketches(examples: DataFrame, corpus: Corpus, block_rows: int = BLOCK
     An answer that lists the cells of more than one block of rows comes in segments, to be joined
     with ``", "`` in segment order; every other answer is segment 0. A type mismatch gives
     ``status = 'type_error'`` and no answer. Examples of a table that is not in the corpus have no answer.
-    Tables of up to ``hot_rows`` rows and examples may lie in one task each; with a larger one, no table has to.
+    Tables of up to ``hot_rows`` rows may lie in one task each; with a larger one, no table has to.
     """
-    sizes = corpus.rows.select("table_id").union(examples.select("table_id")).where("table_id IS NOT NULL")
-    if has_larger_group(sizes, ["table_id"], hot_rows):
+    hot = has_larger_group(corpus.rows.select("table_id"), ["table_id"], hot_rows) if corpus.hot is None else corpus.hot
+    if hot:
         joined = _often_asked(examples, corpus, block_rows)
     else:
-        times = F.count(F.lit(1)).over(W.partitionBy("table_id"))
-        counted = examples.where("table_id IS NOT NULL").withColumn("times", times)
-        few, many = counted.where(F.col("times") <= FEW_EXAMPLES).drop("times"), counted.where(F.col("times") > FEW_EXAMPLES).drop("times")
+        times = examples.groupBy("table_id").agg(F.count(F.lit(1)).alias("times"))
+        few, many = (examples.join(times.where(which).drop("times").hint("merge"), "table_id") for which in (F.col("times") <= FEW_EXAMPLES, F.col("times") > FEW_EXAMPLES))
         # Examples of often asked tables are dealt out first: where there are none, Spark sees it before any row of the tables is posted.
         joined = _seldom_asked(few, corpus, block_rows).unionByName(_often_asked(many.repartition("table_id", "example_id"), corpus, block_rows))
     wants_list = (F.col("agg") == NONE) | (F.col("agg").isin(SUM, AVG) & F.col("is_text"))
